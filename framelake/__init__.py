@@ -1 +1,23 @@
 """A Spark engine for analysing, planning and post-processing large media collections."""
+
+from __future__ import annotations
+
+import tempfile
+import zipfile
+from pathlib import Path
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark) -> None:
+    """Makes this package importable on the executors: the driver serves a zip of its sources, once a context."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    top = Path(__file__).resolve().parent
+    to = Path(tempfile.mkdtemp(prefix="framelake-src-"), "framelake_src.zip")
+    with zipfile.ZipFile(to, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, p.relative_to(top.parent))
+    context.addPyFile(str(to))
+    _SHIPPED.add(context.applicationId)
