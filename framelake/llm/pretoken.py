@@ -12,6 +12,7 @@ import functools
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 
@@ -138,14 +139,34 @@ def distinct(data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[n
     total = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(_letters()[data] * up[: len(data)], out=total[1:])
     mark = (total[begin + length] - total[begin]) * down[begin] + length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    _, one, which = np.unique(mark, return_index=True, return_inverse=True)
-    if not np.array_equal(length[one][which], length) or not np.array_equal(gather(data, begin, length), gather(data, begin[one][which], length)):
+    which, kinds = pd.factorize(mark)
+    one = np.zeros(len(kinds), dtype=np.int64)
+    one[which[::-1]] = np.arange(len(which) - 1, -1, -1)
+    if not _same(data, begin, length, one[which]):
         raw, seen = data.tobytes(), {}
         which = np.array([seen.setdefault(raw[b : b + n], len(seen)) for b, n in zip(begin.tolist(), length.tolist(), strict=True)])
         _, one = np.unique(which, return_index=True)
     return one, which
 
 
+def _same(data: np.ndarray, begin: np.ndarray, length: np.ndarray, other: np.ndarray) -> bool:
+    """Whether each string has the bytes of the other: the first and last eight for all, every byte for those of over 16."""
+    if not np.array_equal(length, length[other]):
+        return False
+    padded = np.concatenate([np.zeros(8, np.uint8), data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(padded) - 7, dtype="<u8", buffer=padded, strides=(1,))
+    spare = (8 * (8 - np.minimum(length, 8))).astype(np.uint64)
+    spare[length == 0] = 0
+    head = eight[begin + 8] << spare
+    tail = eight[begin + length] >> spare
+    empty = length == 0
+    head[empty] = tail[empty] = 0
+    if not np.array_equal(head, head[other]) or not np.array_equal(tail, tail[other]):
+        return False
+    long = np.flatnonzero(length > 16)
+    return np.array_equal(gather(data, begin[long], length[long]), gather(data, begin[other[long]], length[long]))
+
+
 class Words:
     """The pre-tokens of some texts as distinct byte strings."""
 
