@@ -9,15 +9,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import ship
-from . import bytebpe, chat, decontam, langid, passages, tokenfile, urlfilter
+from . import bytebpe, chat, decontam, langid, passages, simhash, tokenfile, topk, toxic, urlfilter
 from .common import read_table
 
 
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"), size=3, distance=2)
+    return found.select("doc_id", simhash.hex_digits(F.col("code")).alias("fingerprint"), "component_id")
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return toxic.score(docs, toxic.learn(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     rows = read_table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
@@ -46,7 +60,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(read_table(spark, sf_dir, "pages"))
 
 
-ALL = (op3_decontaminate, op5_chat_format, op6_language_id, op7_suffix_dedup, op8_byte_bpe, op9_token_files, op10_url_filter)
+ALL = (op1_topk_search, op2_simhash_dedup, op3_decontaminate, op4_toxicity, op5_chat_format, op6_language_id, op7_suffix_dedup, op8_byte_bpe, op9_token_files, op10_url_filter)
 
 
 def _with_sources(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
