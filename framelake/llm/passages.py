@@ -374,12 +374,12 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts compressed for the shuffle."""
+    """Texts compressed for the shuffle, after whatever further columns there are."""
     make = zstandard.ZstdCompressor(level=3).compress
     for batch in batches:
         texts = [make(t or b"") for t in batch.column(2).cast(pa.binary()).to_pylist()]
         n = len(texts)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(texts, pa.binary())], names=["doc", "sub", "key", "packed", "spans", "body"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), *batch.columns[3:], pa.array(texts, pa.binary())], names=["doc", "sub", "key", "packed", "spans", *batch.schema.names[3:], "body"])
 
 
 def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -388,7 +388,7 @@ def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     now, wanted = None, []
     for batch in batches:
         out = []
-        for doc, sub, key, packed, body in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 3, 5)), strict=True):
+        for doc, sub, key, packed, body in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 3, -1)), strict=True):
             if (doc, sub) != now:
                 now, wanted = (doc, sub), []
             if body is None:
@@ -403,12 +403,12 @@ def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (a text's spans, then the text) -> what is left of it."""
+    """Sorted (a text's spans, then the text) -> what is left of it; further columns are passed on."""
     expand = zstandard.ZstdDecompressor().decompress
     now, places, ranges = None, [], []
     for batch in batches:
-        out = []
-        for doc, sub, packed, spans, body in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 4, 5)), strict=True):
+        out, row = [], []
+        for i, (doc, sub, packed, spans, body) in enumerate(zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 4, -1)), strict=True)):
             if (doc, sub) != now:
                 now, places, ranges = (doc, sub), [], []
             if body is None:
@@ -426,30 +426,45 @@ def cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 cuts.append(data[at:x])
                 at = y
             kept = b"".join([*cuts, data[at:]]) if cuts else data
-            out.append((None if doc == NO_ID else doc, sub, len(data), len(data) - len(kept), len(a), kept))
-        columns = list(zip(*out, strict=True)) if out else [()] * 6
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc", "sub", "n_bytes", "n_removed", "n_spans", "kept"])
+            out.append((None if doc == NO_ID else doc, len(data), len(data) - len(kept), len(a), kept))
+            row.append(i)
+        columns = list(zip(*out, strict=True)) if out else [()] * 5
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        rest = [c.take(pa.array(row, pa.int64())) for c in batch.columns[5:-1]]
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, kinds, strict=True)), *rest], names=["doc", "n_bytes", "n_removed", "n_spans", "kept", *batch.schema.names[5:-1]])
+
 
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc, n_bytes, n_removed, n_spans, kept (binary: the remaining bytes).
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc, n_bytes, n_removed, n_spans, kept (binary: the remaining bytes)."""
+    Further columns named by ``keep`` come back as the struct ``rest``.
+    """
     spark = docs.sparkSession
     n = partitions_for(spark)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.pmod(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), F.lit(1 << 16)).cast("int").alias("sub"), F.col(text_col).alias("text"))
+    doc = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc")
+    sub = F.pmod(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), F.lit(1 << 16)).cast("int").alias("sub")
+    rest = [F.struct(*keep).alias("rest")] if keep else []
+    rows = docs.select(doc, sub, F.col(text_col).alias("text"), *rest)
+    extra = "".join(f", rest {f.dataType.simpleString()}" for f in rows.schema if f.name == "rest")
     found = (
-        rows.mapInArrow(emit_anchors, ANCHOR_ROWS)
+        rows.select("doc", "sub", "text")
+        .mapInArrow(emit_anchors, ANCHOR_ROWS)
         .repartition(n, "key")
         .sortWithinPartitions("key", "ctx", "doc", "packed")
         .mapInArrow(settle, FOUND_ROWS)
     )
     found = written(found, "stretches")
-    bodies = rows.mapInArrow(squeeze, f"{FOUND_ROWS}, body binary")
-    with_texts = lambda part: part.withColumn("body", F.lit(None).cast("binary")).union(bodies).repartition(n, "doc", "sub").sortWithinPartitions("doc", "sub", F.col("body").isNotNull())
-    stretches = with_texts(found.where("key IS NOT NULL")).mapInArrow(fetch, "key long, doc long, packed long, piece binary")
+
+    def with_texts(part: DataFrame, extra: str) -> DataFrame:
+        """Rows of ``part`` before the text they belong to, dealt by text."""
+        bodies = rows if extra else rows.select("doc", "sub", "text")
+        bodies = bodies.mapInArrow(squeeze, f"{FOUND_ROWS}{extra}, body binary")
+        return part.unionByName(bodies, allowMissingColumns=True).select(*bodies.columns).repartition(n, "doc", "sub").sortWithinPartitions("doc", "sub", F.col("body").isNotNull())
+
+    stretches = with_texts(found.where("key IS NOT NULL"), "").mapInArrow(fetch, "key long, doc long, packed long, piece binary")
     closer = stretches.repartition(n, "key").sortWithinPartitions("key", "doc", "packed").mapInArrow(compare, FOUND_ROWS)
     spans = found.where("key IS NULL").union(closer)
-    return with_texts(spans).mapInArrow(cut_texts, "doc long, sub int, n_bytes long, n_removed long, n_spans long, kept binary").drop("sub")
+    return with_texts(spans, extra).mapInArrow(cut_texts, f"doc long, n_bytes long, n_removed long, n_spans long, kept binary{extra}")
 
 
 def sha256_hex(data: bytes) -> str:
