@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pretoken import Arena, Words, gather, slices
+from .pretoken import LETTER, NUMBER, OTHER, Arena, Words, class_table, disputed, gather, slices
 
 #: Pre-tokens whose ids a worker keeps between batches; the table starts anew beyond it. It bounds memory only.
 MEMO = 500_000
@@ -81,6 +81,26 @@ class RankQueue:
         return bucket
 
 
+@functools.cache
+def library_classes() -> np.ndarray:
+    """Classes of code points as the tiktoken library's split sees them.
+
+    Only code points that Unicode versions dispute are asked for: a string is one
+    token of a small vocabulary of whole strings exactly if it is one pre-token.
+    """
+    import public_tokenizers
+    import tiktoken
+
+    table, doubtful = class_table().copy(), disputed().tolist()
+    probes = {f"{lead}{chr(c)}": (kind, c) for c in doubtful for lead, kind in (("a", LETTER), ("1", NUMBER), ("!", OTHER))}
+    ranks = {bytes([i]): i for i in range(256)} | {x.encode("utf-8"): 256 + i for i, x in enumerate(probes)}
+    own = tiktoken.Encoding("probe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for text, (kind, c) in probes.items():
+        if len(own.encode_ordinary(text)) == 1:
+            table[c] = kind
+    return table
+
+
 class ByteBpe:
     """Encoder and decoder for one table of ranks; the id of a token is its rank.
 
@@ -152,19 +172,19 @@ class ByteBpe:
                 continue
             if len(at) > 1:
                 at = np.unique(at)
-            middle = after[at]
+            waiting, middle = at, after[at]
             if (pair[middle] == rank).any():  # pairs that share a part
                 free, kept = -1, []
                 for i, j in zip(at.tolist(), middle.tolist(), strict=True):
                     if i >= free:
                         kept.append(i)
                         free = int(after[j])
-                at, rest = np.array(kept), at
+                at = np.array(kept)
                 middle = after[at]
             right, left = after[middle], before[at]
             new = self.rank_of(np.concatenate([np.full(len(at), rank), np.where(left >= 0, part[left], -1)]), np.concatenate([part[right], np.full(len(at), rank)]))
-            if ((new >= 0) & (new <= rank)).any() and len(at) > 1:
-                queue.push(rank, at[1:].tolist())
+            if ((new >= 0) & (new <= rank)).any() and len(waiting) > 1:
+                queue.push(rank, waiting[1:].tolist())
                 at, middle, right = at[:1], middle[:1], right[:1]
             part[at] = rank
             after[at] = right
@@ -189,7 +209,7 @@ class ByteBpe:
         texts = [t or "" for t in texts]
         if len(self.arena.row) > MEMO:
             self.arena = Arena()
-        parts = [(a, Words(texts[a:b])) for a, b in slices(texts, RUN)]
+        parts = [(a, Words(texts[a:b], classes=library_classes())) for a, b in slices(texts, RUN)]
         new = [w for w in dict.fromkeys(chain.from_iterable(p.words for _, p in parts)) if w not in self.arena.row]
         if new:
             self.arena.add(new, *self.merge(new))

@@ -32,6 +32,17 @@ def class_table() -> np.ndarray:
     return table
 
 
+@functools.cache
+def disputed() -> np.ndarray:
+    """Code points whose class two Unicode versions tell differently; for these a library must be asked."""
+    import unicodedata
+
+    table = class_table()
+    high = np.flatnonzero(table != OTHER)
+    major = np.array([{"L": LETTER, "N": NUMBER}.get(unicodedata.category(chr(c))[0], OTHER) for c in high.tolist()], dtype=np.uint8)
+    return high[(major != table[high]) & (table[high] != SPACE)]
+
+
 def joined(texts: Sequence[str]) -> tuple[str, np.ndarray, np.ndarray]:
     """The texts one after another, their code points, and the start of each text (and the end)."""
     text = "".join(texts)
@@ -41,11 +52,11 @@ def joined(texts: Sequence[str]) -> tuple[str, np.ndarray, np.ndarray]:
     return text, codes, ends
 
 
-def _runs(codes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _runs(codes: np.ndarray, bounds: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Classes, whether a run of one class starts, and whether a text starts, at each position (and one past the end)."""
     n = len(codes)
     kind = np.empty(n + 1, dtype=np.uint8)
-    np.take(class_table(), codes, out=kind[:n])
+    np.take(classes, codes, out=kind[:n])
     kind[n] = 255
     fresh = np.zeros(n + 1, dtype=bool)
     fresh[bounds] = True
@@ -68,9 +79,9 @@ def _contractions(codes: np.ndarray, kind: np.ndarray, start: np.ndarray, fresh:
             start[p + 1], start[p + 3] = False, True
 
 
-def spaced_pieces(codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+def spaced_pieces(codes: np.ndarray, bounds: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """Starts of the pre-tokens when a run keeps one space before it; every character lies in one."""
-    kind, start, fresh = _runs(codes, bounds)
+    kind, start, fresh = _runs(codes, bounds, classes)
     after = np.flatnonzero((kind[1:-1] != SPACE) & (kind[:-2] == SPACE) & ~fresh[1:-1]) + 1 if len(codes) > 1 else np.zeros(0, np.int64)
     start[after - 1] = True
     start[after] = codes[after - 1] != 0x20
@@ -78,9 +89,9 @@ def spaced_pieces(codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start[:-1])
 
 
-def bare_pieces(codes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def bare_pieces(codes: np.ndarray, bounds: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts of the pre-tokens when each number stands alone, and which of them are no white space."""
-    kind, start, fresh = _runs(codes, bounds)
+    kind, start, fresh = _runs(codes, bounds, classes)
     start |= kind == NUMBER
     _contractions(codes, kind, start, fresh)
     starts = np.flatnonzero(start[:-1])
@@ -170,10 +181,11 @@ def _same(data: np.ndarray, begin: np.ndarray, length: np.ndarray, other: np.nda
 class Words:
     """The pre-tokens of some texts as distinct byte strings."""
 
-    def __init__(self, texts: Sequence[str], bare: bool = False):
+    def __init__(self, texts: Sequence[str], bare: bool = False, classes: np.ndarray | None = None):
+        classes = class_table() if classes is None else classes
         text, codes, bounds = joined(texts)
         raw = text.encode("utf-8", "replace")
-        starts, keep = bare_pieces(codes, bounds) if bare else (spaced_pieces(codes, bounds), None)
+        starts, keep = bare_pieces(codes, bounds, classes) if bare else (spaced_pieces(codes, bounds, classes), None)
         self.first = np.searchsorted(starts, bounds)  # of each text, and one past the last
         begin = starts
         if len(raw) != len(text):

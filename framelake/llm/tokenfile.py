@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import partitions_for, shared_folder
-from .pretoken import Arena, Words, slices
+from .pretoken import LETTER, NUMBER, OTHER, Arena, Words, class_table, disputed, slices
 
 MAGIC, HEADER = b"FLTOKEN1", struct.Struct("<8sIIQQ")
 #: Ids of a block, and about how many ids a shard holds (it ends with a whole document).
@@ -115,6 +115,11 @@ class WordBpe:
         added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(added)).search if added else lambda _: None
         self.arena = Arena()
+        self.classes = class_table().copy()
+        split = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        for c in disputed().tolist():  # Unicode versions differ: the library decides
+            one = [lead for lead in ("a", "!") if len(split(f"{lead}{chr(c)}")) == 1]
+            self.classes[c] = LETTER if one == ["a"] else OTHER if one == ["!"] else NUMBER
 
     @staticmethod
     def normal(text: str) -> str:
@@ -131,7 +136,7 @@ class WordBpe:
             self.arena = Arena()
         odd = {i: self.whole(t) for i, t in enumerate(texts) if t and self.added(t)}
         texts = ["" if t is None or i in odd else self.normal(t) for i, t in enumerate(texts)]
-        parts = [(a, b, Words(texts[a:b], bare=True)) for a, b in slices(texts, RUN)]
+        parts = [(a, b, Words(texts[a:b], bare=True, classes=self.classes)) for a, b in slices(texts, RUN)]
         known = self.arena.row
         new = list({w: None for _, _, p in parts for w in p.words if w not in known})
         if new:
