@@ -27,7 +27,7 @@ from framelake.llm import bytebpe, decontam, langid, passages, simhash
 from framelake.llm.common import read_table, written
 
 #: Bits in which the fingerprints of near copies may differ; over 3-word shingles.
-NEAR_BITS = 4
+NEAR_BITS = 5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
