@@ -10,7 +10,6 @@ ROOT = str(Path(__file__).resolve().parents[1])
 sys.path.insert(0, ROOT)
 os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, os.environ.get("PYTHONPATH", "")])
 
-SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")

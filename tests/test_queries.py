@@ -1,8 +1,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import SF
-from oracle import connect, rows
+from oracle import SF, connect, rows
 
 from framelake import oracle, queries
 
