@@ -59,11 +59,11 @@ class Binder:
 
     def grams(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """Each n-gram within the words of the texts (a space before and after), and its text's index."""
-        _, codes, bounds = joined([f"{t.lower()}\n" for t in texts])
+        _, codes, bounds = joined([f"\n{t.lower()}\n" for t in texts])
         letter = class_table()[codes] == LETTER
         keep = letter.copy()
         keep[1:] |= letter[:-1]
-        keep[: len(codes)][bounds[:-1][bounds[:-1] < len(codes)]] = True
+        keep[bounds[:-1]] = True
         code = np.where(letter, codes, 32)[keep].astype(np.int64)
         text = np.repeat(np.arange(len(texts), dtype=np.int64), np.diff(bounds))[keep]
         n = len(code) - self.order + 1
