@@ -3,8 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before
 kept; all but the last return the columns of ``documents``.
 
-* language_id drops documents without any letter, or with next to nothing in
-  common with a learned language.
+* language_id drops documents that have no language: those without any letter.
 * near_dedup leaves one document of each group of linked SimHash fingerprints,
   the one with the smallest id. Fingerprints are linked at ``NEAR_BITS`` or fewer
   differing bits.

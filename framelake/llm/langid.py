@@ -164,8 +164,8 @@ def training_rows(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang
     return docs.where((fold_of(id_col) != 0) & F.col(lang_col).isNotNull())
 
 
-def rejected(lang_pred: Column, score: Column, least: float = 0.05) -> Column:
-    """A document is rejected if it has no language, or next to nothing in common with any learned one."""
+def rejected(lang_pred: Column, score: Column, least: float = 0.0) -> Column:
+    """A document is rejected if it has no language, or a cosine below ``least`` with the nearest learned one."""
     return (lang_pred == "und") | (score < least)
 
 

@@ -37,7 +37,10 @@ LABELLED, LEXICON, EVIDENCE, PRECISION = 8000, 2000, 22.0, 0.7
 #: Edits allowed in words of at least so many bytes; words on either side of a match that are looked at.
 EDITS, LEAST_LENGTH, WINDOW = 1, 5, 6
 #: Characters worked on at once, and words remembered. They bound memory only.
-RUN, MEMO = 3_000_000, 500_000
+RUN, MEMO = 2_000_000, 250_000
+
+#: What is remembered of a word that is near no lexicon word.
+MISS = (-1, 0)
 
 # Marks and words that show quotation or report, lower case.
 QUOTES = '" “ ” „ « » ‹ › ‘ ’ \' `'
@@ -126,11 +129,11 @@ class Matcher:
             return i, 0
         n = len(word)
         if not LEAST_LENGTH - EDITS <= n <= self.longest + EDITS:
-            return -1, 0
+            return MISS
         if EDITS == 1 and not any(word[:h] in self.heads for h in self.head_sizes) and not any(word[n - t :] in self.tails for t in self.tail_sizes if t <= n):
-            return -1, 0
+            return MISS
         found = min(((used, i) for i, used in Levenshtein(word, EDITS).along(self.trie)), default=None)
-        return (-1, 0) if found is None else (self.number[found[1]], found[0])
+        return MISS if found is None else (self.number[found[1]], found[0])
 
     def features(self, texts: Sequence[str | None]) -> np.ndarray:
         """One row per text: sums over matches, by kind."""
