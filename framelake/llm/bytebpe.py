@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from .pretoken import LETTER, NUMBER, OTHER, Arena, Words, class_table, disputed, gather, slices
 
 #: Pre-tokens whose ids a worker keeps between batches; the table starts anew beyond it. It bounds memory only.
-MEMO = 400_000
+MEMO = 250_000
 #: Characters of the texts that are encoded together, and of those that numpy works on at once.
-BLOCK, RUN = 12_000_000, 3_000_000
+BLOCK, RUN = 5_000_000, 1_200_000
 
 
 class RankQueue:

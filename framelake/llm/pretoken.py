@@ -123,13 +123,18 @@ def slices(texts: Sequence[str], chars: int) -> list[tuple[int, int]]:
     return out
 
 
-@functools.cache
+_POWERS: list[np.ndarray] = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """P**i and P**-i modulo 2**64, i < n, for an odd P."""
-    base = 0x9E3779B97F4A7C15
-    up, down = np.full(n, base, dtype=np.uint64), np.full(n, pow(base, -1, 2**64), dtype=np.uint64)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+    """P**i and P**-i modulo 2**64, i < n, for an odd P; one table of the greatest n so far is kept."""
+    if n > len(_POWERS[0]):
+        size, base = 1 << (n - 1).bit_length(), 0x9E3779B97F4A7C15
+        for i, x in enumerate((base, pow(base, -1, 2**64))):
+            table = np.full(size, x, dtype=np.uint64)
+            table[0] = 1
+            _POWERS[i] = np.multiply.accumulate(table)
+    return _POWERS[0][:n], _POWERS[1][:n]
 
 
 @functools.cache
@@ -145,8 +150,7 @@ def distinct(data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[n
     """
     if not len(begin):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    size = 1 << max(12, int(len(data)).bit_length())
-    up, down = _powers(size)
+    up, down = _powers(max(4096, len(data) + 1))
     total = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(_letters()[data] * up[: len(data)], out=total[1:])
     mark = (total[begin + length] - total[begin]) * down[begin] + length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)

@@ -35,7 +35,7 @@ MAGIC, HEADER = b"FLTOKEN1", struct.Struct("<8sIIQQ")
 #: Ids of a block, and about how many ids a shard holds (it ends with a whole document).
 BLOCK_IDS, SHARD_IDS = 4096, 2_000_000
 #: Words that a worker remembers; characters worked on at once. They bound memory only.
-MEMO, BLOCK, RUN = 500_000, 12_000_000, 3_000_000
+MEMO, BLOCK, RUN = 400_000, 6_000_000, 1_500_000
 SHARD_SCHEMA = "part int, seq int, before long, n_docs long, n_ids long, shard binary"
 
 
