@@ -4,7 +4,9 @@ Each shard (a run of whole texts within a task) stores the positions of every
 test term in term order. A test phrase is looked up from its rarest term in the
 shard: that term's postings, moved by the term's offset, are intersected with
 the other terms' in order of rarity. Only test terms get postings, so no shuffle
-takes place; the benchmark is shipped in blocks of a checked size.
+takes place while the benchmark fits ``BENCHMARK_LIMIT`` characters, which is
+checked before it is shipped. A larger one is worked on in parts of that size:
+each part's pass marks the words it covers, and the marks meet by document.
 
 Defined results: a null or empty text has no words and no hits. An item of fewer
 words than a window is one window; an item without words has none. Items that
@@ -20,14 +22,16 @@ from dataclasses import dataclass
 from itertools import chain, repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
 from .pretoken import gather, slices
 
-#: Characters of benchmark text in one shipped block, of documents in one shard, and candidates looked at together.
-BENCHMARK_BLOCK, SHARD, CANDIDATES = 4_000_000, 4_000_000, 2_000_000
+#: Characters of benchmark text that are shipped at a time (a longer item is alone), of documents in one shard, and candidates looked at together.
+BENCHMARK_LIMIT, SHARD, CANDIDATES = 4_000_000, 4_000_000, 2_000_000
 
 #: A-Z become lower case; all other ASCII but a-z and 0-9 becomes a space.
 WORD_BYTES = bytes(c if c >= 0x80 or chr(c).isdigit() or chr(c).islower() else c + 32 if chr(c).isupper() else 32 for c in range(256))
@@ -140,63 +144,82 @@ class PositionalShard:
         return at
 
 
-def shipped(items: DataFrame, id_col: str, text_col: str) -> list[list[tuple[str | None, str | None]]]:
-    """The benchmark in blocks of at most ``BENCHMARK_BLOCK`` characters (a longer item is alone)."""
+def parts_of(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[str | None, str | None]]]:
+    """The benchmark in parts of about BENCHMARK_LIMIT characters, one after another on the driver."""
     rows = items.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"))
-    total = rows.agg(F.sum(F.length("t"))).first()[0] or 0
-    n = total // BENCHMARK_BLOCK + 1
-    blocks = []
+    n = (rows.agg(F.sum(F.length("t"))).first()[0] or 0) // BENCHMARK_LIMIT + 1
     for k in range(n):
-        own = [(r["i"], r["t"]) for r in rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()]
-        blocks += [own[a:b] for a, b in slices([t or "" for _, t in own], BENCHMARK_BLOCK)]
-    return blocks
+        yield [(r["i"], r["t"]) for r in rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: id, n_words, n_hit, n_items, items (sorted array of item ids), contaminated.
+def judge(texts: list[str | None], wanted: Phrases) -> Iterator[tuple[int, np.ndarray, list[str]]]:
+    """For each text: its words, which of them are hit, and the items found in it."""
+    words = [words_of(t) for t in texts]
+    shard = PositionalShard(words, wanted.vocabulary)
+    phrase, start = shard.phrases(wanted)
+    covered = np.zeros(shard.n + 1, dtype=np.int64)
+    np.add.at(covered, start, 1)
+    np.subtract.at(covered, start + wanted.length[phrase], 1)
+    hit = np.cumsum(covered[:-1]) > 0
+    items: dict[int, set[str]] = {}
+    for d, p in zip(*np.unique(np.stack([shard.doc_of(start), phrase]), axis=1).tolist()):
+        own = wanted.item[wanted.item_begin[p] : wanted.item_begin[p + 1]].tolist()
+        items.setdefault(d, set()).update(map(wanted.names.__getitem__, own))
+    for d, (a, b) in enumerate(zip(shard.bounds.tolist(), shard.bounds[1:].tolist())):
+        yield b - a, hit[a:b], sorted(items.get(d, ()))
 
-    A word is hit if it lies inside an occurrence of a window of benchmark words.
-    ``keep`` names further input columns to pass on.
-    """
-    spark = docs.sparkSession
-    context = spark.sparkContext
-    blocks = [context.broadcast(Phrases.windows(b, window)) for b in shipped(benchmark, item_id, item_text)]
-    chosen = docs.select(F.col(id_col), F.col(text_col).alias("__text"), *keep)
-    kept = [f for f in chosen.schema if f.name != "__text"]
-
-    def judge(texts: list[str | None]) -> Iterator[tuple[int, int, list[str]]]:
-        words = [words_of(t) for t in texts]
-        n_words = [len(w) for w in words]
-        bounds = np.concatenate([[0], np.cumsum(n_words)]).astype(np.int64)
-        covered = np.zeros(int(bounds[-1]) + 1, dtype=np.int64)
-        items: dict[int, set[str]] = {}
-        for block in blocks:
-            wanted = block.value
-            shard = PositionalShard(words, wanted.vocabulary)
-            phrase, start = shard.phrases(wanted)
-            np.add.at(covered, start, 1)
-            np.subtract.at(covered, start + wanted.length[phrase], 1)
-            pair = np.unique(np.stack([shard.doc_of(start), phrase]), axis=1)
-            for d, p in zip(*pair.tolist()):
-                own = wanted.item[wanted.item_begin[p] : wanted.item_begin[p + 1]].tolist()
-                items.setdefault(d, set()).update(map(wanted.names.__getitem__, own))
-        hit = np.concatenate([[0], np.cumsum(np.cumsum(covered[:-1]) > 0)])
-        hits = (hit[bounds[1:]] - hit[bounds[:-1]]).tolist()
-        for d, n in enumerate(n_words):
-            yield n, hits[d], sorted(items.get(d, ()))
+
+FOUND = "n_words long, n_hit long, n_items long, items array<string>, contaminated boolean"
+
+
+def _one_pass(docs: DataFrame, wanted, text_col: str, keep: list[str], marks: bool) -> DataFrame:
+    """``keep`` and FOUND for every document; with ``marks`` instead n_words, the hit words as bits, and items."""
+    chosen = docs.select(F.col(text_col).alias("__text"), *keep)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema if f.name != "__text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index("__text")
-            texts = batch.column(at).to_pylist()
-            rows = [r for a, b in slices([t or "" for t in texts], SHARD) for r in judge(texts[a:b])]
+            texts = batch.column(0).to_pylist()
+            rows = [r for a, b in slices([t or "" for t in texts], SHARD) for r in judge(texts[a:b], wanted.value)]
             n, hit, found = zip(*rows, strict=True) if rows else ((), (), ())
-            made = [pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array(found, pa.list_(pa.string())), pa.array([h > 0 for h in hit], pa.bool_())]
-            columns = [c for i, c in enumerate(batch.columns) if i != at]
-            yield pa.RecordBatch.from_arrays([*columns, *made], names=[*(f.name for f in kept), "n_words", "n_hit", "n_items", "items", "contaminated"])
+            words, items = pa.array(n, pa.int64()), pa.array(found, pa.list_(pa.string()))
+            if marks:
+                made = [words, pa.array([np.packbits(h).tobytes() for h in hit], pa.binary()), items]
+            else:
+                hits = [int(h.sum()) for h in hit]
+                made = [words, pa.array(hits, pa.int64()), pa.array([len(x) for x in found], pa.int64()), items, pa.array([h > 0 for h in hits], pa.bool_())]
+            names = ["n_words", "marks", "items"] if marks else ["n_words", "n_hit", "n_items", "items", "contaminated"]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *made], names=[*batch.schema.names[1:], *names])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return chosen.mapInArrow(run, f"{schema}, n_words long, n_hit long, n_items long, items array<string>, contaminated boolean")
+    return chosen.mapInArrow(run, f"{schema}, n_words long, marks binary, items array<string>" if marks else f"{schema}, {FOUND}")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: id, n_words, n_hit, n_items, items (sorted array of item ids), contaminated.
+
+    A word is hit if it lies inside an occurrence of a window of benchmark words.
+    ``keep`` names further input columns to pass on.
+    """
+    context = docs.sparkSession.sparkContext
+    parts = parts_of(benchmark, item_id, item_text)
+    first, second = next(parts), next(parts, None)
+    if second is None:
+        return _one_pass(docs, context.broadcast(Phrases.windows(first, window)), text_col, [id_col, *keep], False)
+    rows = written(docs.select(F.monotonically_increasing_id().alias("__row"), id_col, text_col, *[c for c in keep if c != text_col]), "rows")
+    marked = None
+    for part in chain((first, second), parts):
+        shipped = context.broadcast(Phrases.windows(part, window))
+        own = written(_one_pass(rows, shipped, text_col, ["__row"], True), "marks")
+        shipped.destroy()
+        marked = own if marked is None else marked.union(own)
+
+    @F.pandas_udf("long")
+    def together(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda marks: int(np.bitwise_count(np.bitwise_or.reduce([np.frombuffer(m, np.uint8) for m in marks])).sum()))
+
+    met = marked.groupBy("__row").agg(F.max("n_words").alias("n_words"), F.collect_list("marks").alias("m"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    met = met.withColumn("n_hit", together("m"))
+    return rows.join(met, "__row").select(id_col, *keep, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def search(docs: DataFrame, queries: Sequence[tuple[str, str]], slop: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

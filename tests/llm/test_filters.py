@@ -58,7 +58,7 @@ def test_decontamination_equals_brute_force(spark, odd_docs, no_docs, monkeypatc
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     want = brute(docs, items)
     assert judged(d, b) == want and any(r[2] for r in want)
-    monkeypatch.setattr(decontam, "BENCHMARK_BLOCK", 200)  # several blocks
+    monkeypatch.setattr(decontam, "BENCHMARK_LIMIT", 600)  # several parts
     assert judged(d, b) == want
     assert judged(odd_docs, b) == brute([(r.doc_id, r.text) for r in odd_docs.collect()], items)
     assert judged(no_docs, b) == [] and all(r[2] == 0 for r in judged(d, b.limit(0)))
