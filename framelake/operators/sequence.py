@@ -118,3 +118,9 @@ def temporal_denoise(frames: DataFrame, video: str, idx: str, value: str, reach:
 def retime(frames: DataFrame, time: str, factor: float) -> DataFrame:
     """Times for a speed factor; 1.0 leaves the frames as they are."""
     return frames if factor == 1.0 else frames.withColumn(time, F.col(time) / factor)
+
+
+def first_scenes(scenes: DataFrame, video: str = "video", most: int = 20) -> DataFrame:
+    """Each video's first scenes by time; Spark limits within tasks before the shuffle."""
+    order = Window.partitionBy(video).orderBy("start_time", "end_time")
+    return scenes.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)

@@ -98,6 +98,11 @@ def _matrix() -> str:
     SELECT media_id, CAST(ord AS INTEGER) AS ord, stage, reason = '' AS run, reason FROM judged"""
 
 
+SCENES = SCORED + """, cuts AS (SELECT video, t, max(score) AS score FROM scored WHERE score > 0.3 GROUP BY ALL), s AS (SELECT video, coalesce(lag(t) OVER (PARTITION BY video ORDER BY t), 0.0::DOUBLE) AS start_time, t AS end_time, score AS confidence FROM cuts),
+          e AS (SELECT video, coalesce(max(t) FILTER (score > 0.3), 0.0::DOUBLE) AS start_time, max(t) AS end_time, 0.5::DOUBLE AS confidence FROM scored GROUP BY 1),
+          scenes AS (SELECT * FROM s WHERE end_time - start_time >= 7200 UNION ALL SELECT * FROM e WHERE start_time < end_time), placed AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY start_time, end_time) AS place FROM scenes)"""
+
+
 def oracle_sql() -> dict[str, str]:
     v, im = _in(T.VIDEO_EXTENSIONS), _in(T.IMAGE_EXTENSIONS)
     ext = "regexp_extract(path, '[^/]+(\\.[^./]+)$', 1)"
@@ -115,9 +120,17 @@ def oracle_sql() -> dict[str, str]:
         "frame_extract": f"WITH {FRAMES} SELECT video, idx, event_id FROM frames WHERE idx >= 10 AND idx < 10 + least(100, 30)",
         "frame_pairs": f"WITH {FRAMES}, p AS (SELECT *, lag(event_id) OVER (PARTITION BY video ORDER BY idx) AS prev_event_id FROM frames) SELECT video, idx, event_id, prev_event_id FROM p WHERE idx >= 1 AND idx % 3 = 0",
         "frame_scores": f"WITH {SCORED} SELECT video, event_id, t, score FROM scored",
-        "scene_segments": f"""WITH {SCORED}, cuts AS (SELECT video, t, max(score) AS score FROM scored WHERE score > 0.3 GROUP BY ALL), s AS (SELECT video, coalesce(lag(t) OVER (PARTITION BY video ORDER BY t), 0.0::DOUBLE) AS start_time, t AS end_time, score AS confidence FROM cuts),
-          e AS (SELECT video, coalesce(max(t) FILTER (score > 0.3), 0.0::DOUBLE) AS start_time, max(t) AS end_time, 0.5::DOUBLE AS confidence FROM scored GROUP BY 1)
-          SELECT * FROM s WHERE end_time - start_time >= 7200 UNION ALL SELECT * FROM e WHERE start_time < end_time""",
+        "scene_segments": f"WITH {SCENES} SELECT * FROM scenes",
+        "first_scenes": f"WITH {SCENES} SELECT video, start_time, end_time, confidence, CAST(place AS INTEGER) AS place FROM placed WHERE place <= 5",
+        "video_analysis": f"""WITH {SCENES}, n AS (SELECT video, count(*) AS n_frames, max(t) AS duration FROM frames GROUP BY 1), g AS (SELECT video, count(*) AS c, round(sum(end_time - start_time), 4) AS scene_seconds, min(end_time) FILTER (place = 1) AS first_end FROM placed GROUP BY 1)
+          SELECT video, n_frames, duration, coalesce(c, 0) AS total_scenes, scene_seconds, CAST(least(c, 20) AS INTEGER) AS n_listed, first_end FROM n LEFT JOIN g USING (video)""",
+        "sample_seconds": f"WITH {FRAMES} SELECT video, CAST(floor(t / 3600.0::DOUBLE) AS BIGINT) AS second, min(idx) AS idx FROM frames GROUP BY ALL",
+        "stage_progress": f"WITH {RESULTS} SELECT job_id, ord, ord = max(ord) OVER (PARTITION BY job_id) AS is_last, round((ord - 1 + least(1.0::DOUBLE, duration_sec / 40.0::DOUBLE)) / count(*) OVER (PARTITION BY job_id), 8) AS overall FROM results",
+        "job_sizes": "SELECT p_partkey AS job_id, round(coalesce(p_retailprice / nullif(p_size * 10 * (p_partkey % 4), 0), 0.0::DOUBLE), 8) AS size_ratio FROM part",
+        "job_status": f"WITH {ROLLUP} SELECT CASE WHEN job_id % 10 = 0 THEN 'cancelled' WHEN n_errors = 0 THEN 'completed' ELSE 'failed' END AS status, count(*) AS n FROM rolled GROUP BY 1",
+        "model_paths": f"SELECT * FROM (VALUES {', '.join(f"('{m[0]}', {p})" for m, p in zip(T.MODELS, ('NULL', "'models/RealESRGAN_x2plus.pth'", 'NULL', "'/cache/rife_v4.6.pkl'", 'NULL')))}) t(name, path)",
+        "stage_parameters": f"""SELECT event_id, CASE event_id % 4 {' '.join(f"WHEN {i} THEN '{':'.join(map(str, T.DENOISE[k]))}'" for i, k in ((0, 'low'), (1, 'medium'), (2, 'high'), (3, 'medium')))} END AS denoise,
+          {_pick(('low', 'medium', 'high', 'extreme'), 'event_id')} || '=1:ssim=1' AS flags, {_pick(('OK', 'SKIP', 'FAIL'), 'event_id')} AS icon FROM events""",
         "correlation_cuts": f"""WITH {SHOTS}, p AS (SELECT video, frame, px, lag(px) OVER (PARTITION BY video ORDER BY frame) AS q FROM shots), u AS (SELECT video, frame, unnest(px) AS x, unnest(q) AS y FROM p WHERE q IS NOT NULL)
           SELECT * FROM (SELECT video, frame, round(corr(x, y), 8) AS corr FROM u GROUP BY ALL) WHERE corr < 0.2""",
         "pixel_difference": f"""WITH {SHOTS}, p AS (SELECT video, frame, px, lag(px) OVER (PARTITION BY video ORDER BY frame) AS q FROM shots), u AS (SELECT video, frame, unnest(px) AS x, unnest(q) AS y FROM p WHERE q IS NOT NULL)

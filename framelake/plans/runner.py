@@ -62,3 +62,17 @@ def report(results: DataFrame, job: str = "job_id") -> DataFrame:
     )
     tail = F.concat(F.when(F.col("skipped") != "", F.concat(F.lit("\nSkipped: "), "skipped")).otherwise(""), F.when(F.col("errors") != "", F.concat(F.lit("\nErrors: "), "errors")).otherwise(""))
     return jobs.join(lines, F.col(job) == F.col("__j")).select(job, F.concat(head, tail).alias("report"))
+
+
+def progress(results: DataFrame, job: str = "job_id", part: str | None = None) -> DataFrame:
+    """Adds is_last and overall: how far a job is within its listed stages when a stage is ``part`` (0 to 1) done."""
+    totals = results.groupBy(F.col(job).alias("__j")).agg(F.count("*").alias("__n"), F.min("ord").alias("__f"), F.max("ord").alias("__l"))
+    joined = results.join(totals, F.col(job) == F.col("__j"))
+    done = S.clamp(F.col(part)) if part else F.lit(1.0)
+    return joined.withColumns({"is_last": F.col("ord") == F.col("__l"), "overall": (F.col("ord") - F.col("__f") + done) / F.col("__n")}).drop("__j", "__n", "__f", "__l")
+
+
+def final_status(jobs: DataFrame, cancelled: str | None = None) -> DataFrame:
+    """Adds status: cancelled if that was asked for, else completed or failed."""
+    done = F.when(F.col("success"), "completed").otherwise("failed")
+    return jobs.withColumn("status", done if cancelled is None else F.when(F.col(cancelled), "cancelled").otherwise(done))

@@ -12,7 +12,7 @@ from . import views as V
 from .functions import scalar as S
 from .functions import tables as T
 from .operators import audio, fingerprint, motion, pixels, quality, sequence
-from .plans import planner, runner
+from .plans import analyze, planner, runner
 from .sources import config, files, logs, probe
 
 DAY = 86400.0
@@ -318,7 +318,47 @@ def tta_average(s, d):
     return x.select("frame", F.size("pixels").alias("n"), F.round(F.get("pixels", F.lit(9)), 6).alias("p9"))
 
 
+def video_analysis(s, d):
+    x = V.frames(s, d).groupBy("video").agg(F.count("*").alias("n_frames"), F.max("t").alias("duration"))
+    y = analyze.analyse(x, scene_segments(s, d))
+    return y.select("video", "n_frames", "duration", "total_scenes", F.round("scene_seconds", 4).alias("scene_seconds"), F.size("scenes").alias("n_listed"), F.get("scenes", F.lit(0))["end_time"].alias("first_end"))
+
+
+def first_scenes(s, d):
+    return sequence.first_scenes(scene_segments(s, d), most=5)
+
+
+def sample_seconds(s, d):
+    return sequence.sample_seconds(V.indexed_frames(s, d).withColumn("t", F.col("t") / 3600.0), "video", "idx", "t")
+
+
+def stage_progress(s, d):
+    x = V.stage_results(s, d).withColumn("part", F.col("duration_sec") / 40.0)
+    return runner.progress(x, part="part").select("job_id", "ord", "is_last", F.round("overall", 8).alias("overall"))
+
+
+def job_sizes(s, d):
+    x = V.table(s, d, "part").select(F.col("p_partkey").alias("job_id"), (F.col("p_size") * 10 * (F.col("p_partkey") % 4)).alias("input_size"), F.col("p_retailprice").alias("output_size"))
+    return runner.size_ratio(x).select("job_id", F.round("size_ratio", 8).alias("size_ratio"))
+
+
+def job_status(s, d):
+    jobs = runner.rollup(V.stage_results(s, d)).withColumn("cancel", F.col("job_id") % 10 == 0)
+    return runner.final_status(jobs, "cancel").groupBy("status").agg(F.count("*").alias("n"))
+
+
+def model_paths(s, d):
+    names = F.array(*[F.lit(x) for x in ("/cache/rife_v4.6.pkl", "models/rife_v4.6.pkl", "models/RealESRGAN_x2plus.pth", "models/own.pth")])
+    return files.model_paths(files.models(s), V.table(s, d, "part").where("p_partkey < 4").select(F.element_at(names, (F.col("p_partkey") + 1).cast("int")).alias("path")))
+
+
+def stage_parameters(s, d):
+    wish = V.pick(("low", "medium", "high", "extreme"), F.col("event_id"))
+    return V.table(s, d, "events").select("event_id", S.denoise_strengths(wish).alias("denoise"), S.feature_flags(F.concat(wish, F.lit(", ssim"))).alias("flags"), S.status_icon(V.pick(("completed", "skipped", "failed"), F.col("event_id"))).alias("icon"))
+
+
 ALL = (
+    video_analysis, first_scenes, sample_seconds, stage_progress, job_sizes, job_status, model_paths, stage_parameters,
     classify_files, scan_directory_recursive, scan_directory_flat, add_files, probe_parse_streams, media_info, detect_needs, frame_rate_parse,
     frame_sampling_even, frame_sampling_interval, frame_extract, frame_pairs, frame_scores, scene_segments, correlation_cuts, pixel_difference,
     video_fingerprint, find_similar, near_duplicate_pairs, shake_analysis, motion_outliers, motion_cleaned, zoom_estimate, trf_text_parse,

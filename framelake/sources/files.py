@@ -64,3 +64,14 @@ def accelerations(listing: Column) -> Column:
     """Names in a capability listing: the first line goes, the others are trimmed and lower-cased, empty ones dropped."""
     lines = F.split(F.trim(listing), "\n")
     return F.filter(F.transform(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: F.lower(F.trim(x))), lambda x: x != "")
+
+
+def model_paths(registry: DataFrame, listing: DataFrame, local: str = "models") -> DataFrame:
+    """(name, path): a registered model's file in the listing; else the file of that name in the local folder; else null.
+
+    ``listing`` has path. The registry is a fixed table of a few rows.
+    """
+    named = listing.select(S.base_name(F.col("path")).alias("filename"), "path", S.directory(F.col("path")).alias("dir"))
+    found = F.broadcast(registry).join(named, "filename", "left")
+    preferred = F.min_by("path", F.struct((F.col("dir") == local).cast("int"), "path"))
+    return found.groupBy("name").agg(preferred.alias("path"))

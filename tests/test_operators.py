@@ -231,3 +231,31 @@ def test_streaming_scenes(spark, tmp_path):
         assert sorted((r.start_time, r.end_time) for r in spark.table("found").collect()) == [(0.0, 3.0), (3.0, 5.0)]
     finally:
         q.stop()
+
+
+def test_sinks_and_cli(spark, tmp_path, capsys):
+    from framelake import cli
+    from framelake.sources import sinks
+
+    frames = spark.createDataFrame([("a", i, float(i)) for i in range(6)] + [("b", 0, 1.0)], "video string, frame_idx long, luma double")
+    sinks.write_frames(frames, str(tmp_path / "frames"), buckets=3)
+    assert spark.read.parquet(str(tmp_path / "frames")).where("video = 'a'").count() == 6
+    sinks.remux(frames, str(tmp_path / "orc"))
+    assert spark.read.orc(str(tmp_path / "orc")).count() == 7
+    sinks.write_reports(spark.createDataFrame([("x\ny",)], "report string"), str(tmp_path / "text"))
+    (tmp_path / "in").mkdir()
+    assert cli.main(["scan", str(tmp_path / "in")]) == 1
+    (tmp_path / "in" / "a.mp4").write_text("x")
+    (tmp_path / "p.json").write_text('{"streams":[{"codec_type":"video","width":640,"height":480}]}\n')
+    assert cli.main(["scan", str(tmp_path / "in")]) == 0 and cli.main(["presets"]) == 0
+    assert cli.main(["plan", str(tmp_path / "p.json"), "--preset", "4k60"]) == 0
+    assert "upscale" in capsys.readouterr().out
+
+
+def test_analysis_without_scenes(spark):
+    from framelake.plans.analyze import analyse
+
+    info = spark.createDataFrame([("v", 1.0)], "video string, duration double")
+    none = spark.createDataFrame([], "video string, start_time double, end_time double, confidence double")
+    r = analyse(info, none).first()
+    assert (r.total_scenes, r.scenes) == (0, None)
