@@ -41,22 +41,18 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     marked = docs.withColumn("__key", F.struct("doc_id", F.xxhash64("text").alias("h")))
     groups = simhash.near_duplicates(marked, "__key", "text", size=3, distance=NEAR_BITS)
     first = groups.where(F.col("__key") == F.col("component_id")).select("component_id").distinct()
-    # rows that repeat one another share a key; one of them stays
-    return marked.join(first, F.col("__key").eqNullSafe(F.col("component_id")), "left_semi").dropDuplicates(["__key"]).drop("__key")
+    # rows that repeat one another share a key (a struct, never null); one of them stays, without a second shuffle
+    return marked.join(first, F.col("__key") == F.col("component_id"), "left_semi").dropDuplicates(["__key"]).drop("__key")
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    cut = passages.remove_repeats(docs, keep=others)
+    cut = passages.remove_repeats(docs, keep=others, as_text=True)
 
-    @F.pandas_udf("string")
-    def as_text(kept):
-        return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))
-
-    texts = cut.where((F.length("kept") > 0) | (F.col("n_removed") == 0)).withColumn("text", as_text("kept"))
-    columns = {"doc_id": F.col("doc"), "text": F.col("text")} | {c: F.col("rest")[c] for c in others}
-    columns["n_chars"] = F.length("text").cast("long")
+    texts = cut.where((F.length("kept") > 0) | (F.col("n_removed") == 0))
+    columns = {"doc_id": F.col("doc"), "text": F.col("kept")} | {c: F.col("rest")[c] for c in others}
+    columns["n_chars"] = F.length("kept").cast("long")
     return texts.select(*(columns[c].alias(c) for c in docs.columns))
 
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,3 +59,33 @@ def fold_of(key: str = "doc_id") -> Column:
 def partitions_for(spark: SparkSession) -> int:
     """The number of shuffle partitions that the session asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+@functools.cache
+def _libc():
+    """The C library of a worker, told to map large blocks on their own so that they return to the system when freed."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "mallopt"):
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, fixed instead of growing
+        libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+    return libc
+
+
+def give_back() -> None:
+    """Returns freed memory to the system; Python workers live on between tasks and stages."""
+    if hasattr(_libc(), "malloc_trim"):
+        _libc().malloc_trim(0)
+
+
+def frugal(step: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A batch function whose worker keeps no freed memory afterwards."""
+
+    def run(batches: Iterator) -> Iterator:
+        _libc()
+        try:
+            yield from step(batches)
+        finally:
+            give_back()
+
+    return run

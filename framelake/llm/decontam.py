@@ -27,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import frugal, written
 from .pretoken import gather, slices
 
 #: Characters of benchmark text that are shipped at a time (a longer item is alone), of documents in one shard, and candidates looked at together.
-BENCHMARK_LIMIT, SHARD, CANDIDATES = 4_000_000, 4_000_000, 2_000_000
+BENCHMARK_LIMIT, SHARD, CANDIDATES = 4_000_000, 2_000_000, 1_000_000
 
 #: A-Z become lower case; all other ASCII but a-z and 0-9 becomes a space.
 WORD_BYTES = bytes(c if c >= 0x80 or chr(c).isdigit() or chr(c).islower() else c + 32 if chr(c).isupper() else 32 for c in range(256))
@@ -191,7 +191,7 @@ def _one_pass(docs: DataFrame, wanted, text_col: str, keep: list[str], marks: bo
             names = ["n_words", "marks", "items"] if marks else ["n_words", "n_hit", "n_items", "items", "contaminated"]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *made], names=[*batch.schema.names[1:], *names])
 
-    return chosen.mapInArrow(run, f"{schema}, n_words long, marks binary, items array<string>" if marks else f"{schema}, {FOUND}")
+    return chosen.mapInArrow(frugal(run), f"{schema}, n_words long, marks binary, items array<string>" if marks else f"{schema}, {FOUND}")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -22,14 +22,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of
+from .common import fold_of, frugal
 from .pretoken import LETTER, class_table, joined, slices
 
 DIMENSIONS, ORDER, SEED = 512, 3, 7
 #: Languages that may be learned: their prototypes go to the driver and to every task.
 MAX_LANGUAGES = 4096
 #: Characters worked on at once; cells of a count matrix; n-grams bound at once. They bound memory only.
-RUN, CELLS, BOUND = 1_500_000, 8_000_000, 8192
+RUN, CELLS, BOUND = 1_000_000, 4_000_000, 4096
 BITS = 21  # of a code point
 
 
@@ -118,7 +118,7 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", b
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([x.astype(np.int64).tolist() for x in sums.values()], pa.list_(pa.int64()))], names=["lang", "v"])
 
-    parts = labelled.where(F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).mapInArrow(bundles, "lang string, v array<long>")
+    parts = labelled.where(F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).mapInArrow(frugal(bundles), "lang string, v array<long>")
     summed = parts.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
     rows = summed.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v")).limit(MAX_LANGUAGES + 1).collect()
     if len(rows) > MAX_LANGUAGES:
@@ -137,8 +137,7 @@ def predictor(prototypes: dict[str, np.ndarray], binder: Binder | None = None):
     names = [n for n, v in prototypes.items() if np.any(v)]
     table = np.array([prototypes[n] / np.linalg.norm(prototypes[n]) for n in names]).reshape(len(names), binder.dimensions)
 
-    @F.pandas_udf("lang_pred string, score double")
-    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for column in batches:
             texts = [t or "" for t in column]
             langs, scores = [], []
@@ -156,6 +155,10 @@ def predictor(prototypes: dict[str, np.ndarray], binder: Binder | None = None):
                 scores += np.where(lettered, np.clip(cosine.max(axis=1), 0.0, 1.0), 0.0).tolist()
             yield pd.DataFrame({"lang_pred": pd.Series(langs, dtype=object), "score": pd.Series(scores, dtype="float64")})
 
+    @F.pandas_udf("lang_pred string, score double")
+    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from frugal(judged)(batches)
+
     return judge
 
 

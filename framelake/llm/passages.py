@@ -31,6 +31,7 @@ comes first. Empty tables give empty results.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -41,12 +42,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions_for, written
+from .common import frugal, partitions_for, written
 from .pretoken import gather
 
 LENGTH, ANCHOR = 100, 24
 #: Bytes that numpy works on at once, and of stretches that are indexed together (an anchor's own stay together).
-PIECE, INDEXED = 2_000_000, 1_000_000
+PIECE, INDEXED = 1_000_000, 500_000
 NO_ID = -(2**63)
 ANCHOR_ROWS = "key long, ctx long, doc long, packed long, spans binary"
 FOUND_ROWS = "doc long, sub int, key long, packed long, spans binary"
@@ -402,8 +403,11 @@ def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["key", "doc", "packed", "piece"])
 
 
-def cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (a text's spans, then the text) -> what is left of it; further columns are passed on."""
+def cut_texts(batches: Iterator[pa.RecordBatch], as_text: bool = False) -> Iterator[pa.RecordBatch]:
+    """Sorted (a text's spans, then the text) -> what is left of it; further columns are passed on.
+
+    As text, the rest loses the bytes of characters that were cut in part.
+    """
     expand = zstandard.ZstdDecompressor().decompress
     now, places, ranges = None, [], []
     for batch in batches:
@@ -426,16 +430,16 @@ def cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 cuts.append(data[at:x])
                 at = y
             kept = b"".join([*cuts, data[at:]]) if cuts else data
-            out.append((None if doc == NO_ID else doc, len(data), len(data) - len(kept), len(a), kept))
+            out.append((None if doc == NO_ID else doc, len(data), len(data) - len(kept), len(a), kept.decode("utf-8", "ignore") if as_text else kept))
             row.append(i)
         columns = list(zip(*out, strict=True)) if out else [()] * 5
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary())
         rest = [c.take(pa.array(row, pa.int64())) for c in batch.columns[5:-1]]
         yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, kinds, strict=True)), *rest], names=["doc", "n_bytes", "n_removed", "n_spans", "kept", *batch.schema.names[5:-1]])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: doc, n_bytes, n_removed, n_spans, kept (binary: the remaining bytes).
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
+    """One row per document: doc, n_bytes, n_removed, n_spans, kept (binary: the remaining bytes; or text).
 
     Further columns named by ``keep`` come back as the struct ``rest``.
     """
@@ -448,23 +452,23 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     extra = "".join(f", rest {f.dataType.simpleString()}" for f in rows.schema if f.name == "rest")
     found = (
         rows.select("doc", "sub", "text")
-        .mapInArrow(emit_anchors, ANCHOR_ROWS)
+        .mapInArrow(frugal(emit_anchors), ANCHOR_ROWS)
         .repartition(n, "key")
         .sortWithinPartitions("key", "ctx", "doc", "packed")
-        .mapInArrow(settle, FOUND_ROWS)
+        .mapInArrow(frugal(settle), FOUND_ROWS)
     )
     found = written(found, "stretches")
 
     def with_texts(part: DataFrame, extra: str) -> DataFrame:
         """Rows of ``part`` before the text they belong to, dealt by text."""
         bodies = rows if extra else rows.select("doc", "sub", "text")
-        bodies = bodies.mapInArrow(squeeze, f"{FOUND_ROWS}{extra}, body binary")
+        bodies = bodies.mapInArrow(frugal(squeeze), f"{FOUND_ROWS}{extra}, body binary")
         return part.unionByName(bodies, allowMissingColumns=True).select(*bodies.columns).repartition(n, "doc", "sub").sortWithinPartitions("doc", "sub", F.col("body").isNotNull())
 
-    stretches = with_texts(found.where("key IS NOT NULL"), "").mapInArrow(fetch, "key long, doc long, packed long, piece binary")
-    closer = stretches.repartition(n, "key").sortWithinPartitions("key", "doc", "packed").mapInArrow(compare, FOUND_ROWS)
+    stretches = with_texts(found.where("key IS NOT NULL"), "").mapInArrow(frugal(fetch), "key long, doc long, packed long, piece binary")
+    closer = stretches.repartition(n, "key").sortWithinPartitions("key", "doc", "packed").mapInArrow(frugal(compare), FOUND_ROWS)
     spans = found.where("key IS NULL").union(closer)
-    return with_texts(spans, extra).mapInArrow(cut_texts, f"doc long, n_bytes long, n_removed long, n_spans long, kept binary{extra}")
+    return with_texts(spans, extra).mapInArrow(frugal(functools.partial(cut_texts, as_text=as_text)), f"doc long, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}{extra}")
 
 
 def sha256_hex(data: bytes) -> str:

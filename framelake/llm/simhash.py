@@ -29,13 +29,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions_for, written
+from .common import frugal, partitions_for, written
 from .components import components
 from .pretoken import gather
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Shingles whose bits are counted at once; entries that share a node; searches and frontier entries at once.
-SHINGLES, FANOUT, SEARCHES, ROWS = 200_000, 16, 4096, 400_000
+SHINGLES, FANOUT, SEARCHES, ROWS = 100_000, 16, 4096, 400_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -162,7 +162,7 @@ def join_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 
 
 def link_keys(distance: int):
-    """Sorted (key, rank, code) -> a spanning forest of the links within each key."""
+    """Sorted (key, rank, code) -> a spanning forest of the links within each key, by mixed codes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_key, held_code = np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -178,7 +178,7 @@ def link_keys(distance: int):
                 for a, b in GrayIndex(key, code).links(distance):
                     join_labels(label, a, b)
             i = np.flatnonzero(label != np.arange(len(label)))
-            return pa.RecordBatch.from_arrays([pa.array(code[i].view(np.int64)), pa.array(code[label[i]].view(np.int64))], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(mixed(code[x]).view(np.int64)) for x in (i, label[i])], names=["a", "b"])
 
         for batch in batches:
             key = np.concatenate([held_key, batch.column(0).to_numpy()])
@@ -218,7 +218,7 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes.view(np.int64))], names=["id", "code"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(run, f"id {kind}, code long")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(frugal(run), f"id {kind}, code long")
 
 
 def linked(codes: DataFrame, distance: int) -> DataFrame:
@@ -233,13 +233,9 @@ def linked(codes: DataFrame, distance: int) -> DataFrame:
                 key = mixed(mixed(code & mask) + np.uint64(i))
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(rank.view(np.int64)), pa.array(code.view(np.int64))], names=["key", "rank", "code"])
 
-    def mix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(mixed(c.to_numpy().view(np.uint64)).view(np.int64)) for c in batch.columns], names=["a", "b"])
-
     n = partitions_for(codes.sparkSession)
-    dealt = codes.select("code").mapInArrow(keyed, "key long, rank long, code long").repartition(n, "key").sortWithinPartitions("key", "rank")
-    return components(dealt.mapInArrow(link_keys(distance), "a long, b long").mapInArrow(mix, "a long, b long"))
+    dealt = codes.select("code").mapInArrow(frugal(keyed), "key long, rank long, code long").repartition(n, "key").sortWithinPartitions("key", "rank")
+    return components(dealt.mapInArrow(frugal(link_keys(distance)), "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, distance: int = 2) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions_for, shared_folder
+from .common import frugal, partitions_for, shared_folder
 from .pretoken import LETTER, NUMBER, OTHER, Arena, Words, class_table, disputed, slices
 
 MAGIC, HEADER = b"FLTOKEN1", struct.Struct("<8sIIQQ")
@@ -212,10 +212,11 @@ def write_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     done += n
         if keys:
             yield flush()
+        bpe.arena = Arena()  # the worker lives on; its next task may be of another kind
 
     rows = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"))
     ordered = rows.repartitionByRange(partitions_for(spark), "key", F.xxhash64("text")).sortWithinPartitions("key", "text")
-    ordered.mapInArrow(shards, SHARD_SCHEMA).write.parquet(folder)
+    ordered.mapInArrow(frugal(shards), SHARD_SCHEMA).write.parquet(folder)
     return folder
 
 
@@ -252,7 +253,7 @@ def read_shards(spark, folder: str, id_name: str = "doc_id") -> DataFrame:
                 keys = pa.array(shard.keys, pa.int64(), mask=shard.null)
                 yield pa.RecordBatch.from_arrays([keys, pa.array(begin + (base[part] + before), pa.int64()), pa.array(shard.ends - begin, pa.int64()), pa.array(sums, pa.int64())], names=[id_name, "start", "n_tokens", "ids_crc32"])
 
-    return table.select("part", "before", "shard").mapInArrow(documents, f"{id_name} long, start long, n_tokens long, ids_crc32 long")
+    return table.select("part", "before", "shard").mapInArrow(frugal(documents), f"{id_name} long, start long, n_tokens long, ids_crc32 long")
 
 
 def export(spark, folder: str, to: str) -> list[str]:

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, written
+from .common import fold_of, frugal, written
 from .pretoken import Words, slices
 
 #: Labelled rows that the model is fitted on; words of a lexicon; the least evidence (G squared) and precision of a word.
@@ -37,7 +37,7 @@ LABELLED, LEXICON, EVIDENCE, PRECISION = 8000, 2000, 22.0, 0.7
 #: Edits allowed in words of at least so many bytes; words on either side of a match that are looked at.
 EDITS, LEAST_LENGTH, WINDOW = 1, 5, 6
 #: Characters worked on at once, and words remembered. They bound memory only.
-RUN, MEMO = 2_000_000, 250_000
+RUN, MEMO = 1_200_000, 250_000
 
 #: What is remembered of a word that is near no lexicon word.
 MISS = (-1, 0)
@@ -255,12 +255,15 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, held_out, score, predicted for every row; narrow."""
 
-    @F.pandas_udf("double")
-    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def judged(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         matcher = Matcher(model.words, model.weights)
         for texts in batches:
             features = matcher.features(texts.tolist())
             yield pd.Series(model.scores(features) if np.isfinite(model.coefficients).all() else np.zeros(len(features)))
 
+    @F.pandas_udf("double")
+    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from frugal(judged)(batches)
+
     scored = docs.select(F.col(id_col), (fold_of(id_col) == 0).alias("held_out"), judge(F.col(text_col)).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

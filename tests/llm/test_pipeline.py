@@ -79,7 +79,7 @@ def test_every_stage_equals_brute_force(spark):
     assert table(kept[1]) == sorted(clean)
     single = near(clean, P.NEAR_BITS)
     assert table(kept[2]) == sorted(single) and len(single) < len(clean)
-    left = [(d, k.decode("utf-8", "ignore")) for d, _, n, _, k in cut(single) if k or not n]
+    left = [(d, t) for d, t, n in ((d, k.decode("utf-8", "ignore"), n) for d, _, n, _, k in cut(single)) if t or not n]
     assert table(kept[3]) == sorted(left) and all(r.n_chars == len(r.text) for r in kept[3].collect())
     bad = {h[0] for h in hits(left, items) if h[2]}
     pure = sorted((d, t) for d, t in left if d not in bad)
