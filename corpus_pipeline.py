@@ -38,7 +38,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    marked = docs.withColumn("__key", F.struct("doc_id", F.xxhash64("text").alias("h")))
+    kind = f"struct<doc_id:{docs.schema['doc_id'].dataType.simpleString()},h:bigint>"  # nullable fields on both sides: one shuffle serves both steps below
+    marked = docs.withColumn("__key", F.struct("doc_id", F.xxhash64("text").alias("h")).cast(kind))
     groups = simhash.near_duplicates(marked, "__key", "text", size=3, distance=NEAR_BITS)
     first = groups.where(F.col("__key") == F.col("component_id")).select("component_id").distinct()
     # rows that repeat one another share a key (a struct, never null); one of them stays, without a second shuffle
