@@ -4,9 +4,9 @@ Each stage takes (spark, docs, sf_dir) and works on all that the stage before
 kept; all but the last return the columns of ``documents``.
 
 * language_id drops documents that have no language: those without any letter.
-* near_dedup leaves one document of each group of linked SimHash fingerprints,
-  the one with the smallest id. Fingerprints are linked at ``NEAR_BITS`` or fewer
-  differing bits.
+* near_dedup leaves one document of each group of linked near copies, the one
+  with the smallest id. Documents are linked if the exact Jaccard similarity of
+  their five-word shingles is at least 0.8.
 * passage_dedup cuts byte strings of 100 bytes that start earlier in the corpus.
   Bytes of a character that was cut in part go as well; documents of which
   nothing is left go. ``n_chars`` is set to the new length.
@@ -22,10 +22,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake import ship
-from framelake.llm import bytebpe, decontam, langid, passages, simhash
+from framelake.llm import bytebpe, decontam, langid, passages, similar
 from framelake.llm.common import read_table, written
 
-#: Bits in which the fingerprints of near copies may differ; over 3-word shingles.
+#: The distance of the former SimHash rule, which a test still compares with; no stage uses it.
 NEAR_BITS = 5
 
 
@@ -40,7 +40,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     kind = f"struct<doc_id:{docs.schema['doc_id'].dataType.simpleString()},h:bigint>"  # nullable fields on both sides: one shuffle serves both steps below
     marked = docs.withColumn("__key", F.struct("doc_id", F.xxhash64("text").alias("h")).cast(kind))
-    groups = simhash.near_duplicates(marked, "__key", "text", size=3, distance=NEAR_BITS)
+    groups = similar.near_duplicates(marked, "__key", "text")
     first = groups.where(F.col("__key") == F.col("component_id")).select("component_id").distinct()
     # rows that repeat one another share a key (a struct, never null); one of them stays, without a second shuffle
     return marked.join(first, F.col("__key") == F.col("component_id"), "left_semi").dropDuplicates(["__key"]).drop("__key")

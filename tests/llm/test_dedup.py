@@ -165,3 +165,39 @@ def test_run_index_samples_suffice():
     assert len(index.runs()) < index.n
     want = [i for i in range(len(text)) if "\n" not in text[i : i + 8] and len(text[i : i + 8]) == 8 and text.find(text[i : i + 8]) < i]
     assert index.repeats(8).tolist() == want
+
+
+def test_near_dedup_links_by_exact_five_word_similarity(spark):
+    import corpus_pipeline as P
+    from framelake.llm import similar
+
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(7))
+    texts = []
+    for _ in range(30):
+        base = [word() for _ in range(rnd.choice([3, 60, 200]))]
+        texts.append(base)
+        for changes in (1, 2, 4, 8, 12):  # of which few of the longer texts stay at 0.8 or above
+            own = list(base)
+            for _ in range(changes):
+                own[rnd.randrange(len(own))] = word()
+            texts.append(own)
+    rows = [(i * 7 % 1009, " ".join(t), "en", "s", 1) for i, t in enumerate(texts)]
+    sets = {d: {tuple(w[i : i + 5]) for w in [t.split()] for i in range(max(1, len(w) - 4))} for d, t, *_ in rows}
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    want = sorted(d for d in sets if find(d) == d)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in P.near_dedup(spark, docs, "").collect()) == want and len(want) < len(rows)
+    alone = [similar.shingle_set(t) for _, t, *_ in rows]
+    assert len(set(similar.clusters(alone).tolist())) == len(want)
