@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before
 kept; all but the last return the columns of ``documents``.
 
-* language_id drops documents that have no language: those without any letter.
+* language_id drops documents that have no language: those without any letter,
+  and those less like their nearest language than texts of their length are.
 * near_dedup leaves one document of each group of linked near copies, the one
   with the smallest id. Documents are linked if the exact Jaccard similarity of
   their five-word shingles is at least 0.8.
@@ -31,9 +32,8 @@ NEAR_BITS = 5
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    judge = langid.predictor(langid.learn(langid.training_rows(docs)))
-    judged = docs.withColumn("__judged", judge(F.col("text")))
-    return judged.where(~langid.rejected(F.col("__judged.lang_pred"), F.col("__judged.score"))).drop("__judged")
+    judged = docs.withColumn("__judged", langid.learned_judge(docs)(F.col("text")))
+    return judged.where(~langid.rejected(F.col("__judged.lang_pred"), F.col("__judged.score"), F.col("__judged.least"))).drop("__judged")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -91,6 +91,21 @@ def test_languages_of_odd_rows(spark, odd_docs, no_docs):
     assert [r.lang_pred for r in langid.identify(none).collect()] == ["und"]
 
 
+def test_texts_of_an_unlearned_language_are_rejected(spark):
+    import corpus_pipeline as P
+
+    docs = read_table(spark, "/root/testdata/sf0.1", "documents")
+    odd = ["Это совершенно обычный текст на русском языке о погоде и рынке в городе.", "xqzt wvkj qqpx zzkw jxvq kkqz vvxj qwzk pqxz jjkq zxvw", "Ez egy teljesen hétköznapi magyar mondat az időjárásról és a piacról"]
+    extra = spark.createDataFrame([(10**9 + i, t * 5, None) for i, t in enumerate(odd)], "doc_id long, text string, lang string")
+    both = docs.select("doc_id", "text", "lang").unionByName(extra)
+    rows = {r.doc_id: r for r in langid.identify(both).collect()}
+    assert all(rows[10**9 + i].rejected for i in range(len(odd)))
+    clean = [r for d, r in rows.items() if d < 10**9]
+    assert sum(r.rejected for r in clean) <= 0.005 * len(clean)
+    kept = {r.doc_id for r in P.language_id(spark, both, "").collect()}
+    assert kept == {d for d, r in rows.items() if not r.rejected}
+
+
 def test_bundles_add_up_whatever_the_split():
     binder, texts = langid.Binder(64), ["abc abd", "", "xyz é", "a b", "ab" * 50]
     whole = binder.bundle(texts)
