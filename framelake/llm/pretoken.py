@@ -201,6 +201,7 @@ class Words:
             self.first = np.concatenate([[0], np.cumsum(keep)])[self.first]
             begin, length = begin[keep], length[keep]
         data = np.frombuffer(raw or b"\0", dtype=np.uint8)
+        self.begin, self.end = begin, begin + length  # in bytes of all texts
         one, self.which = distinct(data, begin, length)
         self.words = [raw[b : b + n] for b, n in zip(begin[one].tolist(), length[one].tolist(), strict=True)]
 

@@ -3,7 +3,10 @@
 A lexicon of telling words is learned from labelled texts. Its words form a trie;
 a text's word becomes a Levenshtein automaton (bit-parallel, one state set for
 each number of edits) that is run along the trie, so all lexicon words within
-the allowed edits are met in one walk that leaves dead branches at once. Around
+the allowed edits are met in one walk that leaves dead branches at once. Edits are
+of letters, whatever their bytes (words of few letters but enough bytes are met by
+bytes). Two runs of letters with one digit or symbol between them are also looked
+up as one word, unless a run is a match of its own. Around
 each match a window of words tells quotation (quote marks on both sides, or words
 of reporting) from abuse. A logistic regression on a few sums of matches gives
 the score.
@@ -34,7 +37,7 @@ from .pretoken import Words, slices
 
 #: Labelled rows that the model is fitted on; words of a lexicon; the least evidence (G squared) and precision of a word.
 LABELLED, LEXICON, EVIDENCE, PRECISION = 8000, 2000, 22.0, 0.7
-#: Edits allowed in words of at least so many bytes; words on either side of a match that are looked at.
+#: Edits allowed in words of at least so many letters or bytes; words on either side of a match that are looked at.
 EDITS, LEAST_LENGTH, WINDOW = 1, 5, 6
 #: Characters worked on at once, and words remembered. They bound memory only.
 RUN, MEMO = 1_200_000, 250_000
@@ -53,9 +56,9 @@ dijo dice cita citó palabra escribió llamó
 
 
 class Trie:
-    """Lexicon words by their bytes; a node is (children, index of the word that ends here or -1)."""
+    """Lexicon words by their letters or bytes; a node is (children, index of the word that ends here or -1)."""
 
-    def __init__(self, words: Sequence[bytes]):
+    def __init__(self, words: Sequence[str] | Sequence[bytes]):
         self.root: list = [{}, -1]
         for i, w in enumerate(words):
             node = self.root
@@ -65,15 +68,15 @@ class Trie:
 
 
 class Levenshtein:
-    """The automaton of all byte strings within ``edits`` edits of a word.
+    """The automaton of all strings (of letters or of bytes) within ``edits`` edits of a word.
 
     State e is a set of places in the word, as bits: bit i is set if the first i
-    bytes can be matched with e edits.
+    letters can be matched with e edits.
     """
 
-    def __init__(self, word: bytes, edits: int):
+    def __init__(self, word: str | bytes, edits: int):
         self.size, self.edits = len(word), edits
-        self.match: dict[int, int] = {}
+        self.match: dict[int | str, int] = {}
         for i, c in enumerate(word):
             self.match[c] = self.match.get(c, 0) | (1 << i)
         self.full = (1 << (len(word) + 1)) - 1
@@ -81,7 +84,7 @@ class Levenshtein:
     def start(self) -> tuple[int, ...]:
         return tuple((1 << (e + 1)) - 1 & self.full for e in range(self.edits + 1))
 
-    def step(self, states: tuple[int, ...], c: int) -> tuple[int, ...]:
+    def step(self, states: tuple[int, ...], c: int | str) -> tuple[int, ...]:
         hit = self.match.get(c, 0)
         out = [(states[0] & hit) << 1]
         for e in range(1, len(states)):
@@ -105,6 +108,26 @@ class Levenshtein:
                     stack.append((child, after))
 
 
+class Near:
+    """The lexicon words, all of letters or all of bytes, that may be met with edits."""
+
+    def __init__(self, words: Sequence[str] | Sequence[bytes], number: Sequence[int]):
+        self.number, self.trie = number, Trie(words)
+        # one edit leaves the first or the last half of a word as it is
+        self.heads, self.tails = {w[: len(w) // 2] for w in words}, {w[len(w) // 2 :] for w in words}
+        self.head_sizes, self.tail_sizes = sorted({len(h) for h in self.heads}), sorted({len(t) for t in self.tails})
+        self.longest = max(map(len, words), default=-EDITS)
+
+    def look_up(self, word: str | bytes) -> tuple[int, int] | None:
+        """(edits, lexicon index) of the nearest word."""
+        n = len(word)
+        if not LEAST_LENGTH - EDITS <= n <= self.longest + EDITS:
+            return None
+        if EDITS == 1 and not any(word[:h] in self.heads for h in self.head_sizes) and not any(word[n - t :] in self.tails for t in self.tail_sizes if t <= n):
+            return None
+        return min(((used, self.number[i]) for i, used in Levenshtein(word, EDITS).along(self.trie)), default=None)
+
+
 class Matcher:
     """The lexicon's word that a text's word means, if any; what was found is remembered."""
 
@@ -112,13 +135,9 @@ class Matcher:
         self.words = [w.encode("utf-8") for w in words]
         self.weight = np.array([*weights, 0.0])
         self.exact = {w: i for i, w in enumerate(self.words)}
-        long = [w for w in self.words if len(w) >= LEAST_LENGTH]
-        self.number = [i for i, w in enumerate(self.words) if len(w) >= LEAST_LENGTH]
-        self.trie = Trie(long)
-        # one edit leaves the first or the last half of a word as it is
-        self.heads, self.tails = {w[: len(w) // 2] for w in long}, {w[len(w) // 2 :] for w in long}
-        self.head_sizes, self.tail_sizes = sorted({len(h) for h in self.heads}), sorted({len(t) for t in self.tails})
-        self.longest = max(map(len, long), default=0)
+        long = [i for i, w in enumerate(words) if len(w) >= LEAST_LENGTH]
+        wide = [i for i, w in enumerate(words) if len(w) < LEAST_LENGTH <= len(self.words[i])]
+        self.letters, self.bytes = Near([words[i] for i in long], long), Near([self.words[i] for i in wide], wide)
         self.marks = {q.encode("utf-8") for q in QUOTES.split()}
         self.reporting = {w.encode("utf-8") for w in REPORTING.split()}
         self.memo: dict[bytes, tuple[int, int]] = {}
@@ -127,13 +146,34 @@ class Matcher:
         """(lexicon index or -1, edits)."""
         if (i := self.exact.get(word)) is not None:
             return i, 0
-        n = len(word)
-        if not LEAST_LENGTH - EDITS <= n <= self.longest + EDITS:
-            return MISS
-        if EDITS == 1 and not any(word[:h] in self.heads for h in self.head_sizes) and not any(word[n - t :] in self.tails for t in self.tail_sizes if t <= n):
-            return MISS
-        found = min(((used, i) for i, used in Levenshtein(word, EDITS).along(self.trie)), default=None)
-        return MISS if found is None else (self.number[found[1]], found[0])
+        found = min(filter(None, (self.letters.look_up(word.decode("utf-8", "replace")), self.bytes.look_up(word))), default=None)
+        return MISS if found is None else (found[1], found[0])
+
+    def remembered(self, word: bytes) -> tuple[int, int]:
+        hit = self.memo.get(word)
+        if hit is None:
+            hit = self.memo[word] = self.look_up(word)
+        return hit
+
+    def broken(self, part: Words, missed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where a word begins that one digit or symbol breaks, and its lexicon word; ``missed`` tells which pieces are no match.
+
+        Lexicon words are of letters alone, so one edit mends no more than one such
+        character; at an end of a word, the letters alone are one edit away.
+        """
+        n = len(part.which) - 2
+        if n <= 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        plain = [w.decode("utf-8", "replace") for w in part.words]
+        letters = np.fromiter((w.isalpha() for w in plain), dtype=bool, count=len(plain))[part.which]
+        single = np.fromiter((len(w) == 1 and not w.isalpha() for w in plain), dtype=bool, count=len(plain))[part.which]
+        touch = part.end[:-1] == part.begin[1:]
+        touch[part.first[(part.first > 0) & (part.first < len(part.which))] - 1] = False
+        sides = letters & missed
+        at = np.flatnonzero(sides[:n] & single[1:-1] & sides[2:] & touch[:-1] & touch[1:])
+        words = [part.words[a] + part.words[b] + part.words[c] for a, b, c in zip(*(part.which[at + k].tolist() for k in range(3)), strict=True)]
+        index = np.array([self.remembered(w)[0] for w in words], dtype=np.int64)
+        return at[index >= 0], index[index >= 0]
 
     def features(self, texts: Sequence[str | None]) -> np.ndarray:
         """One row per text: sums over matches, by kind."""
@@ -143,29 +183,26 @@ class Matcher:
             part = Words(texts[a:b], bare=True)
             if len(self.memo) > MEMO:
                 self.memo.clear()
-            found = []
-            for w in part.words:
-                hit = self.memo.get(w)
-                if hit is None:
-                    hit = self.memo[w] = self.look_up(w)
-                found.append(hit)
+            found = [self.remembered(w) for w in part.words]
             index = np.array([i for i, _ in found], dtype=np.int64)
             edits = np.array([e for _, e in found], dtype=np.int64)
             mark = np.fromiter((bool(self.marks.intersection((w, w[:1], w[-1:], w[-3:], w[:3], w[:2], w[-2:]))) for w in part.words), dtype=bool, count=len(part.words))
             report = np.fromiter(map(self.reporting.__contains__, part.words), dtype=bool, count=len(part.words))
             at = np.flatnonzero(index[part.which] >= 0) if len(part.which) else np.zeros(0, np.int64)
+            hits, exact = index[part.which[at]], edits[part.which[at]] == 0
+            mended, meant = self.broken(part, index[part.which] < 0)
+            after = np.concatenate([at + 1, mended + 3])
+            at, hits, exact = np.concatenate([at, mended]), np.concatenate([hits, meant]), np.concatenate([exact, np.zeros(len(mended), dtype=bool)])
             first = part.first
             doc = np.searchsorted(first, at, side="right") - 1
-            lo, hi = np.maximum(at - WINDOW, first[doc]), np.minimum(at + WINDOW + 1, first[doc + 1])
+            lo, hi = np.maximum(at - WINDOW, first[doc]), np.minimum(after + WINDOW, first[doc + 1])
             marks = np.concatenate([[0], np.cumsum(mark[part.which])]) if len(part.which) else np.zeros(1, np.int64)
             reports = np.concatenate([[0], np.cumsum(report[part.which])]) if len(part.which) else np.zeros(1, np.int64)
-            quoted = ((marks[at] > marks[lo]) & (marks[hi] > marks[np.minimum(at + 1, hi)])) | (reports[hi] > reports[lo])
-            word = part.which[at]
-            weight = self.weight[index[word]]
-            exact = edits[word] == 0
+            quoted = ((marks[at] > marks[lo]) & (marks[hi] > marks[np.minimum(after, hi)])) | (reports[hi] > reports[lo])
+            weight = self.weight[hits]
             for column, chosen in enumerate((exact & ~quoted, ~exact & ~quoted, quoted)):
                 np.add.at(out[a:b, column], doc[chosen], weight[chosen])
-            pairs = np.unique(np.stack([doc[~quoted], index[word[~quoted]]]), axis=1)
+            pairs = np.unique(np.stack([doc[~quoted], hits[~quoted]]), axis=1)
             np.add.at(out[a:b, 3], pairs[0], 1.0)
             out[a:b, 4] = out[a:b, 0] / np.maximum(np.diff(first), 20) * 100.0
         return np.log1p(out)

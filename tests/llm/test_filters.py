@@ -143,6 +143,15 @@ def test_quotation_counts_apart_from_abuse():
     assert plain[0] > 0 and plain[2] == 0 and wrong[1] > 0 and wrong[0] == 0 and quoted[2] > 0 and quoted[0] == 0 and said[2] > 0 and not none.any()
 
 
+def test_misspellings_with_symbols_and_of_other_letters_match():
+    m = toxic.Matcher(["idiot", "stupid", "imbécile", "дурак"], [1.0, 1.0, 1.0, 1.0])
+    texts = ["you id1ot there", "so st*pid, really", "an imbecile here", "ты дура здесь", "(id.iot)", "an imbécile1 here"]
+    for f in m.features(texts):
+        assert f[0] + f[1] > 0 and f[2] == 0
+    assert m.features(["id1ot"])[0, 1] == np.log1p(1.0)
+    assert not m.features(["id 1 ot", "id12ot", "st**pid", "id1", "ot", "дом"]).any()
+
+
 def toxic_tables(spark):
     rnd = random.Random(5)
     word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(3, 6)))
