@@ -42,11 +42,12 @@ def find_similar(prints: DataFrame, reference: str, key: str = "video", bits: st
 
 
 def near_pairs(prints: DataFrame, key: str = "video", bits: str = "bits", threshold: float = T.SIMILARITY_THRESHOLD) -> DataFrame:
-    """(a, b, similarity) of all pairs of different hashes at least so similar, and of each hash's first two keys.
+    """(a, b, similarity) of all pairs of different hashes at least so similar, and of each hash's first key with every other.
 
     Two hashes of n bits that differ in at most d places agree on one of d + 1
     pieces; pairs meet only by an equal piece. Equal hashes are one entry: the
-    pairs are of their smallest keys, ``members`` lists who shares one.
+    pairs are of their smallest keys, and each further key has a pair with its
+    hash's smallest.
     """
     entries = prints.groupBy(bits).agg(F.min(key).alias("k"))
     # the number of places that may differ follows from the hash's length
@@ -56,7 +57,9 @@ def near_pairs(prints: DataFrame, key: str = "video", bits: str = "bits", thresh
     pieces = entries.withColumn("__d", d).select("k", bits, F.explode(F.transform(F.sequence(F.lit(0), F.col("__d")), piece)).alias("p"))
     a, b = pieces.select("p", F.col("k").alias("a"), F.col(bits).alias("x")), pieces.select("p", F.col("k").alias("b"), F.col(bits).alias("y"))
     met = a.join(b, "p").where("a < b").select("a", "b", similarity(F.col("x"), F.col("y")).alias("similarity"))
-    return met.where(F.col("similarity") >= threshold).distinct()
+    shared = members(prints.where(F.length(bits) > 0), key, bits).where(F.col(key) != F.col("representative"))
+    copies = shared.select(F.col("representative").alias("a"), F.col(key).alias("b"), F.lit(1.0).alias("similarity"))
+    return met.where(F.col("similarity") >= threshold).union(copies).distinct()
 
 
 def members(prints: DataFrame, key: str = "video", bits: str = "bits") -> DataFrame:

@@ -259,3 +259,10 @@ def test_analysis_without_scenes(spark):
     none = spark.createDataFrame([], "video string, start_time double, end_time double, confidence double")
     r = analyse(info, none).first()
     assert (r.total_scenes, r.scenes) == (0, None)
+
+
+def test_frames_of_equal_hashes_are_near_pairs(spark):
+    from framelake.operators import fingerprint
+
+    prints = spark.createDataFrame([(4, "1100"), (2, "1100"), (9, "1100"), (5, "1101"), (6, "0011"), (7, "")], "video long, bits string")
+    assert {tuple(r) for r in fingerprint.near_pairs(prints, threshold=0.75).collect()} == {(2, 4, 1.0), (2, 9, 1.0), (2, 5, 0.75)}
