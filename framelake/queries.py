@@ -88,7 +88,7 @@ def scene_segments(s, d):
 def correlation_cuts(s, d):
     x = sequence.previous(V.thumbnails(s, d), "video", ["frame"], ["frame", "pixels"], F.floor(F.col("frame") / 10_000))
     scored = x.where("prev IS NOT NULL").select("video", "frame", F.round(sequence.correlation(F.col("prev.pixels"), F.col("pixels")), 8).alias("corr"))
-    return scored.where(F.col("corr") < 0.2)
+    return scored.where(F.col("corr") < T.CORRELATION_CUT)
 
 
 def pixel_difference(s, d):

@@ -266,3 +266,10 @@ def test_frames_of_equal_hashes_are_near_pairs(spark):
 
     prints = spark.createDataFrame([(4, "1100"), (2, "1100"), (9, "1100"), (5, "1101"), (6, "0011"), (7, "")], "video long, bits string")
     assert {tuple(r) for r in fingerprint.near_pairs(prints, threshold=0.75).collect()} == {(2, 4, 1.0), (2, 9, 1.0), (2, 5, 0.75)}
+
+
+def test_cuts_are_taken_below_the_reference_correlation(spark):
+    from framelake import queries
+
+    found = [r["corr"] for r in queries.correlation_cuts(spark, "/root/testdata/sf0.001").collect()]
+    assert all(c < 0.98 for c in found) and any(c >= 0.2 for c in found)
