@@ -325,7 +325,7 @@ def video_analysis(s, d):
 
 
 def first_scenes(s, d):
-    return sequence.first_scenes(scene_segments(s, d), most=5)
+    return sequence.first_scenes(scene_segments(s, d))
 
 
 def sample_seconds(s, d):

@@ -273,3 +273,9 @@ def test_cuts_are_taken_below_the_reference_correlation(spark):
 
     found = [r["corr"] for r in queries.correlation_cuts(spark, "/root/testdata/sf0.001").collect()]
     assert all(c < 0.98 for c in found) and any(c >= 0.2 for c in found)
+
+
+def test_a_video_lists_up_to_twenty_scenes(spark):
+    from framelake import queries
+
+    assert 5 < max(r["place"] for r in queries.first_scenes(spark, "/root/testdata/sf0.001").collect()) <= 20
