@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+from math import comb
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,25 +45,57 @@ def find_similar(prints: DataFrame, reference: str, key: str = "video", bits: st
     return scored.where(F.col("similarity") >= threshold)
 
 
+def probe_plan(n: int, most: int, keys: int = 4096) -> list[tuple[int, int, int]]:
+    """(begin, width, radius) of pieces of n bits such that strings with at most ``most`` differences have a piece within its radius.
+
+    If every piece differed in more places than its radius, the differences would
+    add up to more than ``most``. Fewer and longer pieces let fewer pairs meet, so
+    the fewest are taken for which a piece has at most ``keys`` strings near it.
+    """
+    for p in range(1, n + 1):
+        spare = most - p + 1
+        radius = [spare // p + (i < spare % p) if spare >= 0 else 0 for i in range(p)]
+        cuts = [n * i // p for i in range(p + 1)]
+        plan = [(cuts[i], cuts[i + 1] - cuts[i], radius[i]) for i in range(p)]
+        if all(w <= 62 and sum(comb(w, j) for j in range(r + 1)) <= keys for _, w, r in plan):
+            return plan[: most + 1]  # more pieces than differences: one of the first is equal
+    return [(i, 1, 0) for i in range(n)]
+
+
+def masks(width: int, radius: int) -> list[int]:
+    """All numbers of ``width`` bits with at most ``radius`` of them set."""
+    return [sum(1 << i for i in c) for r in range(min(width, radius) + 1) for c in combinations(range(width), r)]
+
+
 def near_pairs(prints: DataFrame, key: str = "video", bits: str = "bits", threshold: float = T.SIMILARITY_THRESHOLD) -> DataFrame:
     """(a, b, similarity) of all pairs of different hashes at least so similar, and of each hash's first key with every other.
 
-    Two hashes of n bits that differ in at most d places agree on one of d + 1
-    pieces; pairs meet only by an equal piece. Equal hashes are one entry: the
+    One side has each piece of a hash as a number, the other all numbers near it
+    (``probe_plan``); pairs that meet are compared word by word within the join,
+    and only at their first piece that is near. Equal hashes are one entry: the
     pairs are of their smallest keys, and each further key has a pair with its
-    hash's smallest.
+    hash's smallest. The lengths of hashes (one, as a rule) are asked for first.
     """
-    entries = prints.groupBy(bits).agg(F.min(key).alias("k"))
-    # the number of places that may differ follows from the hash's length
-    d = F.floor(F.length(bits) * F.lit(1.0 - threshold) + F.lit(1e-9)).cast("int")
-    cut = lambda i: F.floor(F.length(bits) * i / (F.col("__d") + 1)).cast("int")
-    piece = lambda i: F.struct(i.alias("i"), F.substring(F.col(bits), cut(i) + 1, cut(i + 1) - cut(i)).alias("s"), F.length(bits).alias("n"))
-    pieces = entries.withColumn("__d", d).select("k", bits, F.explode(F.transform(F.sequence(F.lit(0), F.col("__d")), piece)).alias("p"))
-    a, b = pieces.select("p", F.col("k").alias("a"), F.col(bits).alias("x")), pieces.select("p", F.col("k").alias("b"), F.col(bits).alias("y"))
-    met = a.join(b, "p").where("a < b").select("a", "b", similarity(F.col("x"), F.col("y")).alias("similarity"))
+    spark = prints.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    entries = prints.where(F.length(bits) > 0).groupBy(bits).agg(F.min(key).alias("k"))
     shared = members(prints.where(F.length(bits) > 0), key, bits).where(F.col(key) != F.col("representative"))
-    copies = shared.select(F.col("representative").alias("a"), F.col(key).alias("b"), F.lit(1.0).alias("similarity"))
-    return met.where(F.col("similarity") >= threshold).union(copies).distinct()
+    out = shared.select(F.col("representative").alias("a"), F.col(key).alias("b"), F.lit(1.0).alias("similarity"))
+    for n in sorted(r[0] for r in prints.where(F.length(bits) > 0).select(F.length(bits)).distinct().collect()):
+        most = int(n * (1.0 - threshold) + 1e-9)
+        plan, words = probe_plan(n, most), [(i, min(62, n - i)) for i in range(0, n, 62)]
+        number = lambda i, w: F.conv(F.substring(F.col(bits), i + 1, w), 2, 10).cast("long")
+        pieces = F.array(*[number(i, w) for i, w, _ in plan])
+        own = entries.where(F.length(bits) == n).select("k", F.array(*[number(i, w) for i, w in words]).alias("w"), pieces.alias("p")).repartition(parts, "k")
+        apart = lambda x, y: reduce(lambda s, t: s + t, [F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(len(words))])
+        for i, (_, _, radius) in enumerate(plan):
+            near = F.explode(F.lit(masks(plan[i][1], radius))).alias("m")
+            a = own.select(F.col("k").alias("a"), F.col("w").alias("aw"), F.col("p").alias("ap"), F.col("p")[i].alias("ak"))
+            b = own.select(F.col("k").alias("b"), F.col("w").alias("bw"), F.col("p").alias("bp"), near).withColumn("bk", F.col("bp")[i].bitwiseXOR(F.col("m")))
+            earlier = [F.bit_count(F.col("ap")[j].bitwiseXOR(F.col("bp")[j])) > plan[j][2] for j in range(i)]
+            met = a.join(b, reduce(lambda x, y: x & y, earlier, (F.col("ak") == F.col("bk")) & (F.col("a") < F.col("b")) & (apart("aw", "bw") <= most)))
+            out = out.union(met.select("a", "b", ((F.lit(n) - apart("aw", "bw")) / F.lit(n)).alias("similarity")))
+    return out
 
 
 def members(prints: DataFrame, key: str = "video", bits: str = "bits") -> DataFrame:
