@@ -27,6 +27,20 @@ def previous(rows: DataFrame, video: str, order: list[str], values: list[str], b
     return joined.withColumn("prev", F.when(F.col("__first"), F.col("__t")).otherwise(F.col("__p"))).drop("__b", "__p", "__first", "__t", "__v", "__c")
 
 
+def numbered(rows: DataFrame, group: str, order: list[str], block: Column, name: str = "idx") -> DataFrame:
+    """Adds the place (from 1, a long) within the group: places within blocks, and the counts of the blocks before.
+
+    ``block`` must not fall along ``order``; it cuts a group into pieces of bounded size.
+    """
+    own = rows.withColumn("__b", block)
+    counts = own.groupBy(F.col(group).alias("__g"), F.col("__b").alias("__c")).agg(F.count("*").alias("__n"))
+    before = Window.partitionBy("__g").orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("__g", "__c", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__s"))
+    inside = F.row_number().over(Window.partitionBy(group, "__b").orderBy(*order))
+    joined = own.withColumn("__i", inside).join(starts, F.col(group).eqNullSafe(F.col("__g")) & F.col("__b").eqNullSafe(F.col("__c")))
+    return joined.withColumn(name, F.col("__s") + F.col("__i")).drop("__b", "__i", "__g", "__c", "__s")
+
+
 def difference_scores(frames: DataFrame, video: str, order: list[str], luma: str, block: Column) -> DataFrame:
     """Adds score: the change of a scalar luma against the frame before, of 255 (0 for the first)."""
     return previous(frames, video, order, [luma], block).withColumn("score", F.coalesce(F.abs(F.col(luma) - F.col(f"prev.{luma}")) / 255.0, F.lit(0.0))).drop("prev")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .functions import tables as T
-from .views import AUDIO_CODECS, EXTENSIONS, FORMATS, TRANSFERS, VIDEO_CODECS
+from .views import AUDIO_CODECS, EXTENSIONS, FORMATS, MODEL_FOLDERS, TRANSFERS, VIDEO_CODECS
 
 _list = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
 _in = lambda xs: "(" + ", ".join(f"'{x}'" for x in xs) + ")"
@@ -39,6 +39,8 @@ MODE = "['none', 'target', 'min', 'avg', 'max'][CAST(l_suppkey % 5 + 1 AS INTEGE
 QUALITY = """CASE mode WHEN 'min' THEN l_quantity WHEN 'avg' THEN l_quantity * 2 + 0.5 WHEN 'max' THEN CASE WHEN l_partkey % 2 = 0 THEN l_quantity * 2 + 1 ELSE l_quantity * 2 END ELSE l_quantity * 2 END"""
 FIXED_ON = "['stabilize', 'denoise_video', 'deblock', 'normalize_volume', 'normalize_audio']"
 PLANNED = f"""{MEDIA}, planned AS (SELECT *, list_concat(['detect'], list_filter([CASE WHEN width < 1920 OR height < 1080 THEN 'upscale' END, CASE WHEN framerate > 0 AND framerate < 60 THEN 'interpolate' END, CASE WHEN is_hdr THEN 'hdr' END], lambda x: x IS NOT NULL), {FIXED_ON}, ['encode']) AS stages FROM info)"""
+MODEL_FILES = f"""listed AS (SELECT CASE WHEN p_partkey % 8 < 4 THEN {_pick([m[1] for m in T.MODELS[:4]], 'p_partkey % 4')} ELSE 'own_' || p_partkey || '.pth' END AS filename,
+  {_pick(MODEL_FOLDERS, 'p_partkey // 8')} AS dir, p_size::BIGINT * 1000000 AS size_bytes FROM part)"""
 HABLE = "((({x}) * (({x}) * 0.15 + 0.05) + 0.004) / (({x}) * (({x}) * 0.15 + 0.5) + 0.06) - 0.02 / 0.3)"
 
 
@@ -84,9 +86,10 @@ def _config() -> str:
 
 def _models() -> str:
     reg = ", ".join(f"('{n}', '{f}', '{d}')" for n, f, _, d, _ in T.MODELS)
-    return f"""WITH reg AS (SELECT * FROM (VALUES {reg}) t(name, filename, description)), cached AS (SELECT {_list([m[1] for m in T.MODELS[:3]] + ['own.pth', 'rife_v4.6.pkl', 'x.bin'])}[CAST(p_partkey + 1 AS INTEGER)] AS filename, p_size::BIGINT * 1000000 AS size_bytes FROM part WHERE p_partkey < 6)
-    SELECT name, reg.filename AS filename, description, size_bytes IS NOT NULL AS cached, round(size_bytes::DOUBLE / (1024.0::DOUBLE * 1024.0), 1) AS actual_mb FROM reg LEFT JOIN cached ON reg.filename = cached.filename
-    UNION ALL SELECT filename, filename, 'Custom model', true, round(size_bytes::DOUBLE / (1024.0::DOUBLE * 1024.0), 1) FROM cached WHERE filename NOT IN (SELECT filename FROM reg)"""
+    mb = "round(size_bytes::DOUBLE / (1024.0::DOUBLE * 1024.0), 1)"
+    return f"""WITH {MODEL_FILES}, reg AS (SELECT * FROM (VALUES {reg}) t(name, filename, description)), cached AS (SELECT filename, max(size_bytes) AS size_bytes FROM listed GROUP BY 1)
+    SELECT name, reg.filename AS filename, description, size_bytes IS NOT NULL AS cached, {mb} AS actual_mb FROM reg LEFT JOIN cached ON reg.filename = cached.filename
+    UNION ALL SELECT filename, filename, 'Custom model', true, {mb} FROM cached WHERE filename NOT IN (SELECT filename FROM reg)"""
 
 
 def _matrix() -> str:
@@ -121,24 +124,26 @@ def oracle_sql() -> dict[str, str]:
         "frame_pairs": f"WITH {FRAMES}, p AS (SELECT *, lag(event_id) OVER (PARTITION BY video ORDER BY idx) AS prev_event_id FROM frames) SELECT video, idx, event_id, prev_event_id FROM p WHERE idx >= 1 AND idx % 3 = 0",
         "frame_scores": f"WITH {SCORED} SELECT video, event_id, t, score FROM scored",
         "scene_segments": f"WITH {SCENES} SELECT * FROM scenes",
-        "first_scenes": f"WITH {SCENES} SELECT video, start_time, end_time, confidence, CAST(place AS INTEGER) AS place FROM placed WHERE place <= 5",
+        "first_scenes": f"WITH {SCENES} SELECT video, start_time, end_time, confidence, CAST(place AS INTEGER) AS place FROM placed WHERE place <= 20",
         "video_analysis": f"""WITH {SCENES}, n AS (SELECT video, count(*) AS n_frames, max(t) AS duration FROM frames GROUP BY 1), g AS (SELECT video, count(*) AS c, round(sum(end_time - start_time), 4) AS scene_seconds, min(end_time) FILTER (place = 1) AS first_end FROM placed GROUP BY 1)
           SELECT video, n_frames, duration, coalesce(c, 0) AS total_scenes, scene_seconds, CAST(least(c, 20) AS INTEGER) AS n_listed, first_end FROM n LEFT JOIN g USING (video)""",
         "sample_seconds": f"WITH {FRAMES} SELECT video, CAST(floor(t / 3600.0::DOUBLE) AS BIGINT) AS second, min(idx) AS idx FROM frames GROUP BY ALL",
         "stage_progress": f"WITH {RESULTS} SELECT job_id, ord, ord = max(ord) OVER (PARTITION BY job_id) AS is_last, round((ord - 1 + least(1.0::DOUBLE, duration_sec / 40.0::DOUBLE)) / count(*) OVER (PARTITION BY job_id), 8) AS overall FROM results",
         "job_sizes": "SELECT p_partkey AS job_id, round(coalesce(p_retailprice / nullif(p_size * 10 * (p_partkey % 4), 0), 0.0::DOUBLE), 8) AS size_ratio FROM part",
         "job_status": f"WITH {ROLLUP} SELECT CASE WHEN job_id % 10 = 0 THEN 'cancelled' WHEN n_errors = 0 THEN 'completed' ELSE 'failed' END AS status, count(*) AS n FROM rolled GROUP BY 1",
-        "model_paths": f"SELECT * FROM (VALUES {', '.join(f"('{m[0]}', {p})" for m, p in zip(T.MODELS, ('NULL', "'models/RealESRGAN_x2plus.pth'", 'NULL', "'/cache/rife_v4.6.pkl'", 'NULL')))}) t(name, path)",
+        "model_paths": f"""WITH {MODEL_FILES}, reg AS (SELECT * FROM (VALUES {', '.join(f"('{m[0]}', '{m[1]}')" for m in T.MODELS)}) t(name, filename))
+          SELECT name, arg_min(dir || '/' || listed.filename, CASE WHEN dir = 'models' THEN '1' ELSE '0' END || dir || '/' || listed.filename) AS path FROM reg LEFT JOIN listed ON reg.filename = listed.filename GROUP BY 1""",
         "stage_parameters": f"""SELECT event_id, CASE event_id % 4 {' '.join(f"WHEN {i} THEN '{':'.join(map(str, T.DENOISE[k]))}'" for i, k in ((0, 'low'), (1, 'medium'), (2, 'high'), (3, 'medium')))} END AS denoise,
           {_pick(('low', 'medium', 'high', 'extreme'), 'event_id')} || '=1:ssim=1' AS flags, {_pick(('OK', 'SKIP', 'FAIL'), 'event_id')} AS icon FROM events""",
         "correlation_cuts": f"""WITH {SHOTS}, p AS (SELECT video, frame, px, lag(px) OVER (PARTITION BY video ORDER BY frame) AS q FROM shots), u AS (SELECT video, frame, unnest(px) AS x, unnest(q) AS y FROM p WHERE q IS NOT NULL)
-          SELECT * FROM (SELECT video, frame, round(corr(x, y), 8) AS corr FROM u GROUP BY ALL) WHERE corr < 0.2""",
+          SELECT * FROM (SELECT video, frame, round(corr(x, y), 8) AS corr FROM u GROUP BY ALL) WHERE corr < {T.CORRELATION_CUT}""",
         "pixel_difference": f"""WITH {SHOTS}, p AS (SELECT video, frame, px, lag(px) OVER (PARTITION BY video ORDER BY frame) AS q FROM shots), u AS (SELECT video, frame, unnest(px) AS x, unnest(q) AS y FROM p WHERE q IS NOT NULL)
           SELECT video, frame, round(avg(abs(x - y)) / 255, 10) AS score FROM u GROUP BY ALL""",
         "video_fingerprint": f"""WITH {SHOTS}, px AS (SELECT video, frame, generate_subscripts(px, 1) AS i, unnest(px) AS x, list_avg(px) AS m FROM shots), c AS (SELECT video, i, count(*) FILTER (x > m) AS ones, count(*) AS n FROM px GROUP BY ALL)
           SELECT video, string_agg(CASE WHEN ones * 2 > n THEN '1' ELSE '0' END, '' ORDER BY i) AS bits, max(n) AS n_frames FROM c GROUP BY 1""",
         "find_similar": f"WITH {PRINTS} SELECT a.video, round(1 - hamming(a.bits, b.bits) / 64.0::DOUBLE, 8) AS similarity FROM prints a, prints b WHERE b.video = 0 AND a.video <> 0 AND 64 - hamming(a.bits, b.bits) >= 0.55 * 64",
-        "near_duplicate_pairs": f"WITH {PRINTS}, e AS (SELECT bits, min(video) AS k FROM prints GROUP BY 1) SELECT a.k AS a, b.k AS b, round(1 - hamming(a.bits, b.bits) / 64.0::DOUBLE, 8) AS similarity FROM e a, e b WHERE a.k < b.k AND 64 - hamming(a.bits, b.bits) >= 0.70 * 64",
+        "near_duplicate_pairs": f"""WITH {PRINTS}, e AS (SELECT bits, min(video) AS k FROM prints GROUP BY 1) SELECT a.k AS a, b.k AS b, round(1 - hamming(a.bits, b.bits) / 64.0::DOUBLE, 8) AS similarity FROM e a, e b WHERE a.k < b.k AND 64 - hamming(a.bits, b.bits) >= 0.70 * 64
+          UNION ALL SELECT k, video, 1.0::DOUBLE FROM prints JOIN e USING (bits) WHERE video <> k""",
         "shake_analysis": f"WITH {VECTORS} SELECT video, round(avg(m), 8) AS avg_motion, round(max(m), 8) AS max_motion, round(avg(CASE WHEN m > 2 THEN 1.0::DOUBLE ELSE 0 END), 8) AS significant, avg(m) > 2 OR avg(CASE WHEN m > 2 THEN 1.0::DOUBLE ELSE 0 END) > 0.5 AS needs_stabilization FROM mags GROUP BY 1",
         "motion_outliers": f"WITH {VECTORS}, f AS (SELECT video, frame, avg(m) AS motion FROM mags GROUP BY ALL), l AS (SELECT video, median(motion) * 3 AS lim FROM f GROUP BY 1) SELECT video, frame, round(motion, 8) AS motion, round(lim, 8) AS motion_limit FROM f JOIN l USING (video) WHERE motion > lim",
         "motion_cleaned": f"""WITH {VECTORS}, f AS (SELECT video, frame, avg(m) AS motion FROM mags GROUP BY ALL), l AS (SELECT video, median(motion) * 3 AS lim FROM f GROUP BY 1), bad AS (SELECT video, frame FROM f JOIN l USING (video) WHERE motion > lim)

@@ -299,8 +299,7 @@ def file_checksums(s, d):
 
 
 def model_inventory(s, d):
-    cached = V.table(s, d, "part").where("p_partkey < 6").select(F.element_at(F.array(*[F.lit(m[1]) for m in T.MODELS[:3]], F.lit("own.pth"), F.lit("rife_v4.6.pkl"), F.lit("x.bin")), (F.col("p_partkey") + 1).cast("int")).alias("filename"), (F.col("p_size") * 1000000).cast("long").alias("size_bytes"))
-    return files.model_inventory(files.models(s), cached)
+    return files.model_inventory(files.models(s), V.model_files(s, d))
 
 
 def upscale_pixels(s, d):
@@ -348,8 +347,7 @@ def job_status(s, d):
 
 
 def model_paths(s, d):
-    names = F.array(*[F.lit(x) for x in ("/cache/rife_v4.6.pkl", "models/rife_v4.6.pkl", "models/RealESRGAN_x2plus.pth", "models/own.pth")])
-    return files.model_paths(files.models(s), V.table(s, d, "part").where("p_partkey < 4").select(F.element_at(names, (F.col("p_partkey") + 1).cast("int")).alias("path")))
+    return files.model_paths(files.models(s), V.model_files(s, d))
 
 
 def stage_parameters(s, d):

@@ -52,8 +52,10 @@ def models(spark: SparkSession) -> DataFrame:
 def model_inventory(registry: DataFrame, cached: DataFrame) -> DataFrame:
     """Registered models with what is cached of them, and cached files that no model claims.
 
-    ``cached`` has filename and size_bytes. The registry is a fixed table of a few rows.
+    ``cached`` has filename and size_bytes; of files of one name the largest counts.
+    The registry is a fixed table of a few rows.
     """
+    cached = cached.groupBy("filename").agg(F.max("size_bytes").alias("size_bytes"))
     mb = F.round(F.col("size_bytes") / (1024.0 * 1024.0), 1)
     known = F.broadcast(registry).join(cached, "filename", "left").select("name", "filename", "description", F.col("size_bytes").isNotNull().alias("cached"), mb.alias("actual_mb"))
     custom = cached.join(F.broadcast(registry), "filename", "left_anti").select(F.col("filename").alias("name"), "filename", F.lit("Custom model").alias("description"), F.lit(True).alias("cached"), mb.alias("actual_mb"))
@@ -72,6 +74,6 @@ def model_paths(registry: DataFrame, listing: DataFrame, local: str = "models")
     ``listing`` has path. The registry is a fixed table of a few rows.
     """
     named = listing.select(S.base_name(F.col("path")).alias("filename"), "path", S.directory(F.col("path")).alias("dir"))
-    found = F.broadcast(registry).join(named, "filename", "left")
     preferred = F.min_by("path", F.struct((F.col("dir") == local).cast("int"), "path"))
-    return found.groupBy("name").agg(preferred.alias("path"))
+    best = named.join(F.broadcast(registry.select("filename")), "filename", "left_semi").groupBy("filename").agg(preferred.alias("path"))
+    return registry.join(best, "filename", "left").select("name", "path")

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .operators import sequence
+
 EXTENSIONS = (".mp4", ".MKV", ".avi", ".jpg", ".txt", ".Mov", ".PNG", ".webm")
 FORMATS = ("matroska", "mov,mp4,m4a,3gp,3g2,mj2", "mkv")
 TRANSFERS = ("smpte2084", "ARIB-STD-B67", "bt709", "bt709", "bt709", "bt709", "bt709", "bt709")
 VIDEO_CODECS = ("h264", "prores", "hevc", "vp9", "dnxhd")
 AUDIO_CODECS = ("aac", "ac3", "opus")
+MODEL_FOLDERS = ("/cache", "models", "/srv/shared")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,9 +59,17 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def indexed_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``frames`` with idx, the place within the video."""
-    order = Window.partitionBy("video").orderBy("us", "event_id")
-    return frames(spark, sf_dir).withColumn("idx", (F.row_number().over(order) - 1).cast("long"))
+    """``frames`` with idx, the place within the video, numbered day by day."""
+    return sequence.numbered(frames(spark, sf_dir), "video", ["us", "event_id"], F.floor(F.col("us") / 86_400_000_000)).withColumn("idx", F.col("idx") - 1)
+
+
+def model_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(filename, path, size_bytes): a model file for each part, half of them of registered names."""
+    from .functions.tables import MODELS
+
+    name = F.when(F.col("p_partkey") % 8 < 4, pick(tuple(m[1] for m in MODELS[:4]), F.col("p_partkey") % 4)).otherwise(F.concat(F.lit("own_"), F.col("p_partkey").cast("string"), F.lit(".pth")))
+    rows = table(spark, sf_dir, "part").select(name.alias("filename"), pick(MODEL_FOLDERS, F.floor(F.col("p_partkey") / 8)).alias("dir"), (F.col("p_size") * 1000000).cast("long").alias("size_bytes"))
+    return rows.select("filename", F.concat_ws("/", "dir", "filename").alias("path"), "size_bytes")
 
 
 def vectors(spark: SparkSession, sf_dir: str, scale: int = 1) -> DataFrame:
