@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
@@ -20,10 +20,29 @@ def shake(vectors: DataFrame, video: str = "video", threshold: float = T.SHAKE_T
     return out.withColumn("needs_stabilization", F.coalesce((F.col("avg_motion") > threshold) | (F.col("significant") > T.SIGNIFICANT_SHARE), F.lit(False)))
 
 
+def exact_median(rows: DataFrame, group: str, value: str, steps: int = 64) -> DataFrame:
+    """(group, median) by counts that add up, so a hot group is never in one buffer.
+
+    Values are counted by ranges of 1 / ``steps``; only the ranges in which the
+    middle ranks fall are counted by value. Nulls don't count.
+    """
+    own = rows.where(F.col(value).isNotNull()).select(F.col(group).alias("__g"), F.col(value).cast("double").alias("__x")).withColumn("__b", F.floor(F.col("__x") * steps))
+    so_far = lambda by: F.sum("__n").over(Window.partitionBy("__g").orderBy(by).rowsBetween(Window.unboundedPreceding, 0))
+    blocks = own.groupBy("__g", "__b").agg(F.count("*").alias("__n"))
+    placed = blocks.select("__g", "__b", (so_far("__b") - F.col("__n")).alias("__from"), so_far("__b").alias("__to"), F.sum("__n").over(Window.partitionBy("__g")).alias("__all"))
+    low, high = F.expr("(__all - 1) div 2"), F.expr("__all div 2")
+    middle = placed.where(((low >= F.col("__from")) & (low < F.col("__to"))) | ((high >= F.col("__from")) & (high < F.col("__to"))))
+    chosen = own.join(middle, ["__g", "__b"]).groupBy("__g", "__b", "__x").agg(F.count("*").alias("__n"), F.first("__from").alias("__from"), F.first("__all").alias("__all"))
+    inside = Window.partitionBy("__g", "__b").orderBy("__x").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = chosen.withColumn("__end", F.col("__from") + F.sum("__n").over(inside)).withColumn("__begin", F.col("__end") - F.col("__n"))
+    holds = lambda rank: F.max(F.when((rank >= F.col("__begin")) & (rank < F.col("__end")), F.col("__x")))
+    return ranked.groupBy(F.col("__g").alias(group)).agg(((holds(low) + holds(high)) / 2).alias("median"))
+
+
 def outlier_frames(vectors: DataFrame, video: str = "video", frame: str = "frame") -> DataFrame:
     """(video, frame, motion, limit) of frames whose mean motion exceeds three times the video's exact median."""
     means = vectors.groupBy(video, frame).agg(F.avg(magnitude(F.col("dx"), F.col("dy"))).alias("motion"))
-    medians = means.groupBy(F.col(video).alias("__v")).agg(F.median("motion").alias("__m"))
+    medians = exact_median(means, video, "motion").select(F.col(video).alias("__v"), F.col("median").alias("__m"))
     return means.join(medians, F.col(video) == F.col("__v")).select(video, frame, "motion", (F.col("__m") * T.OUTLIER_FACTOR).alias("limit")).where("motion > limit")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -82,21 +82,22 @@ def stage_matrix(planned: DataFrame, key: str, target: tuple[int, int] | None =
     return rows.withColumn("__r", should_run(F.col("stage"), target, config, strict, target_fps)).select(key, "ord", "stage", "__r.run", "__r.reason")
 
 
-def schedule(jobs: DataFrame, priority: str = "priority", seq: str = "seq", buckets: int = 64) -> DataFrame:
+def schedule(jobs: DataFrame, priority: str = "priority", seq: str = "seq", rows: int = 100_000) -> DataFrame:
     """Adds position: higher priority first, then in order of arrival.
 
     Jobs are numbered within ranges of arrival and the ranges' counts are added
-    up, so no task sees all jobs.
+    up. There are as many ranges as the jobs fill with ``rows`` each, so more jobs
+    mean more tasks and no larger ones.
     """
-    low, high = jobs.agg(F.min(seq), F.max(seq)).first()
-    width = max(1, ((high or 0) - (low or 0)) // buckets + 1)
-    placed = jobs.withColumn("__b", F.floor((F.col(seq) - F.lit(low or 0)) / width))
+    span = jobs.agg(F.min(seq).alias("__lo"), F.max(seq).alias("__hi"), F.count("*").alias("__all"))
+    width = (F.col("__hi") - F.col("__lo") + 1) / F.ceil(F.col("__all") / rows)
+    placed = jobs.join(F.broadcast(span), F.col("__all") > 0).withColumn("__b", F.floor((F.col(seq) - F.col("__lo")) / width)).drop("__lo", "__hi", "__all")
     counts = placed.groupBy(priority, "__b").agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy(F.desc(priority), "__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.withColumn("__s", before).select(F.col(priority).alias("__p"), F.col("__b").alias("__c"), "__s")
     inside = F.row_number().over(Window.partitionBy(priority, "__b").orderBy(seq))
     numbered = placed.withColumn("__i", inside)
-    joined = numbered.join(starts, (F.col(priority) == F.col("__p")) & (F.col("__b") == F.col("__c")))
+    joined = numbered.join(starts, F.col(priority).eqNullSafe(F.col("__p")) & F.col("__b").eqNullSafe(F.col("__c")))
     return joined.withColumn("position", F.col("__s") + F.col("__i")).drop("__b", "__p", "__c", "__s", "__i")
 
 
@@ -106,7 +107,3 @@ def add_jobs(files: DataFrame, path: str = "path", folder: Column | None = None)
 
     checked = F.when(F.col("size_bytes").isNull(), F.raise_error(F.concat(F.lit("no such input: "), F.col(path)))).otherwise(F.col(path)) if "size_bytes" in files.columns else F.col(path)
     return files.select(checked.alias("input_path"), output_path(F.col(path), folder).alias("output_path"))
-
-
-def complete(names: Sequence[str]) -> bool:
-    return set(names) <= {s for s, *_ in T.STAGES}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
@@ -21,25 +21,37 @@ def stopped(results: DataFrame, job: str = "job_id") -> DataFrame:
     return results.join(failures, F.col(job) == F.col("__j"), "left").where(F.col("__f").isNull() | (F.col("ord") <= F.col("__f"))).drop("__j", "__f")
 
 
-def rollup(results: DataFrame, job: str = "job_id", stop_on_error: bool = False) -> DataFrame:
+#: Messages of one kind, and lines, that a job's texts list; the counts beside them are of all.
+LISTED = 1000
+
+
+def leading(results: DataFrame, job: str, kind: Column, listed: int) -> DataFrame:
+    """The first ``listed`` rows of each job and kind by ord; Spark limits within tasks before the shuffle."""
+    order = Window.partitionBy(job, kind).orderBy("ord")
+    return results.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= listed).drop("__r")
+
+
+def rollup(results: DataFrame, job: str = "job_id", stop_on_error: bool = False, listed: int = LISTED) -> DataFrame:
     """One row per job: success, status, counts, errors and skipped in order, total seconds, the output of the last listed stage.
 
-    The output is null if the last listed stage has none, even though the job succeeded.
+    The output is null if the last listed stage has none, even though the job
+    succeeded. The texts list up to ``listed`` messages each; only those are gathered.
     """
     last = results.groupBy(F.col(job).alias("__j")).agg(F.max("ord").alias("__last"))
     ran = stopped(results, job) if stop_on_error else results
-    listed = lambda cond, text: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("ord", text.alias("m"))))), lambda s: s["m"]), "; ")
+    joined_text = lambda cond, text: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("ord", text.alias("m"))))), lambda s: s["m"]), "; ")
     failed, skipped = F.col("status") == "failed", F.col("status") == "skipped"
     out = ran.groupBy(job).agg(
         F.count("*").alias("n_stages"), F.count_if(failed).alias("n_errors"), F.count_if(skipped).alias("n_skipped"), F.sum("duration_sec").alias("total_duration"),
-        listed(failed, F.concat("stage", F.lit(": "), "error")).alias("errors"), listed(skipped, F.col("stage")).alias("skipped"),
         F.max_by(F.struct("ord", "output_path"), "ord").alias("__end"),
     )
-    joined = out.join(last, F.col(job) == F.col("__j"))
+    told = leading(ran.where(failed | skipped), job, F.col("status"), listed).groupBy(F.col(job).alias("__k")).agg(
+        joined_text(failed, F.concat("stage", F.lit(": "), "error")).alias("errors"), joined_text(skipped, F.col("stage")).alias("skipped"))
+    joined = out.join(last, F.col(job) == F.col("__j")).join(told, F.col(job) == F.col("__k"), "left").fillna("", ["errors", "skipped"])
     return joined.withColumns({
         "success": F.col("n_errors") == 0, "status": F.when(F.col("n_errors") == 0, "completed").otherwise("failed"),
         "output_path": F.when(F.col("__end.ord") == F.col("__last"), F.col("__end.output_path")),
-    }).drop("__j", "__last", "__end")
+    }).drop("__j", "__k", "__last", "__end")
 
 
 def summary(jobs: DataFrame) -> DataFrame:
@@ -51,11 +63,11 @@ def size_ratio(jobs: DataFrame) -> DataFrame:
     return jobs.withColumn("size_ratio", F.coalesce(F.col("output_size") / F.nullif(F.col("input_size").cast("double"), F.lit(0.0)), F.lit(0.0)))
 
 
-def report(results: DataFrame, job: str = "job_id") -> DataFrame:
-    """(job, report): a text of the outcome with a line per stage."""
+def report(results: DataFrame, job: str = "job_id", listed: int = LISTED) -> DataFrame:
+    """(job, report): a text of the outcome with a line for each of the first ``listed`` stages."""
     line = F.concat(F.lit("  "), S.status_icon(F.col("status")), F.lit(" "), F.col("stage"), F.lit(": "), S.one_decimal(F.col("duration_sec")), F.lit("s"))
-    lines = results.groupBy(F.col(job).alias("__j")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("m")))), lambda s: s["m"]), "\n").alias("lines"))
-    jobs = rollup(results, job)
+    lines = leading(results, job, F.lit(0), listed).groupBy(F.col(job).alias("__j")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("m")))), lambda s: s["m"]), "\n").alias("lines"))
+    jobs = rollup(results, job, listed=listed)
     head = F.concat_ws(
         "\n", F.concat(F.lit("=== Processing Report: "), F.col(job).cast("string"), F.lit(" ===")), F.concat(F.lit("Output: "), F.coalesce("output_path", F.lit("N/A"))),
         F.concat(F.lit("Duration: "), S.one_decimal(F.col("total_duration")), F.lit("s")), F.concat(F.lit("Success: "), F.when(F.col("success"), "True").otherwise("False")), F.lit("--- Stages ---"), F.col("lines"),

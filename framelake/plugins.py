@@ -9,14 +9,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .plans.lineage import cut
+
 
 @dataclass(frozen=True)
 class Stage:
+    """``columns`` gives new values of columns for the rows picked; a stage without it is a transform ``apply`` of whole rows."""
+
     name: str
-    apply: Callable[[DataFrame], DataFrame]
+    apply: Callable[[DataFrame], DataFrame] | None
     applies_to: Callable[[], Column]
     category: str = "enhancement"
     priority: int = 50
+    columns: Callable[[], dict[str, Column]] | None = None
 
 
 REGISTRY: dict[str, Stage] = {}
@@ -32,18 +37,40 @@ def register_stage(name: str, applies_to: Callable[[], Column] | None = None, ca
     return add
 
 
-def run_chain(rows: DataFrame, names: list[str], progress: Callable[[float, str], None] | None = None) -> tuple[DataFrame, list[str]]:
-    """Applies stages in order to the rows that they pick; unknown names are skipped and returned."""
-    skipped = []
+def register_columns(name: str, applies_to: Callable[[], Column] | None = None, category: str = "enhancement", priority: int = 50):
+    """A decorator for functions that return new values by column name: such a stage is a projection."""
+
+    def add(columns: Callable[[], dict[str, Column]]) -> Callable[[], dict[str, Column]]:
+        REGISTRY[name] = Stage(name, None, applies_to or (lambda: F.lit(True)), category, priority, columns)
+        return columns
+
+    return add
+
+
+def run_chain(rows: DataFrame, names: list[str], progress: Callable[[float, str], None] | None = None, job_done: Callable[[DataFrame], None] | None = None) -> tuple[DataFrame, list[str]]:
+    """Applies stages in order to the rows that they pick; unknown names are skipped and returned.
+
+    A stage of columns stays one projection over its input. Before a stage of
+    whole rows, which parts them from the others, the plan is cut by a
+    checkpoint, so the chain is read once however many stages it has.
+    """
+    skipped, whole = [], False
     for i, name in enumerate(names):
         stage = REGISTRY.get(name)
         if stage is None:
             skipped.append(name)
             continue
         picked = F.coalesce(stage.applies_to(), F.lit(False))
-        rows = stage.apply(rows.where(picked)).unionByName(rows.where(~picked), allowMissingColumns=True)
+        if stage.columns is not None:
+            made = {c: F.when(picked, new).otherwise(F.col(c)) if c in rows.columns else F.when(picked, new) for c, new in stage.columns().items()}
+            rows = rows.withColumns(made)
+        else:
+            rows = cut(rows) if whole else rows
+            rows, whole = stage.apply(rows.where(picked)).unionByName(rows.where(~picked), allowMissingColumns=True), True
         if progress:
             progress(min(1.0, max(0.0, (i + 1) / len(names))), name)
+    if job_done:
+        job_done(rows)
     return rows, skipped
 
 

@@ -279,3 +279,79 @@ def test_a_video_lists_up_to_twenty_scenes(spark):
     from framelake import queries
 
     assert 5 < max(r["place"] for r in queries.first_scenes(spark, "/root/testdata/sf0.001").collect()) <= 20
+
+
+@pytest.mark.parametrize("threshold", [0.7, 0.95])
+def test_probe_plans_miss_no_pair(threshold):
+    rng = np.random.default_rng(7)
+    n = 64
+    plan = fingerprint.probe_plan(n, most := int(n * (1 - threshold) + 1e-9))
+    assert sum(w for _, w, _ in plan) <= n and all(len(fingerprint.masks(w, r)) <= 4096 for _, w, r in plan)
+    for _ in range(3000):  # any choice of most places
+        differs = np.zeros(n, dtype=int)
+        differs[rng.choice(n, most, replace=False)] = 1
+        assert any(differs[b : b + w].sum() <= r for b, w, r in plan)
+
+
+@pytest.mark.parametrize("threshold", [0.7, 0.95])
+def test_near_pairs_equal_all_pairs(spark, threshold):
+    from framelake import queries
+
+    prints = queries._prints(spark, "/root/testdata/sf0.001").collect()
+    rng = np.random.default_rng(1)
+    text = [r.bits for r in prints] + ["".join(str(int(c) ^ int(rng.random() < 0.03)) for c in r.bits) for r in prints[:60]] + ["1", "0", "01"]
+    words = [(len(t), int(t, 2)) for t in text]
+    first = {}
+    for i, w in enumerate(words):
+        first.setdefault(w, i)
+    keys = sorted(first.values())
+    near = lambda i, j: words[i][0] == words[j][0] and words[i][0] - (words[i][1] ^ words[j][1]).bit_count() >= threshold * words[i][0]
+    want = {(i, j) for i in keys for j in keys if i < j and near(i, j)} | {(first[w], i) for i, w in enumerate(words) if first[w] != i}
+    got = [(r.a, r.b) for r in fingerprint.near_pairs(spark.createDataFrame(list(enumerate(text)), "video long, bits string"), threshold=threshold).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_exact_median_equals_numpy(spark):
+    rng = np.random.default_rng(2)
+    rows = [("a", float(x)) for x in rng.normal(0, 3, 501)] + [("b", float(x)) for x in rng.integers(0, 4, 400)] + [("c", 2.5), ("d", None)]
+    got = {r.g: r["median"] for r in motion.exact_median(spark.createDataFrame(rows, "g string, x double"), "g", "x").collect()}
+    assert got == {g: np.median([x for k, x in rows if k == g]) for g in "abc"}
+
+
+def test_numbering_does_not_depend_on_blocks(spark):
+    rows = spark.createDataFrame([("v", i * 7 % 50) for i in range(50)] + [("w", 3), (None, 1)], "g string, x int")
+    for width in (1, 8, 100):
+        got = sequence.numbered(rows, "g", ["x"], F.floor(F.col("x") / width)).collect()
+        assert all(r.idx == (r.x + 1 if r.g == "v" else 1) for r in got) and len(got) == 52
+
+
+def test_chains_grow_by_one_scan_a_stage_at_most(spark, tmp_path):
+    spark.range(100).selectExpr("id % 10 AS x", "id AS y").write.parquet(str(tmp_path / "t"))
+    rows = spark.read.parquet(str(tmp_path / "t"))
+    for i in range(8):
+        plugins.register_columns(f"step{i}", lambda i=i: F.col("x") > i)(lambda i=i: {"y": F.col("y") + i, f"z{i}": F.col("x")})
+    out, skipped = plugins.run_chain(rows, [f"step{i}" for i in range(8)])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not skipped and plan.count("Relation") == 1
+    assert sorted(r.y for r in out.collect()) == sorted(y + sum(i for i in range(8) if y % 10 > i) for y in range(100))
+    for i in range(5):
+        plugins.register_stage(f"whole{i}", lambda i=i: F.col("x") > i)(lambda df, i=i: df.withColumn("y", F.col("y") + i))
+    out, _ = plugins.run_chain(rows, [f"whole{i}" for i in range(5)])
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 2
+    assert sorted(r.y for r in out.collect()) == sorted(y + sum(i for i in range(5) if y % 10 > i) for y in range(100))
+
+
+def test_a_job_of_many_stages_lists_the_first_and_counts_all(spark):
+    rows = [("j", i, f"s{i}", "failed", 1.0, None, "e", "I") for i in range(30)]
+    r = runner.rollup(results(spark, rows), listed=3).first()
+    assert (r.n_errors, r.errors) == (30, "s0: e; s1: e; s2: e")
+    text = runner.report(results(spark, rows), listed=2).first().report
+    assert "s1: 1.0s" in text and "s2: 1.0s" not in text
+
+
+def test_schedule_with_narrow_ranges(spark):
+    jobs = spark.createDataFrame([(i, i * 37 % 5, i * i) for i in range(200)], "job long, priority int, seq long")
+    want = [i for i, _, _ in sorted(((i, -(i * 37 % 5), i * i) for i in range(200)), key=lambda r: r[1:])]
+    for rows in (7, 1000):
+        assert [r.job for r in planner.schedule(jobs, rows=rows).orderBy("position").collect()] == want
+    assert planner.schedule(jobs.limit(0)).count() == 0
