@@ -45,6 +45,10 @@ def find_similar(prints: DataFrame, reference: str, key: str = "video", bits: st
     return scored.where(F.col("similarity") >= threshold)
 
 
+#: Bytes of hashes that may be sent to all tasks.
+BROADCAST = 32_000_000
+
+
 def probe_plan(n: int, most: int, keys: int = 4096) -> list[tuple[int, int, int]]:
     """(begin, width, radius) of pieces of n bits such that strings with at most ``most`` differences have a piece within its radius.
 
@@ -74,27 +78,29 @@ def near_pairs(prints: DataFrame, key: str = "video", bits: str = "bits", thresh
     (``probe_plan``); pairs that meet are compared word by word within the join,
     and only at their first piece that is near. Equal hashes are one entry: the
     pairs are of their smallest keys, and each further key has a pair with its
-    hash's smallest. The lengths of hashes (one, as a rule) are asked for first.
+    hash's smallest. The lengths of hashes (one, as a rule) and their counts are
+    asked for first.
     """
     spark = prints.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     entries = prints.where(F.length(bits) > 0).groupBy(bits).agg(F.min(key).alias("k"))
     shared = members(prints.where(F.length(bits) > 0), key, bits).where(F.col(key) != F.col("representative"))
     out = shared.select(F.col("representative").alias("a"), F.col(key).alias("b"), F.lit(1.0).alias("similarity"))
-    for n in sorted(r[0] for r in prints.where(F.length(bits) > 0).select(F.length(bits)).distinct().collect()):
-        most = int(n * (1.0 - threshold) + 1e-9)
-        plan, words = probe_plan(n, most), [(i, min(62, n - i)) for i in range(0, n, 62)]
+    sizes = entries.groupBy(F.length(bits).alias("n")).count().collect()
+    for n, count in sorted(map(tuple, sizes)):
+        plan = probe_plan(n, most := int(n * (1.0 - threshold) + 1e-9))
+        cuts = plan if sum(w for _, w, _ in plan) == n else [*plan, *((i, min(62, n - i), 0) for i in range(plan[-1][0] + plan[-1][1], n, 62))]
         number = lambda i, w: F.conv(F.substring(F.col(bits), i + 1, w), 2, 10).cast("long")
-        pieces = F.array(*[number(i, w) for i, w, _ in plan])
-        own = entries.where(F.length(bits) == n).select("k", F.array(*[number(i, w) for i, w in words]).alias("w"), pieces.alias("p")).repartition(parts, "k")
-        apart = lambda x, y: reduce(lambda s, t: s + t, [F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(len(words))])
-        for i, (_, _, radius) in enumerate(plan):
-            near = F.explode(F.lit(masks(plan[i][1], radius))).alias("m")
-            a = own.select(F.col("k").alias("a"), F.col("w").alias("aw"), F.col("p").alias("ap"), F.col("p")[i].alias("ak"))
-            b = own.select(F.col("k").alias("b"), F.col("w").alias("bw"), F.col("p").alias("bp"), near).withColumn("bk", F.col("bp")[i].bitwiseXOR(F.col("m")))
-            earlier = [F.bit_count(F.col("ap")[j].bitwiseXOR(F.col("bp")[j])) > plan[j][2] for j in range(i)]
-            met = a.join(b, reduce(lambda x, y: x & y, earlier, (F.col("ak") == F.col("bk")) & (F.col("a") < F.col("b")) & (apart("aw", "bw") <= most)))
-            out = out.union(met.select("a", "b", ((F.lit(n) - apart("aw", "bw")) / F.lit(n)).alias("similarity")))
+        own = entries.where(F.length(bits) == n).select("k", *[number(i, w).alias(f"p{c}") for c, (i, w, _) in enumerate(cuts)]).repartition(parts, "k")
+        apart = lambda c: F.bit_count(F.col(f"a.p{c}").bitwiseXOR(F.col(f"b.p{c}")))
+        total = reduce(lambda x, y: x + y, map(apart, range(len(cuts))))
+        for i, (_, width, radius) in enumerate(plan):
+            # the side without the near numbers is the small one: sent to all tasks if it fits, else both are dealt by number
+            a = own.withColumn("n", F.col(f"p{i}")).hint("broadcast" if count * 8 * (len(cuts) + 4) <= BROADCAST else "shuffle_hash").alias("a")
+            b = own.withColumn("m", F.explode(F.lit(masks(width, radius)))).withColumn("n", F.col(f"p{i}").bitwiseXOR(F.col("m"))).alias("b")
+            first = [apart(j) > plan[j][2] for j in range(i)]
+            met = a.join(b, reduce(lambda x, y: x & y, first, (F.col("a.n") == F.col("b.n")) & (F.col("a.k") < F.col("b.k")) & (total <= most)))
+            out = out.union(met.select("a.k", "b.k", ((F.lit(n) - total) / F.lit(n)).alias("similarity")))
     return out
 
 
