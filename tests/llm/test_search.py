@@ -43,10 +43,35 @@ def test_fewer_rows_than_k_and_none(spark):
     assert run(spark, []) == []
 
 
+def test_an_invalid_vector_of_a_repeated_id_takes_no_part(spark):
+    for odd in ([None, 1.0], [float("-inf"), 1.0], [float("nan"), 1.0], None):
+        rows = [(0, odd), (0, [0.5, 0.5]), (7, [1.0, 0.25]), (8, [0.25, -1.0])]
+        assert run(spark, rows) == brute(rows) and len(run(spark, rows)) == 2
+
+
+def test_several_shards_and_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    centre = rng.normal(0, 1, (8, 12))
+    rows = [(i, (centre[i % 8] + rng.normal(0, 0.1, 12)).astype(np.float32).tolist()) for i in range(3000)]
+    want = brute(rows)
+    monkeypatch.setattr(topk, "SHARD", 100)
+    monkeypatch.setattr(topk, "QUERIES", 7)
+    assert run(spark, rows) == want
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    shards, blocks, pairs = topk.prepared(df, F.col("vec_id") % 50 == 0, 5, "vec_id", "embedding", 256.0)
+    assert pairs.count() < 0.8 * shards.count() * blocks.count()
+
+
+def search(shard, query_id, query, k):
+    return shard.search(np.array([query_id]), np.array([query]), np.array([-np.inf]), k)[0]
+
+
 def test_great_values_are_exact():
     ids, values = np.array([1, 2, 3]), np.array([[2.0**40, 1.0], [2.0**40, 2.0], [-(2.0**62), 0.0]])
     shard = topk.Shard(ids, values)
-    assert shard.search(9, np.array([2.0**20, 3.0]), 3) == [(2**60 + 6, 2), (2**60 + 3, 1), (-(2**63), 3)]
+    assert search(shard, 9, np.array([2.0**20, 3.0]), 2) == [(2**60 + 6, 2), (2**60 + 3, 1)]
+    with pytest.raises(OverflowError):
+        search(shard, 9, np.array([2.0**20, 3.0]), 3)
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -55,7 +80,8 @@ def test_shards_skip_nothing(seed):
     values = np.floor(rng.normal(0, 40, (1500, 24)) * (rng.random(24) ** 4))
     ids = rng.permutation(1500)
     shard = topk.Shard(ids, values)
+    together = shard.search(ids[:5], values[:5], np.full(5, -np.inf), 5)
     for q in range(5):
         scores = values @ values[q]
         want = sorted((-int(s), int(i)) for s, i in zip(scores, ids) if i != ids[q])[:5]
-        assert [(-s, i) for s, i in shard.search(int(ids[q]), values[q], 5)] == want
+        assert [(-s, i) for s, i in search(shard, int(ids[q]), values[q], 5)] == want == [(-s, i) for s, i in together[q]]
