@@ -21,13 +21,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is read from ``spark.checkpoint.dir``; only where that is unset (tests on
-    one machine) a temporary folder is made and set for this session's context.
+    It is read from ``spark.checkpoint.dir``; only where that is unset and the
+    master is local (tests on one machine) a temporary folder is made and set.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         chosen = spark.sparkContext.getCheckpointDir()
         if not chosen:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="framelake-"))
             chosen = spark.sparkContext.getCheckpointDir()
         folder = chosen
@@ -48,7 +50,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/framelake-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written = path
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    """Removes tables of ``written`` from which nothing will be read again."""
+    for table in tables:
+        spark, path = table.sparkSession, getattr(table, "_written", None)
+        if path:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as there are cores if its input has fewer splits, so that a step that is heavy for each row has work for all.
+
+    The number of splits is known from the files; nothing is read for it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def fold_of(key: str = "doc_id") -> Column:

@@ -4,35 +4,38 @@ A byte goes if a string of ``LENGTH`` bytes that covers it also starts earlier (
 smaller document id, or the same document and an earlier start). All strings are
 judged on the input.
 
-Four steps, none of which pairs documents:
+Five steps, none of which pairs documents:
 
 1. Anchors. Every window of LENGTH bytes is owned by its k-mer of least hash (the
    leftmost of equals), so equal windows have equal owners at equal places. An
    anchor is such a k-mer; its stretch is what its windows cover. A task drops
    all but the first of equal stretches before the shuffle, for the others are
-   known to start earlier.
-2. One shuffle by anchor. Of stretches with equal hash all but the first go.
+   known to start earlier. The anchors are written and counted by slots of their
+   hash; those in a slot of over ``HEAVY`` are heavy.
+2. One shuffle by anchor (heavy ones by anchor and stretch, so that no anchor
+   comes to one task). Of stretches with equal hash all but the first go.
    Anchors with several different stretches need a closer look.
 3. The stretches of those anchors, fetched from their texts, come together by
-   anchor. A suffix array of them gives the Burrows-Wheeler transform; its runs
-   are found and the longest common prefix is sampled at run ends only.
-   Streaming the samples through the text yields the matching statistics of
-   every position, and windows that match over at least LENGTH bytes fall into
-   classes of which all but the first member go.
-4. The spans meet their text, which is cut.
+   anchor in a run-compressed Burrows-Wheeler index (``RunIndex``). It keeps
+   samples where runs begin; streaming them through the text yields the matching
+   statistics of every position, and windows that match over at least LENGTH
+   bytes fall into classes of which all but the first member go.
+4. Stretches of heavy anchors are taken apart into their windows, which meet by a
+   128-bit hash; all but the first go.
+5. The spans meet their text, which is cut.
 
-Stretches are compared by a 64-bit hash under an equal 64-bit anchor hash.
+Stretches are compared by a 64-bit hash under an equal 64-bit anchor hash. Steps
+1 and 2 run while the plan is made.
 
 Defined results: a null text has no bytes. Rows of one document id whose texts
 are equal count as one document and get the same result each; if their texts
-differ, they follow each other in the order of a hash of the text. A null id
-comes first. Empty tables give empty results.
+differ (by a 79-bit hash), they follow each other in the order of a hash of the
+text. A null id comes before all others. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
 import functools
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,15 +45,18 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frugal, partitions_for, written
+from .common import forget, frugal, partitions_for, written
 from .pretoken import gather
 
 LENGTH, ANCHOR = 100, 24
 #: Bytes that numpy works on at once, and of stretches that are indexed together (an anchor's own stay together).
 PIECE, INDEXED = 1_000_000, 500_000
+#: Occurrences in a slot beyond which its anchors are dealt by stretch and judged by windows; both ways give the same spans.
+HEAVY = 4096
 NO_ID = -(2**63)
-ANCHOR_ROWS = "key long, ctx long, doc long, packed long, spans binary"
-FOUND_ROWS = "doc long, sub int, key long, packed long, spans binary"
+ANCHOR_ROWS = "key long, ctx long, doc long, mark long, packed long, spans binary"
+FOUND_ROWS = "doc long, mark long, sub int, key long, packed long, spans binary, heavy boolean"
+STRETCH_ROWS = "key long, ctx long, doc long, mark long, packed long, piece binary, gone boolean"
 
 
 # --- windows and their anchors ---
@@ -156,11 +162,11 @@ def pieces(at: np.ndarray) -> Iterator[list[tuple[int, int, int]]]:
 
 
 def emit_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, sub, text) -> anchors that the task cannot settle, and per text the spans that it can."""
+    """(doc, mark, sub, text) -> anchors that the task cannot settle, and per text the spans that it can."""
     digest = xxhash.xxh3_64_intdigest
     for batch in batches:
-        doc, sub = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-        data, at = raw_texts(batch.column(2))
+        doc, mark, sub = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
+        data, at = raw_texts(batch.column(3))
         for group in pieces(at):
             which, begin, end = np.array(group, dtype=np.int64).T
             raw = gather(data, at[which] + begin, end - begin)
@@ -175,14 +181,13 @@ def emit_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key = np.array([digest(view[j : j + ANCHOR]) for j in place.tolist()], dtype=np.uint64).view(np.int64)
             ctx = np.array([digest(view[a : b + LENGTH], j - a) for j, a, b in zip(place.tolist(), lo.tolist(), hi.tolist(), strict=True)], dtype=np.uint64).view(np.int64)
             packed = pack_place(sub[text], place + shift, place - lo, place - hi)
-            owner = doc[text]
-            order = np.lexsort((packed, owner, ctx, key))
-            k, c, d, p = key[order], ctx[order], owner[order], packed[order]
+            order = np.lexsort((packed, mark[text], doc[text], ctx, key))
+            k, c, d, m, p = key[order], ctx[order], doc[text][order], mark[text][order], packed[order]
             again = np.concatenate([[False], (k[1:] == k[:-1]) & (c[1:] == c[:-1])])
-            yield anchor_rows(k[~again], c[~again], d[~again], p[~again])
+            yield anchor_rows(k[~again], c[~again], d[~again], m[~again], p[~again])
             gone = order[again]
             head = np.flatnonzero(~again)[np.cumsum(~again)[again] - 1]
-            gone = gone[(d[again] != d[head]) | (p[again] != p[head])]  # else a repeated row
+            gone = gone[(d[again] != d[head]) | (m[again] != m[head]) | (p[again] != p[head])]  # else a repeated row
             if len(gone):
                 gone = gone[np.argsort(text[gone], kind="stable")]
                 texts, cut = np.unique(text[gone], return_index=True)
@@ -190,67 +195,79 @@ def emit_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for own in np.split(gone, cut[1:]):
                     a, b = merged(lo[own] + shift[own], hi[own] + shift[own] + LENGTH)
                     spans.append(np.stack([a, b], axis=1).astype("<i8").tobytes())
-                yield anchor_rows(doc[texts], np.zeros(len(texts), np.int64), doc[texts], sub[texts] << 46, spans)
+                # dealt by the text's hash; no heavier for a slot than a text is
+                yield anchor_rows(mark[texts], np.zeros(len(texts), np.int64), doc[texts], mark[texts], sub[texts] << 46, spans)
 
 
-def anchor_rows(key: np.ndarray, ctx: np.ndarray, doc: np.ndarray, packed: np.ndarray, spans: list[bytes] | None = None) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(ctx), pa.array(doc), pa.array(packed), pa.array(spans, pa.binary()) if spans else pa.nulls(len(key), pa.binary())], names=["key", "ctx", "doc", "packed", "spans"])
+def rows_of(schema: str, *columns) -> pa.RecordBatch:
+    """A batch from numpy arrays, Arrow arrays, or None for nulls; the first column gives the length."""
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_()}
+    names, types = zip(*(f.split() for f in schema.split(", ")), strict=True)
+    n = len(columns[0])
+    made = [pa.nulls(n, kinds[t]) if c is None else c if isinstance(c, pa.Array) else pa.array(c, kinds[t]) for c, t in zip(columns, types, strict=True)]
+    return pa.RecordBatch.from_arrays(made, names=list(names))
+
+
+def anchor_rows(key, ctx, doc, mark, packed, spans: list[bytes] | None = None) -> pa.RecordBatch:
+    return rows_of(ANCHOR_ROWS, key, ctx, doc, mark, packed, spans)
 
 
 # --- equal stretches ---
 
 
 def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted anchors -> spans of all but the first of equal stretches, and the first ones of anchors with several."""
+    """Sorted anchors -> spans of all but the first of equal stretches, and the first ones of anchors with several or heavy ones."""
     last = None  # the first row of the group of equal stretches that the batch before ended in, and if it has been emitted
     for batch in batches:
-        spans = batch.column(4)
+        spans = batch.column(5)
         given = np.asarray(spans.is_valid())
         if given.any():
             own = batch.filter(pa.array(given))
-            packed = own.column(3).to_numpy()
-            yield found_rows(own.column(2).to_numpy(), packed >> 46, None, None, own.column(4))
-        k, c, d, p = (batch.column(i).to_numpy()[~given] for i in range(4))
+            yield found_rows(own.column(2).to_numpy(), own.column(3).to_numpy(), own.column(4).to_numpy() >> 46, None, None, own.column(5))
+        k, c, d, m, p, w = (batch.column(i).to_numpy(zero_copy_only=False)[~given] for i in (0, 1, 2, 3, 4, 6))
         if not len(k):
             continue
         carried = last is not None
         if carried:
-            k, c, d, p = (np.concatenate([[x], y]) for x, y in zip(last[:4], (k, c, d, p), strict=True))
+            k, c, d, m, p, w = (np.concatenate([[x], y]) for x, y in zip(last[:6], (k, c, d, m, p, w), strict=True))
         fresh = np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])])
         head = np.flatnonzero(fresh)
         first = head[np.cumsum(fresh) - 1]
-        gone = ~fresh & ((d != d[first]) | (p != p[first]))
-        yield found_rows(d[gone], p[gone] >> 46, None, p[gone])
+        gone = ~fresh & ((d != d[first]) | (m != m[first]) | (p != p[first]))
+        yield found_rows(d[gone], m[gone], p[gone] >> 46, None, p[gone])
         kh = k[head]
         same = kh[1:] == kh[:-1]
-        several = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-        done = carried and last[4]
+        several = np.concatenate([same, [False]]) | np.concatenate([[False], same]) | w[head].astype(bool)
+        done = carried and last[6]
         ended = bool(several[-1]) or (done and len(head) == 1)
         if done:
             several[0] = False
         chosen = head[several]
-        yield found_rows(d[chosen], p[chosen] >> 46, k[chosen], p[chosen])
+        yield found_rows(d[chosen], m[chosen], p[chosen] >> 46, k[chosen], p[chosen], None, w[chosen].astype(bool))
         h = head[-1]
-        last = (k[h], c[h], d[h], p[h], ended)
+        last = (k[h], c[h], d[h], m[h], p[h], w[h], ended)
 
 
-def found_rows(doc: np.ndarray, sub: np.ndarray, key: np.ndarray | None, packed: np.ndarray | None, spans: pa.Array | None = None) -> pa.RecordBatch:
-    n = len(doc)
-    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(sub.astype(np.int32)), pa.nulls(n, pa.int64()) if key is None else pa.array(key, pa.int64()), pa.nulls(n, pa.int64()) if packed is None else pa.array(packed, pa.int64()), pa.nulls(n, pa.binary()) if spans is None else spans], names=["doc", "sub", "key", "packed", "spans"])
+def found_rows(doc, mark, sub, key, packed, spans: pa.Array | None = None, heavy=None) -> pa.RecordBatch:
+    return rows_of(FOUND_ROWS, doc, mark, sub.astype(np.int32), key, packed, spans, heavy)
 
 
 # --- the run-length index ---
 
 
 class RunIndex:
-    """The Burrows-Wheeler runs of some byte strings, with common prefixes sampled where runs begin.
+    """The run-compressed Burrows-Wheeler transform of some byte strings, sampled where runs begin.
 
     ``strings`` lie end to end in ``data``; a mark after each makes every suffix
-    differ from all others within its string.
+    differ from all others within its string. The suffixes are sorted once, by
+    prefix doubling; what is kept is, for each run of the transform, its byte and
+    length, the suffix where it begins, the suffix sorted before that one, and the
+    length of their common prefix. From a sampled position on, both suffixes move
+    by one with each position until the next sample, and the prefix shrinks by
+    one: so the samples give every position's matching statistics (the longest
+    match with another suffix, and that suffix) in one pass over the text.
     """
 
-    STEPS = (8, 16, 32, 64, 128, 256)
-
     def __init__(self, data: np.ndarray, length: np.ndarray):
         n = int(length.sum()) + len(length)
         self.end = np.cumsum(length + 1) - 1  # the marks
@@ -259,8 +276,27 @@ class RunIndex:
         inside[self.end] = False
         text[:n][inside] = data
         self.text, self.n = text, n
-        to_end = np.repeat(self.end, length + 1) - np.arange(n)
-        eight = np.ndarray(n, dtype=">u8", buffer=text, strides=(1,)).astype(np.uint64)
+        self.to_end = np.repeat(self.end, length + 1) - np.arange(n)
+        order = self._sorted()
+        before = text[order - 1].copy()  # the last mark precedes the first suffix
+        fresh = np.ones(n, dtype=bool)
+        fresh[1:] = (before[1:] != before[:-1]) | (before[1:] == 0xFF)  # each mark is a run of its own
+        heads = np.flatnonzero(fresh)
+        self.run_byte, self.run_length = before[heads], np.diff(np.append(heads, n))
+        self.at = order[heads]
+        self.other = np.append([n], order[heads[1:] - 1]) if len(heads) else heads  # the first suffix has none before it
+        self.common = np.zeros(len(heads), dtype=np.int64)
+        self.common[1:] = self._compared(self.at[1:], self.other[1:])
+        by_place = np.argsort(self.at)
+        self.at, self.other, self.common = self.at[by_place], self.other[by_place], self.common[by_place]
+
+    def _eight(self, at: np.ndarray) -> np.ndarray:
+        return np.ndarray(self.n, dtype=">u8", buffer=self.text, strides=(1,))[at].astype(np.uint64)
+
+    def _sorted(self) -> np.ndarray:
+        """The suffix array."""
+        n, to_end = self.n, self.to_end
+        eight = self._eight(np.arange(n))
         spare = (8 * np.clip(7 - to_end, 0, 7)).astype(np.uint64)
         eight = (eight >> spare) << spare  # bytes after the mark don't count
         order = np.argsort(eight, kind="stable")
@@ -268,11 +304,9 @@ class RunIndex:
         fresh[1:] = (eight[order][1:] != eight[order][:-1]) | (to_end[order][1:] < 8)
         rank = np.empty(n, dtype=np.int64)
         rank[order] = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
-        self.ranks, self.to_end = [rank], to_end
         step = 8
         while True:
-            size = np.bincount(rank, minlength=n)
-            open_ = np.flatnonzero(size[rank] > 1)
+            open_ = np.flatnonzero(np.bincount(rank, minlength=n)[rank] > 1)
             if not len(open_):
                 break
             own, then = rank[open_], rank[np.minimum(open_ + step, n - 1)]
@@ -283,66 +317,79 @@ class RunIndex:
             place = np.arange(len(at))
             base = place[new_group][np.cumsum(new_group) - 1]
             lead = place[differs][np.cumsum(differs) - 1]
-            rank = rank.copy()
             rank[at] = own + (lead - base)
-            self.ranks.append(rank)
             step *= 2
-        self.order = np.empty(n, dtype=np.int64)
-        self.order[rank] = np.arange(n)
-
-    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Length of the longest common prefix of suffixes, by ranks from the longest step down, then byte by byte."""
-        a, b, out = a.copy(), b.copy(), np.zeros(len(a), dtype=np.int64)
-        for level in range(len(self.ranks) - 1, -1, -1):
-            rank, step = self.ranks[level], 8 << level
-            same = (a < self.n) & (b < self.n) & (a != b)
-            same[same] = rank[a[same]] == rank[b[same]]
-            move = np.where(same, step, 0)
-            a, b, out = a + move, b + move, out + move
-        going = np.ones(len(a), dtype=bool)
-        for _ in range(8):
-            going &= (self.text[a] == self.text[b]) & (self.text[a] != 0xFF)
-            move = going.astype(np.int64)
-            a, b, out = a + move, b + move, out + move
+        order[rank] = np.arange(n)
+        return order
+
+    def _compared(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Length of the common prefix of suffixes, eight bytes at a time; a mark equals nothing."""
+        out = np.zeros(len(a), dtype=np.int64)
+        room = np.minimum(self.to_end[a], self.to_end[b])
+        going = np.arange(len(a))
+        while len(going):
+            x, y = a[going] + out[going], b[going] + out[going]
+            differs = self._eight(x) ^ self._eight(y)
+            zero, low = differs == 0, np.zeros(len(going), dtype=np.int64)
+            for half in (4, 2, 1):  # equal bytes at the front
+                same = differs >> np.uint64(64 - 8 * half) == 0
+                low[same] += half
+                differs = np.where(same, differs << np.uint64(8 * half), differs)
+            out[going] += np.where(zero, 8, low)
+            over = out[going] >= room[going]
+            out[going[over]] = room[going[over]]
+            going = going[zero & ~over]
         return out
 
-    def runs(self) -> np.ndarray:
-        """Places in the transform where a run begins; each mark is a run of its own."""
-        before = self.text[self.order - 1].copy()  # the last mark precedes the first suffix
-        fresh = np.ones(self.n, dtype=bool)
-        fresh[1:] = (before[1:] != before[:-1]) | (before[1:] == 0xFF)
-        return np.flatnonzero(fresh)
-
-    def prefixes(self) -> np.ndarray:
-        """For each position, the common prefix with the suffix sorted before it.
-
-        Only samples where runs begin are compared; from a sample on, the value
-        falls by one with each position until the next sample.
-        """
-        heads = self.runs()
-        at = self.order[heads]
-        sample = np.zeros(len(heads), dtype=np.int64)
-        sample[1:] = self.common(at[1:], self.order[heads[1:] - 1])
-        reach = np.zeros(self.n, dtype=np.int64)
-        reach[at] = sample + at
-        return np.maximum(np.maximum.accumulate(reach) - np.arange(self.n), 0)
+    def statistics(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each position: the common prefix with the suffix sorted before it, and that suffix."""
+        every = np.arange(self.n)
+        sample = np.searchsorted(self.at, every, side="right") - 1
+        moved = every - self.at[sample]
+        match = np.maximum(self.common[sample] - moved, 0)
+        return match, np.where(match > 0, self.other[sample] + moved, every)
 
     def repeats(self, length: int) -> np.ndarray:
         """Positions whose next ``length`` bytes also stand at a smaller position."""
-        match = self.prefixes()[self.order] >= length  # in sorted order: as the one before
-        group = np.cumsum(~match)
-        least = np.full(int(group[-1]) + 1, self.n, dtype=np.int64)
-        np.minimum.at(least, group, self.order)
-        return np.sort(self.order[self.order != least[group]])
+        match, up = self.statistics()
+        up = np.where(match >= length, up, np.arange(self.n))
+        while True:  # to the first suffix of the class in sorted order
+            further = up[up]
+            if np.array_equal(further, up):
+                break
+            up = further
+        least = np.full(self.n, self.n, dtype=np.int64)
+        np.minimum.at(least, up, np.arange(self.n))
+        return np.flatnonzero(least[up] != np.arange(self.n))
+
+
+def first_of_equals(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(doc, mark, packed) of all but the first of windows with equal hash, from sorted rows."""
+    last = None
+    for batch in batches:
+        k, c, d, m, p, g = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 3, 4, 6))
+        g = g.astype(bool)
+        yield d[g], m[g], p[g]
+        k, c, d, m, p = (x[~g] for x in (k, c, d, m, p))
+        if not len(k):
+            continue
+        if last is not None:
+            k, c, d, m, p = (np.concatenate([[x], y]) for x, y in zip(last, (k, c, d, m, p), strict=True))
+        fresh = np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])])
+        first = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+        gone = ~fresh & ((d != d[first]) | (m != m[first]) | (p != p[first]))
+        yield d[gone], m[gone], p[gone]
+        h = int(first[-1])
+        last = (k[h], c[h], d[h], m[h], p[h])
 
 
 def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stretches sorted by anchor, document and place -> spans of windows that start earlier in another stretch."""
+    """Stretches sorted by anchor, document and place, and windows sorted by hash -> spans of windows that start earlier in another."""
 
-    def judge(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-        doc, packed = np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.int64)
-        length = np.array([len(r[2]) for r in rows], dtype=np.int64)
-        index = RunIndex(np.frombuffer(b"".join(r[2] for r in rows), dtype=np.uint8), length)
+    def judge(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+        doc, mark, packed = (np.array([r[i] for r in rows], dtype=np.int64) for i in range(3))
+        length = np.array([len(r[3]) for r in rows], dtype=np.int64)
+        index = RunIndex(np.frombuffer(b"".join(r[3] for r in rows), dtype=np.uint8), length)
         at = index.repeats(LENGTH)
         row = np.searchsorted(index.end, at)
         sub, _, lo, _ = unpack_place(packed[row])
@@ -351,22 +398,30 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = np.flatnonzero(fresh)
         b = np.append(a[1:] - 1, len(at) - 1) if len(a) else a
         spans = [np.array([x, y + LENGTH], dtype="<i8").tobytes() for x, y in zip(start[a].tolist(), start[b].tolist(), strict=True)]
-        return found_rows(doc[row[a]], sub[a], None, None, pa.array(spans, pa.binary()))
-
-    held, group, size, now = [], [], 0, None
-    for batch in batches:
-        for key, d, p, piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if key != now:
-                if size > INDEXED:
-                    yield judge(held + group)
-                    held, size = [], 0
-                else:
-                    held += group
-                group, now = [], key
-            if group and group[-1][:2] == (d, p):
-                continue  # a repeated row
-            group.append((d, p, piece))
-            size += len(piece)
+        return found_rows(doc[row[a]], mark[row[a]], sub[a], None, None, pa.array(spans, pa.binary()))
+
+    def windows() -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole = np.asarray(batch.column(5).is_null())
+            stretches.append(batch.filter(pa.array(~whole)))
+            yield batch.filter(pa.array(whole))
+
+    stretches: list[pa.RecordBatch] = []
+    held, group, size, own, now = [], [], 0, 0, None
+    for d, m, p in first_of_equals(windows()):
+        yield found_rows(d, m, p >> 46, None, p)
+        while stretches:
+            for key, _, d, m, p, piece, _ in zip(*(c.to_pylist() for c in stretches.pop(0).columns), strict=True):
+                if key != now:
+                    held.extend(group)
+                    size, own, group, now = size + own, 0, [], key
+                    if size > INDEXED:
+                        yield judge(held)
+                        held, size = [], 0
+                if group and group[-1][:3] == (d, m, p):
+                    continue  # a repeated row
+                group.append((d, m, p, piece))
+                own += len(piece)
     if held or group:
         yield judge(held + group)
 
@@ -378,29 +433,66 @@ def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts compressed for the shuffle, after whatever further columns there are."""
     make = zstandard.ZstdCompressor(level=3).compress
     for batch in batches:
-        texts = [make(t or b"") for t in batch.column(2).cast(pa.binary()).to_pylist()]
+        texts = [make(t or b"") for t in batch.column(3).cast(pa.binary()).to_pylist()]
         n = len(texts)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), *batch.columns[3:], pa.array(texts, pa.binary())], names=["doc", "sub", "key", "packed", "spans", *batch.schema.names[3:], "body"])
+        empty = [pa.nulls(n, k) for k in (pa.int64(), pa.int64(), pa.binary(), pa.bool_())]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], *empty, *batch.columns[4:], pa.array(texts, pa.binary())], names=["doc", "mark", "sub", "key", "packed", "spans", "heavy", *batch.schema.names[4:], "body"])
+
+
+def window_rows(doc: int, mark: int, packed: int, data: bytes, lo: int, hi: int) -> Iterator[tuple]:
+    """The windows of a stretch, by a 128-bit hash."""
+    sub = packed >> 46
+    for a in range(lo, hi + 1):
+        h = xxhash.xxh3_128_intdigest(data[a : a + LENGTH])
+        yield (h >> 64) - (1 << 63), (h & (2**64 - 1)) - (1 << 63), doc, mark, (sub << 46) | (a << 14), None, False
+
+
+def thinned(rows: list[tuple]) -> list[tuple]:
+    """Windows of a task without all but the first of equals, of which those of one stretch become one row each."""
+    rows.sort(key=lambda r: r[:5])
+    out, gone, last = [], [], None
+    for r in rows:
+        if last is not None and r[:2] == last[:2]:
+            if r != last:
+                gone.append(r)
+        else:
+            out.append(r)
+            last = r
+    gone.sort(key=lambda r: r[2:5])
+    run: list[tuple] = []
+    for r in [*gone, None]:
+        if run and (r is None or r[2:4] != run[0][2:4] or r[4] - run[-1][4] > 1 << 14 or r[4] - run[0][4] > 127 << 14):
+            first, end = run[0], run[-1]
+            out.append((*first[:4], end[4] | ((end[4] - first[4]) >> 14) << 7, None, True))
+            run = []
+        if r is not None:
+            run.append(r)
+    return out
 
 
 def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (a text's wanted stretches, then the text) -> the stretches' bytes."""
+    """Sorted (a text's wanted stretches, then the text) -> the stretches' bytes, or their windows if heavy."""
     expand = zstandard.ZstdDecompressor().decompress
     now, wanted = None, []
     for batch in batches:
-        out = []
-        for doc, sub, key, packed, body in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 3, -1)), strict=True):
-            if (doc, sub) != now:
-                now, wanted = (doc, sub), []
+        out, windows = [], []
+        for doc, mark, sub, key, packed, heavy, body in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 3, 4, 6, -1)), strict=True):
+            if (doc, mark, sub) != now:
+                now, wanted = (doc, mark, sub), []
             if body is None:
-                wanted.append((key, packed))
+                wanted.append((key, packed, heavy))
             elif wanted:
                 data = expand(body)
-                _, _, lo, hi = unpack_place(np.array([p for _, p in wanted], dtype=np.int64))
-                out += [(k, doc, p, data[a : b + LENGTH]) for (k, p), a, b in zip(wanted, lo.tolist(), hi.tolist(), strict=True)]
+                _, _, lo, hi = unpack_place(np.array([p for _, p, _ in wanted], dtype=np.int64))
+                for (k, p, w), a, b in zip(wanted, lo.tolist(), hi.tolist(), strict=True):
+                    if w:
+                        windows += window_rows(doc, mark, p, data, a, b)
+                    else:
+                        out.append((k, 0, doc, mark, p, data[a : b + LENGTH], False))
                 wanted = []
-        columns = list(zip(*out, strict=True)) if out else [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["key", "doc", "packed", "piece"])
+        out += thinned(windows)
+        columns = list(zip(*out, strict=True)) if out else [()] * 7
+        yield rows_of(STRETCH_ROWS, *(list(c) for c in columns))
 
 
 def cut_texts(batches: Iterator[pa.RecordBatch], as_text: bool = False) -> Iterator[pa.RecordBatch]:
@@ -412,9 +504,9 @@ def cut_texts(batches: Iterator[pa.RecordBatch], as_text: bool = False) -> Itera
     now, places, ranges = None, [], []
     for batch in batches:
         out, row = [], []
-        for i, (doc, sub, packed, spans, body) in enumerate(zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 4, -1)), strict=True)):
-            if (doc, sub) != now:
-                now, places, ranges = (doc, sub), [], []
+        for i, (doc, mark, sub, packed, spans, body) in enumerate(zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 4, 5, -1)), strict=True)):
+            if (doc, mark, sub) != now:
+                now, places, ranges = (doc, mark, sub), [], []
             if body is None:
                 if packed is not None:
                     places.append(packed)
@@ -430,12 +522,12 @@ def cut_texts(batches: Iterator[pa.RecordBatch], as_text: bool = False) -> Itera
                 cuts.append(data[at:x])
                 at = y
             kept = b"".join([*cuts, data[at:]]) if cuts else data
-            out.append((None if doc == NO_ID else doc, len(data), len(data) - len(kept), len(a), kept.decode("utf-8", "ignore") if as_text else kept))
+            out.append((None if mark < 0 else doc, len(data), len(data) - len(kept), len(a), kept.decode("utf-8", "ignore") if as_text else kept))
             row.append(i)
         columns = list(zip(*out, strict=True)) if out else [()] * 5
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary())
-        rest = [c.take(pa.array(row, pa.int64())) for c in batch.columns[5:-1]]
-        yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, kinds, strict=True)), *rest], names=["doc", "n_bytes", "n_removed", "n_spans", "kept", *batch.schema.names[5:-1]])
+        rest = [c.take(pa.array(row, pa.int64())) for c in batch.columns[7:-1]]
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, kinds, strict=True)), *rest], names=["doc", "n_bytes", "n_removed", "n_spans", "kept", *batch.schema.names[7:-1]])
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
@@ -443,33 +535,41 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Further columns named by ``keep`` come back as the struct ``rest``.
     """
-    spark = docs.sparkSession
-    n = partitions_for(spark)
-    doc = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc")
-    sub = F.pmod(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), F.lit(1 << 16)).cast("int").alias("sub")
-    rest = [F.struct(*keep).alias("rest")] if keep else []
-    rows = docs.select(doc, sub, F.col(text_col).alias("text"), *rest)
-    extra = "".join(f", rest {f.dataType.simpleString()}" for f in rows.schema if f.name == "rest")
-    found = (
-        rows.select("doc", "sub", "text")
-        .mapInArrow(frugal(emit_anchors), ANCHOR_ROWS)
-        .repartition(n, "key")
-        .sortWithinPartitions("key", "ctx", "doc", "packed")
-        .mapInArrow(frugal(settle), FOUND_ROWS)
+    n = partitions_for(docs.sparkSession)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    hashed = F.xxhash64(text).bitwiseAND(F.lit(2**63 - 1))
+    rows = docs.select(
+        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.when(F.col(id_col).isNull(), -1 - hashed).otherwise(hashed).alias("mark"),
+        F.pmod(F.hash(text), F.lit(1 << 16)).cast("int").alias("sub"), F.col(text_col).alias("text"), *([F.struct(*keep).alias("rest")] if keep else []),
     )
-    found = written(found, "stretches")
+    extra = "".join(f", rest {f.dataType.simpleString()}" for f in rows.schema if f.name == "rest")
+    anchored = written(rows.select("doc", "mark", "sub", "text").mapInArrow(frugal(emit_anchors), ANCHOR_ROWS), "anchors")
+    dealt = with_heavy(anchored).repartition(n, "key", F.when(F.col("heavy"), F.col("ctx"))).sortWithinPartitions("key", "ctx", "doc", "mark", "packed")
+    found = written(dealt.mapInArrow(frugal(settle), FOUND_ROWS), "stretches")
+    forget(anchored)
+    owner = ["doc", "mark", "sub"]
 
     def with_texts(part: DataFrame, extra: str) -> DataFrame:
         """Rows of ``part`` before the text they belong to, dealt by text."""
-        bodies = rows if extra else rows.select("doc", "sub", "text")
+        bodies = rows if extra else rows.select(*owner, "text")
         bodies = bodies.mapInArrow(frugal(squeeze), f"{FOUND_ROWS}{extra}, body binary")
-        return part.unionByName(bodies, allowMissingColumns=True).select(*bodies.columns).repartition(n, "doc", "sub").sortWithinPartitions("doc", "sub", F.col("body").isNotNull())
+        return part.unionByName(bodies, allowMissingColumns=True).select(*bodies.columns).repartition(n, *owner).sortWithinPartitions(*owner, F.col("body").isNotNull())
 
-    stretches = with_texts(found.where("key IS NOT NULL"), "").mapInArrow(frugal(fetch), "key long, doc long, packed long, piece binary")
-    closer = stretches.repartition(n, "key").sortWithinPartitions("key", "doc", "packed").mapInArrow(frugal(compare), FOUND_ROWS)
+    stretches = with_texts(found.where("key IS NOT NULL"), "").mapInArrow(frugal(fetch), STRETCH_ROWS)
+    closer = stretches.repartition(n, "key").sortWithinPartitions("key", "ctx", "doc", "mark", "packed").mapInArrow(frugal(compare), FOUND_ROWS)
     spans = found.where("key IS NULL").union(closer)
     return with_texts(spans, extra).mapInArrow(frugal(functools.partial(cut_texts, as_text=as_text)), f"doc long, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}{extra}")
 
 
-def sha256_hex(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
+def with_heavy(anchored: DataFrame, heavy: int = HEAVY, broadcast: int = 100_000) -> DataFrame:
+    """Adds whether an anchor's slot is heavy. There are four slots for each ``heavy`` anchors, so slots are as full at every size.
+
+    Counts combine before their shuffle. The heavy slots (8 bytes each) are sent
+    to all tasks if they are few, else joined.
+    """
+    slots = 1 << max(12, (4 * anchored.count() // heavy).bit_length())
+    slot = F.col("key").bitwiseAND(F.lit(slots - 1))
+    full = written(anchored.where("spans IS NULL").groupBy(slot.alias("slot")).count().where(F.col("count") > heavy).select("slot"), "heavy")
+    marked = full.withColumn("heavy", F.lit(True))
+    joined = anchored.withColumn("slot", slot).join(F.broadcast(marked) if full.count() <= broadcast else marked, "slot", "left")
+    return joined.select(*anchored.columns, F.coalesce("heavy", F.lit(False)).alias("heavy"))

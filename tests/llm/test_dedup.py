@@ -155,16 +155,56 @@ def test_long_texts_are_cut_into_pieces_without_loss(spark, monkeypatch):
 
 def test_run_index_samples_suffice():
     rnd = random.Random(4)
-    strings = ["".join(rnd.choice("ab") for _ in range(rnd.randint(0, 60))) for _ in range(40)]
-    index = passages.RunIndex(np.frombuffer("".join(strings).encode(), np.uint8), np.array([len(s) for s in strings]))
-    text, place = "\n".join(strings) + "\n", index.order.tolist()
-    lcp = index.prefixes()
-    for x, y in zip(place, place[1:]):
-        a, b = text[y:].split("\n")[0], text[x:].split("\n")[0]
-        assert lcp[y] == next((i for i, (p, q) in enumerate(zip(a, b)) if p != q), min(len(a), len(b)))
-    assert len(index.runs()) < index.n
-    want = [i for i in range(len(text)) if "\n" not in text[i : i + 8] and len(text[i : i + 8]) == 8 and text.find(text[i : i + 8]) < i]
-    assert index.repeats(8).tolist() == want
+    for letters, most in (("ab", 60), ("ab", 9), ("aé\x00", 40)):
+        strings = [b"".join(rnd.choice(letters).encode() for _ in range(rnd.randint(0, most))) for _ in range(40)] + [b"ab" * 30, b"ab" * 30]
+        index = passages.RunIndex(np.frombuffer(b"".join(strings), np.uint8), np.array([len(s) for s in strings]))
+        suffix = [s[i:] for s in strings for i in range(len(s) + 1)]  # at each position, up to its mark
+        order = sorted(range(index.n), key=lambda i: (suffix[i] + b"\xff", i))
+        common = lambda x, y: next((i for i, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
+        match, other = index.statistics()
+        assert sorted(match.tolist()) == sorted([0, *(common(suffix[x], suffix[y]) for x, y in zip(order, order[1:]))])
+        assert all(common(suffix[i], suffix[other[i]]) == match[i] and other[i] != i for i in range(index.n) if match[i])
+        assert len(index.at) < index.n and index.run_length.sum() == index.n
+        want = [i for i in range(index.n) if len(suffix[i]) >= 8 and any(suffix[j][:8] == suffix[i][:8] for j in range(i))]
+        assert index.repeats(8).tolist() == want
+
+
+def ordered_by_hash(rows):
+    """Rows of one id in the order that the operator gives their texts."""
+    mark = lambda t: xxhash.xxh64_intdigest((t or "").encode(), 42) & (2**63 - 1)
+    return sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, mark(r[1]) if r[0] is not None else -1 - mark(r[1])))
+
+
+def cut_in_order(rows):
+    """``cut`` of rows that may share ids, as if each different text had an id of its own."""
+    numbered, names = [], []
+    for r in ordered_by_hash(rows):
+        if r not in names[-1:]:
+            names.append(r)
+        numbered.append((len(names) - 1, r[1]))
+    return sorted(((names[d][0], *x) for d, *x in cut(numbered)), key=repr)
+
+
+def test_passages_of_texts_that_share_an_id(spark):
+    rnd = random.Random(8)
+    text = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    base = text(600)
+    rows = []
+    for i in range(1500):  # enough for several 16-bit clashes within an id
+        t = text(rnd.randint(150, 300))
+        if i % 2:
+            k = rnd.randint(0, 450)
+            t = t[:50] + base[k : k + 150] + t[50:]
+        rows.append((rnd.choice([None, None, 7, -(2**63)]), t))
+    rows += rows[:5] + [(None, None), (None, ""), (7, None)]
+    assert left(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)) == cut_in_order(rows)
+
+
+@pytest.mark.parametrize("heavy", [0, 3])
+def test_heavy_anchors_give_the_same_spans(spark, monkeypatch, heavy):
+    rows = repetitive() + [(200 + i, f"{i:04d} " * 20 + "a common line between many others " * 2 + f"{i % 7:04d} " * 20) for i in range(60)]
+    monkeypatch.setattr(passages.with_heavy, "__defaults__", (heavy, 100_000) if heavy else (1, 0))
+    assert left(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)) == cut(rows)
 
 
 def test_near_dedup_links_by_exact_five_word_similarity(spark):
