@@ -1,27 +1,33 @@
-"""SimHash near-duplicates with a Gray-order hierarchical index.
+"""SimHash near-duplicates with a Gray-order hierarchical index over ranges of fingerprints.
 
-Fingerprints that differ in at most ``distance`` bits agree on at least two of
-``distance + 2`` blocks, so each pair of blocks keys a table in which every link
-lies within one key. There the fingerprints of a key are sorted by their rank in
-Gray order; runs of them form nodes, runs of nodes form upper nodes, up to one
-root for a key. A node holds the bits on which all below it agree, without those
-that its upper node holds already. A search adds up the differences from the
-root down and leaves a group as soon as they exceed ``distance``.
+The distinct fingerprints are sorted by their rank in Gray order, in which
+neighbours share long runs of bits, and cut into ranges of about ``RANGE``
+entries. The index is one tree: upper nodes over the ranges, and below each range
+nodes down to its entries. A node holds the bits on which all below it agree,
+without those that a node above it holds already (shared masked patterns are
+factored out upwards). A search adds up the differences from the root down and
+leaves a whole group as soon as they exceed ``distance``.
 
-Exact copies share a fingerprint and are one entry. An entry has a bounded
-number of links (2,080 for two bits in 64), and a task sends on only a spanning
-forest of each key's links, at most one edge for an entry.
+Every task has the upper nodes (a few dozen bytes for each range) and routes
+fingerprints through them to the ranges that may hold a link; only those at or
+after a fingerprint's own range, since links are symmetric. In a range the
+entries come first and form its part of the tree; visitors are streamed through it.
+
+Exact copies share a fingerprint and are one entry. A task sends on a spanning
+forest of a range's own links and one edge for each component that a visitor
+meets.
 
 Defined results: a null or empty text has fingerprint zero and is linked like
 any other. Rows with a null id get the smallest id of their component like
 others (null if all are null). Repeated rows give repeated rows; an empty table
-an empty result.
+an empty result. Fingerprints, upper nodes and components are made while the plan
+is made.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain, combinations
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +40,10 @@ from .components import components
 from .pretoken import gather
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-#: Shingles whose bits are counted at once; entries that share a node; searches and frontier entries at once.
-SHINGLES, FANOUT, SEARCHES, ROWS = 100_000, 16, 4096, 400_000
+#: Shingles whose bits are counted at once; nodes below a node; searches and frontier entries at once.
+SHINGLES, FANOUT, SEARCHES, ROWS = 100_000, 4, 4096, 400_000
+#: Entries of a range, and leading bits of a Gray rank by which entries are counted to cut ranges (a slot is never cut).
+RANGE, SLOT_BITS = 16_384, 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -90,56 +98,49 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
     return codes
 
 
-class GrayIndex:
-    """A forest over entries sorted by key and Gray rank, one tree for a key."""
+class GrayTree:
+    """A tree over items in Gray order. An item is a fingerprint, or a group of them given by the AND and the OR of its fingerprints."""
 
-    def __init__(self, key: np.ndarray, code: np.ndarray, fanout: int = FANOUT):
-        self.code = code
-        tree = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        self.tree = tree
-        both, either = code, code
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []  # from the leaves' nodes up: first child, children, own mask, pattern
-        shared: list[np.ndarray] = []
-        owner = tree
+    def __init__(self, both: np.ndarray, either: np.ndarray | None = None, fanout: int = FANOUT):
+        self.n, self.visited, self.pruned, self.groups = len(both), 0, 0, either is not None  # nodes looked at and groups left, of all searches
+        either = both if either is None else either
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []  # from the items up: first child, children, mask, pattern
+        if not self.n:
+            return
+        begin = count = np.zeros(self.n, dtype=np.int64)
         while True:
-            first_of_tree = np.concatenate([[True], owner[1:] != owner[:-1]])
-            place = np.arange(len(owner)) - np.flatnonzero(first_of_tree)[np.cumsum(first_of_tree) - 1]
-            begin = np.flatnonzero(place % fanout == 0)
-            count = np.diff(np.append(begin, len(owner)))
-            both, either = np.bitwise_and.reduceat(both, begin), np.bitwise_or.reduceat(either, begin)
-            mask = ~(both ^ either)
-            shared.append(mask)
-            self.levels.append((begin, count, mask, both & mask))
-            owner = owner[begin]
-            if len(owner) == int(tree[-1]) + 1:
+            shared = ~(both ^ either)
+            self.levels.append((begin, count, shared, both & shared))
+            if len(both) == 1:
                 break
+            begin = np.arange(0, len(both), fanout)
+            count = np.diff(np.append(begin, len(both)))
+            both, either = np.bitwise_and.reduceat(both, begin), np.bitwise_or.reduceat(either, begin)
         for low in range(len(self.levels) - 1):  # what an upper node holds, those below it don't
-            begin, count, _, pattern = self.levels[low]
-            up_count = self.levels[low + 1][1]
-            above = np.repeat(shared[low + 1], up_count)
-            self.levels[low] = (begin, count, shared[low] & ~above, pattern & ~above)
-
-    def links(self, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of entries (i < j) of one key that differ in at most ``distance`` bits."""
-        for a in range(0, len(self.code), SEARCHES):
-            who = np.arange(a, min(len(self.code), a + SEARCHES))
-            stack = [(len(self.levels) - 1, who, self.tree[who], np.zeros(len(who), dtype=np.int64))]
+            begin, count, mask, pattern = self.levels[low]
+            above = np.repeat(self.levels[low + 1][2], self.levels[low + 1][1])
+            self.levels[low] = (begin, count, mask & ~above, pattern & ~above)
+
+    def search(self, codes: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(index of the code, item) of all items whose shared bits differ in at most ``distance`` places; for fingerprints, the links."""
+        for a in range(0, len(codes) if self.n else 0, SEARCHES):
+            who = np.arange(a, min(len(codes), a + SEARCHES))
+            stack = [(len(self.levels) - 1, who, np.zeros(len(who), dtype=np.int64), np.zeros(len(who), dtype=np.int64))]
             while stack:
                 level, who, node, sofar = stack.pop()
                 if len(who) > ROWS:
                     half = len(who) // 2
                     stack += [(level, who[half:], node[half:], sofar[half:]), (level, who[:half], node[:half], sofar[:half])]
                     continue
-                if level < 0:
-                    ahead = node > who
-                    who, node = who[ahead], node[ahead]
-                    near = np.bitwise_count(self.code[who] ^ self.code[node]) <= distance
-                    yield who[near], node[near]
-                    continue
                 begin, count, mask, pattern = self.levels[level]
-                sofar = sofar + np.bitwise_count((self.code[who] ^ pattern[node]) & mask[node])
+                sofar = sofar + np.bitwise_count((codes[who] ^ pattern[node]) & mask[node])
                 stay = sofar <= distance
+                self.visited += len(who)
+                self.pruned += len(who) - int(stay.sum()) if level or self.groups else 0
                 who, node, sofar = who[stay], node[stay], sofar[stay]
+                if level == 0:
+                    yield who, node
+                    continue
                 n = count[node]
                 below = np.repeat(begin[node] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
                 stack.append((level - 1, np.repeat(who, n), below, np.repeat(sofar, n)))
@@ -161,46 +162,88 @@ def join_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = up
 
 
-def link_keys(distance: int):
-    """Sorted (key, rank, code) -> a spanning forest of the links within each key, by mixed codes."""
+def link_range(distance: int):
+    """Rows sorted by (range, visitor or not, rank) -> edges that join what is linked within a range and by its visitors, by mixed codes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_key, held_code = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-
-        def edges(key: np.ndarray, code: np.ndarray) -> pa.RecordBatch:
-            n = len(key)
-            same = np.zeros(n, dtype=bool)
-            same[1:] = key[1:] == key[:-1]
-            same[:-1] |= same[1:]
-            key, code = key[same], code[same]  # keys with one entry have no link
-            label = np.arange(len(code))
-            if len(code):
-                for a, b in GrayIndex(key, code).links(distance):
-                    join_labels(label, a, b)
+        now, parts, tree, entries, label = None, [], None, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+        def edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(mixed(x).view(np.int64)) for x in (a, b)], names=["a", "b"])
+
+        def grown() -> pa.RecordBatch:
+            nonlocal tree, entries, label, parts
+            entries, parts = np.concatenate(parts) if parts else np.zeros(0, np.uint64), []
+            tree, label = GrayTree(entries), np.arange(len(entries))
+            for a, b in tree.search(entries, distance):
+                join_labels(label, a[a < b], b[a < b])
             i = np.flatnonzero(label != np.arange(len(label)))
-            return pa.RecordBatch.from_arrays([pa.array(mixed(code[x]).view(np.int64)) for x in (i, label[i])], names=["a", "b"])
+            return edges(entries[i], entries[label[i]])
 
         for batch in batches:
-            key = np.concatenate([held_key, batch.column(0).to_numpy()])
-            code = np.concatenate([held_code, batch.column(2).to_numpy().view(np.uint64)])
-            if not len(key):
-                continue
-            cut = int(np.searchsorted(key, key[-1]))  # the last key may go on
-            if cut >= 20_000 or (cut and len(key) - cut > 20_000):
-                yield edges(key[:cut], code[:cut])
-                key, code = key[cut:], code[cut:]
-            held_key, held_code = key, code
-        if len(held_key):
-            yield edges(held_key, held_code)
+            group, visits = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            code = batch.column(3).to_numpy().view(np.uint64)
+            cuts = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (visits[1:] != visits[:-1])])) if len(group) else []
+            for a, b in zip(cuts, [*cuts[1:], len(group)]):
+                if group[a] != now:
+                    if parts:
+                        yield grown()
+                    now, parts, tree = group[a], [], None
+                if not visits[a]:
+                    parts.append(code[a:b])
+                    continue
+                if tree is None:
+                    yield grown()
+                for who, item in tree.search(code[a:b], distance):
+                    met = np.unique(np.stack([who, label[item]]), axis=1)  # one edge for each component
+                    yield edges(code[a:b][met[0]], entries[met[1]])
+        if parts:
+            yield grown()
 
     return run
 
 
-def block_keys(distance: int, bits: int = 64) -> list[np.uint64]:
-    """A mask for each pair of blocks."""
-    cuts = [bits * i // (distance + 2) for i in range(distance + 3)]
-    masks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(cuts, cuts[1:])]
-    return [np.uint64(x | y) for x, y in combinations(masks, 2)]
+class Upper:
+    """The upper nodes: ranges of slots (leading bits of a Gray rank) with the bits that their fingerprints share."""
+
+    def __init__(self, slot: np.ndarray, count: np.ndarray, both: np.ndarray, either: np.ndarray, size: int = RANGE):
+        order = np.argsort(slot)
+        slot, count, both, either = slot[order], count[order], both[order], either[order]
+        begin, held = [], size
+        for i, n in enumerate(count.tolist()):
+            if held + n > size:
+                begin.append(i)
+                held = 0
+            held += n
+        begin = np.array(begin, dtype=np.int64)
+        self.first = slot[begin]
+        self.tree = GrayTree(np.bitwise_and.reduceat(both, begin), np.bitwise_or.reduceat(either, begin)) if len(begin) else GrayTree(both)
+
+    def own(self, code: np.ndarray) -> np.ndarray:
+        """The range of each fingerprint."""
+        return np.searchsorted(self.first, slot_of(code), side="right") - 1
+
+    def routed(self, code: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(index of the code, range) of the later ranges that may hold a link."""
+        own = self.own(code)
+        for who, group in self.tree.search(code, distance):
+            later = group > own[who]
+            yield who[later], group[later]
+
+
+def slot_of(code: np.ndarray) -> np.ndarray:
+    return (gray_rank(code) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def upper_nodes(codes: DataFrame) -> Upper:
+    """The upper nodes over distinct fingerprints. The driver gets at most 2 ** SLOT_BITS counts with the AND and OR of a slot's fingerprints, whatever the input's size."""
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(slot_of(batch.column(0).to_numpy().view(np.uint64))), batch.column(0)], names=["slot", "code"])
+
+    rows = codes.select("code").mapInArrow(frugal(slots), "slot long, code long").groupBy("slot").agg(F.count("*").alias("n"), F.bit_and("code").alias("x"), F.bit_or("code").alias("y")).toPandas()
+    return Upper(*(rows[c].to_numpy(dtype=np.int64) for c in ("slot", "n")), *(rows[c].to_numpy(dtype=np.int64).view(np.uint64) for c in ("x", "y")))
 
 
 def mixed(code: np.ndarray) -> np.ndarray:
@@ -223,19 +266,24 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 def linked(codes: DataFrame, distance: int) -> DataFrame:
     """(code, root) for all of the distinct codes that have a link: the components' mixed roots."""
-    masks = block_keys(distance)
+    spark = codes.sparkSession
+    upper = spark.sparkContext.broadcast(upper_nodes(codes))  # at most 2 ** SLOT_BITS ranges; far fewer as a rule
+
+    def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(group: np.ndarray, visits: bool, code: np.ndarray) -> pa.RecordBatch:
+            made = (group, np.full(len(code), visits), gray_rank(code).view(np.int64), code.view(np.int64))
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=["grp", "visits", "rank", "code"])
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             code = batch.column(0).to_numpy().view(np.uint64)
-            rank = gray_rank(code)
-            for i, mask in enumerate(masks):
-                key = mixed(mixed(code & mask) + np.uint64(i))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(rank.view(np.int64)), pa.array(code.view(np.int64))], names=["key", "rank", "code"])
-
-    n = partitions_for(codes.sparkSession)
-    dealt = codes.select("code").mapInArrow(frugal(keyed), "key long, rank long, code long").repartition(n, "key").sortWithinPartitions("key", "rank")
-    return components(dealt.mapInArrow(frugal(link_keys(distance)), "a long, b long"))
+            yield rows(upper.value.own(code), False, code)
+            for who, group in upper.value.routed(code, distance):
+                yield rows(group, True, code[who])
+
+    # an unsigned rank: its sign bit is turned for the sort
+    turned = F.col("rank").bitwiseXOR(F.lit(-(2**63)))
+    dealt = codes.select("code").mapInArrow(frugal(routed), "grp long, visits boolean, rank long, code long").repartition(partitions_for(spark), "grp").sortWithinPartitions("grp", "visits", turned)
+    return components(dealt.mapInArrow(frugal(link_range(distance)), "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, distance: int = 2) -> DataFrame:

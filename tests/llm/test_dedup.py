@@ -69,15 +69,38 @@ def test_simhash_of_odd_rows(spark, odd_docs, no_docs):
     assert found(no_docs) == []
 
 
+def clustered(seed, groups=12, copies=60):
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 2**63, groups, dtype=np.uint64)
+    flip = lambda: np.uint64(1) << rng.integers(0, 64, groups, dtype=np.uint64)
+    code = np.unique(np.concatenate([base ^ flip() ^ flip() for _ in range(copies)]))
+    return code[np.argsort(simhash.gray_rank(code))]
+
+
 @pytest.mark.parametrize("distance", [0, 1, 2, 6])
-def test_gray_index_finds_every_link(distance):
-    rng = np.random.default_rng(distance)
-    base = rng.integers(0, 2**63, 12, dtype=np.uint64)
-    code = np.unique(np.concatenate([base ^ (np.uint64(1) << rng.integers(0, 64, 12, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 12, dtype=np.uint64)) for _ in range(60)]))
-    code = code[np.argsort(simhash.gray_rank(code))]
-    got = {p for a, b in simhash.GrayIndex(np.zeros(len(code), np.int64), code).links(distance) for p in zip(a.tolist(), b.tolist())}
+def test_gray_tree_finds_every_link(distance):
+    code = clustered(distance)
+    tree = simhash.GrayTree(code)
+    got = {p for a, b in tree.search(code, distance) for p in zip(a.tolist(), b.tolist())}
     near = np.bitwise_count(code[:, None] ^ code[None, :]) <= distance
-    assert got == {(i, j) for i, j in zip(*map(np.ndarray.tolist, np.nonzero(near))) if i < j}
+    assert got == set(zip(*map(np.ndarray.tolist, np.nonzero(near))))
+    assert tree.pruned and tree.visited < len(code) ** 2
+    for (_, count, above, _), (_, _, mask, _) in zip(tree.levels[1:], tree.levels):
+        assert not (np.repeat(above, count) & mask).any()  # no bit is held by a node and the one above it
+
+
+@pytest.mark.parametrize("size", [1, 5, 100])
+def test_ranges_and_upper_nodes_lose_no_link(size):
+    code = clustered(3)
+    slot = simhash.slot_of(code)
+    kinds, at, n = np.unique(slot, return_index=True, return_counts=True)
+    upper = simhash.Upper(kinds, n, np.bitwise_and.reduceat(code, at), np.bitwise_or.reduceat(code, at), size)
+    own = upper.own(code)
+    assert (np.diff(own) >= 0).all() and own.max() + 1 == len(upper.first) > 1
+    met = {p for a, b in upper.routed(code, 2) for p in zip(a.tolist(), b.tolist())}
+    for i, j in zip(*np.nonzero(np.bitwise_count(code[:, None] ^ code[None, :]) <= 2)):
+        assert own[i] >= own[j] or (i, own[j]) in met
+    assert len(met) < len(code) * len(upper.first) / 2
 
 
 def test_components_of_paths_stars_and_loops(spark):
