@@ -26,7 +26,7 @@ is made.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -61,12 +61,18 @@ def shingle_hashes(text: str | None, size: int = 3, seed: int = 42) -> list[int]
 
 def fingerprints(texts: list[str | None], size: int = 3) -> np.ndarray:
     """64-bit fingerprints: a bit is set if it is set in over half the hashes."""
-    out, begin = np.zeros(len(texts), dtype=np.uint64), 0
+    return fingerprints_of(shingle_hashes(t, size) for t in texts)
+
+
+def fingerprints_of(lists: Iterable[list[int]]) -> np.ndarray:
+    """The fingerprints of some lists of shingle hashes."""
+    out: list[np.ndarray] = []
     held: list[list[int]] = []
     count = 0
 
     def flush() -> None:
         n = np.array([len(h) for h in held], dtype=np.int64)
+        made = np.zeros(len(held), dtype=np.uint64)
         some = np.flatnonzero(n)
         if len(some):
             flat = np.fromiter(chain.from_iterable(held), dtype="<u8", count=int(n.sum()))
@@ -79,16 +85,17 @@ def fingerprints(texts: list[str | None], size: int = 3) -> np.ndarray:
                 first = x - 1 if x == len(at) or at[x] != a else x
                 total[first:y] += np.add.reduceat(bits, np.concatenate([[0], at[first + 1 : y] - a]), axis=0, dtype=np.int64)
             high = (2 * total > n[some, None]).astype(np.uint8)
-            out[begin + some] = np.packbits(high, axis=1, bitorder="little").view("<u8").ravel()
+            made[some] = np.packbits(high, axis=1, bitorder="little").view("<u8").ravel()
+        out.append(made)
 
-    for text in texts:
-        held.append(shingle_hashes(text, size))
-        count += len(held[-1])
+    for hashes in lists:
+        held.append(hashes)
+        count += len(hashes)
         if count >= SHINGLES:
             flush()
-            begin, held, count = begin + len(held), [], 0
+            held, count = [], 0
     flush()
-    return out
+    return np.concatenate(out)
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:

@@ -230,14 +230,11 @@ def test_heavy_anchors_give_the_same_spans(spark, monkeypatch, heavy):
     assert left(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)) == cut(rows)
 
 
-def test_near_dedup_links_by_exact_five_word_similarity(spark):
-    import corpus_pipeline as P
-    from framelake.llm import similar
-
-    rnd = random.Random(3)
+def near_texts(seed=3, families=30):
+    rnd = random.Random(seed)
     word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(7))
     texts = []
-    for _ in range(30):
+    for _ in range(families):
         base = [word() for _ in range(rnd.choice([3, 60, 200]))]
         texts.append(base)
         for changes in (1, 2, 4, 8, 12):  # of which few of the longer texts stay at 0.8 or above
@@ -245,8 +242,12 @@ def test_near_dedup_links_by_exact_five_word_similarity(spark):
             for _ in range(changes):
                 own[rnd.randrange(len(own))] = word()
             texts.append(own)
-    rows = [(i * 7 % 1009, " ".join(t), "en", "s", 1) for i, t in enumerate(texts)]
-    sets = {d: {tuple(w[i : i + 5]) for w in [t.split()] for i in range(max(1, len(w) - 4))} for d, t, *_ in rows}
+    return [(i * 7 % 1009, " ".join(t), "en", "s", 1) for i, t in enumerate(texts)]
+
+
+def firsts_of_groups(rows):
+    """The smallest id of each component of all pairs with five-word similarity of at least 0.8."""
+    sets = {d: {tuple(w[i : i + 5]) for w in [(t or "").split()] for i in range(max(1, len(w) - 4))} for d, t, *_ in rows}
     root = {d: d for d in sets}
 
     def find(x):
@@ -259,8 +260,39 @@ def test_near_dedup_links_by_exact_five_word_similarity(spark):
             if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
-    want = sorted(d for d in sets if find(d) == d)
+    return sorted(d for d in sets if find(d) == d)
+
+
+def test_near_dedup_links_by_exact_five_word_similarity(spark):
+    import corpus_pipeline as P
+    from framelake.llm import similar
+
+    rows = near_texts()
+    want = firsts_of_groups(rows)
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r.doc_id for r in P.near_dedup(spark, docs, "").collect()) == want and len(want) < len(rows)
     alone = [similar.shingle_set(t) for _, t, *_ in rows]
     assert len(set(similar.clusters(alone).tolist())) == len(want)
+
+
+def test_candidate_groups_in_chunks_lose_no_link(spark):
+    from framelake.llm import similar
+
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(7))
+    rows = near_texts(4, 6)
+    base = [word() for _ in range(120)]
+    for i in range(150):  # one large family, some of it near its edge, and chains of texts that drift away
+        own = list(base)
+        for _ in range(rnd.choice([0, 1, 1, 2, 3, 5])):
+            own[rnd.randrange(120)] = word()
+        rows.append((2000 + i, " ".join(own), "en", "s", 1))
+    drift = list(base)
+    for i in range(40):
+        drift[rnd.randrange(120)] = word()
+        rows.append((3000 + i, " ".join(drift), "en", "s", 1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    want = firsts_of_groups(rows)
+    for group in (400, 2500, 10**9):
+        found = similar.near_duplicates(docs, group=group).collect()
+        assert sorted({r.component_id for r in found}) == want and len(found) == len(rows), group
