@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import frugal
 from .pretoken import LETTER, NUMBER, OTHER, Arena, Words, class_table, disputed, gather, slices
 
-#: Pre-tokens whose ids a worker keeps between batches; the table starts anew beyond it. It bounds memory only.
+#: Pre-tokens whose ids a worker keeps between batches and tasks; the table starts anew beyond it. It bounds memory only.
 MEMO = 250_000
 #: Characters of the texts that are encoded together, and of those that numpy works on at once.
 BLOCK, RUN = 5_000_000, 1_200_000
@@ -321,7 +321,6 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     for text, n, ids_text, data in zip(texts[a + i : b], np.diff(at).tolist(), bpe.decimals(ids, at), bpe.decode(ids, at), strict=False):
                         rows.append((n, hashlib.sha256(ids_text).hexdigest(), hashlib.sha256(data).hexdigest(), data == text.encode("utf-8")))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "exact"])
-        bpe.arena = Arena()  # the worker lives on; its next task may be of another kind
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string, exact boolean")
     def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

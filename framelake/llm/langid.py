@@ -32,8 +32,6 @@ from .common import fold_of, frugal
 from .pretoken import LETTER, class_table, joined, slices
 
 DIMENSIONS, ORDER, SEED = 512, 3, 7
-#: Languages that may be learned: their prototypes go to the driver and to every task.
-MAX_LANGUAGES = 4096
 #: Characters worked on at once; cells of a count matrix; n-grams bound at once. They bound memory only.
 RUN, CELLS, BOUND = 1_000_000, 4_000_000, 4096
 BITS = 21  # of a code point
@@ -111,10 +109,12 @@ class Binder:
 
 
 def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", binder: Binder | None = None) -> dict[str, np.ndarray]:
-    """Prototypes by language from all rows with a language; at most ``MAX_LANGUAGES``.
+    """Prototypes by language from all rows with a language.
 
-    Each task bundles its rows by language; what is shuffled and gathered is one
-    vector per language and task, then one per language.
+    Each task bundles its rows by language; what is shuffled is one vector per
+    language and task. The driver and every task get one vector (4 KB) for each
+    different value of the language column, which grow with the languages and not
+    with the rows.
     """
     binder = binder or Binder()
 
@@ -132,9 +132,7 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", b
 
     parts = labelled.where(F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).mapInArrow(frugal(bundles), "lang string, v array<long>")
     summed = parts.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
-    rows = summed.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v")).limit(MAX_LANGUAGES + 1).collect()
-    if len(rows) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    rows = summed.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v")).collect()
     return {r["lang"]: np.array(r["v"], dtype=np.float64) for r in sorted(rows, key=lambda r: r["lang"])}
 
 

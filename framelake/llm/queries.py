@@ -10,7 +10,11 @@ from pyspark.sql import functions as F
 
 from .. import ship
 from . import bytebpe, chat, decontam, langid, passages, simhash, tokenfile, topk, toxic, urlfilter
-from .common import read_table
+from .common import read_table, spread
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(read_table(spark, sf_dir, "documents"))
 
 
 def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,17 +22,17 @@ def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"), size=3, distance=2)
+    found = simhash.near_duplicates(documents(spark, sf_dir), size=3, distance=2)
     return found.select("doc_id", simhash.hex_digits(F.col("code")).alias("fingerprint"), "component_id")
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontam.decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    found = decontam.decontaminate(documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     return toxic.score(docs, toxic.learn(docs, read_table(spark, sf_dir, "labels")))
 
 
@@ -40,16 +44,16 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.identify(read_table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+    return langid.identify(documents(spark, sf_dir)).select("doc_id", "held_out", "lang_pred", "score")
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = passages.remove_repeats(read_table(spark, sf_dir, "documents"))
+    cut = passages.remove_repeats(documents(spark, sf_dir))
     return cut.select(F.col("doc").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bytebpe.round_trip(read_table(spark, sf_dir, "documents"))
+    return bytebpe.round_trip(documents(spark, sf_dir))
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """DuckDB SQL for those contract queries that SQL can express on whole tables.
 
 The others have none: DuckDB has no seeded XXH64 (op2), and no trained models
-(op4, op6, op10) or byte-pair merges (op8, op9); tests compare those with
-brute-force versions, libraries or held-out labels.
+(op4, op6, the model's part of op10) or byte-pair merges (op8, op9); tests compare
+those with brute-force versions, libraries or held-out labels. ``URL_RULES`` is the
+part of op10 that SQL can express, for its test.
 """
 
 from __future__ import annotations
@@ -69,5 +70,15 @@ FROM d JOIN kept USING (doc_id) LEFT JOIN cut USING (doc_id)
 """
 
 
+URL_RULES = f"""
+WITH p AS (SELECT page_id, url, CASE WHEN contains(url, '://') THEN substring(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM p),
+rules AS (SELECT * FROM (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')) t(verdict, rule_host, rule_path)),
+fits AS (SELECT page_id, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule, arg_max(verdict, length(rule_host || rule_path)) AS verdict
+  FROM h JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY 1)
+SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, verdict FROM h LEFT JOIN fits USING (page_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {"op1_topk_search": TOP_K, "op3_decontaminate": DECONTAMINATE, "op5_chat_format": CHAT, "op7_suffix_dedup": PASSAGES}

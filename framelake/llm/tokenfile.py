@@ -9,7 +9,7 @@ Spark's committer guards the writes against lost executors; ``export`` puts them
 into plain files.
 
 Defined results: a null text has only the end id. Null keys come first; rows
-with one key are ordered by text. An empty table gives an empty result.
+with one key are ordered by a hash of the text, then by text. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from .pretoken import LETTER, NUMBER, OTHER, Arena, Words, class_table, disputed
 MAGIC, HEADER = b"FLTOKEN1", struct.Struct("<8sIIQQ")
 #: Ids of a block, and about how many ids a shard holds (it ends with a whole document).
 BLOCK_IDS, SHARD_IDS = 4096, 2_000_000
-#: Words that a worker remembers; characters worked on at once. They bound memory only.
+#: Words that a worker remembers between tasks; characters worked on at once. They bound memory only.
 MEMO, BLOCK, RUN = 400_000, 6_000_000, 1_500_000
 SHARD_SCHEMA = "part int, seq int, before long, n_docs long, n_ids long, shard binary"
 
@@ -145,11 +145,10 @@ class WordBpe:
             self.arena.add(new, np.array([i for ids in lists for i in ids], dtype=np.int32), np.array([len(ids) for ids in lists], dtype=np.int64))
         for a, b, part in parts:
             ids, at = self.arena.expand(part)
-            if inside := [i for i in odd if a <= i < b]:
+            if any(a <= i < b for i in odd):
                 pieces = [odd.get(a + k, ids[x:y]) for k, (x, y) in enumerate(zip(at.tolist(), at[1:].tolist()))]
                 ids = np.concatenate([np.asarray(x, dtype=np.int64) for x in pieces])
                 at = np.concatenate([[0], np.cumsum([len(x) for x in pieces])])
-                del inside
             yield ids, at
 
 
@@ -212,10 +211,9 @@ def write_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     done += n
         if keys:
             yield flush()
-        bpe.arena = Arena()  # the worker lives on; its next task may be of another kind
 
     rows = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"))
-    ordered = rows.repartitionByRange(partitions_for(spark), "key", F.xxhash64("text")).sortWithinPartitions("key", "text")
+    ordered = rows.repartitionByRange(partitions_for(spark), "key", F.xxhash64("text")).sortWithinPartitions("key", F.xxhash64("text"), "text")
     ordered.mapInArrow(frugal(shards), SHARD_SCHEMA).write.parquet(folder)
     return folder
 

@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from .common import fold_of, frugal, written
 from .pretoken import Words, slices
 
-#: Labelled rows that the model is fitted on; words of a lexicon; the least evidence (G squared) and precision of a word.
-LABELLED, LEXICON, EVIDENCE, PRECISION = 8000, 2000, 22.0, 0.7
+#: Labelled rows that the model is fitted on; the least evidence (G squared) and precision of a word.
+LABELLED, EVIDENCE, PRECISION = 8000, 22.0, 0.7
 #: Edits allowed in words of at least so many letters or bytes; words on either side of a match that are looked at.
 EDITS, LEAST_LENGTH, WINDOW = 1, 5, 6
 #: Characters worked on at once, and words remembered. They bound memory only.
@@ -233,7 +233,7 @@ def sample_of(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, li
 
 
 def lexicon(sample: DataFrame) -> list[tuple[str, float]]:
-    """Words that toxic texts use far more than others, with log odds; at most ``LEXICON``."""
+    """Words that toxic texts use far more than others, with log odds: all that the bounded sample tells."""
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))
     pairs = sample.withColumn("w", words).select("toxic", F.explode(F.arrays_zip(F.col("w").alias("word"), F.concat(F.array(F.lit("")), F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0)))).alias("before"))).alias("x"))
     pairs = pairs.select("toxic", F.col("x.word").alias("word"), F.col("x.before").alias("before")).where("word IS NOT NULL")
@@ -249,7 +249,7 @@ def lexicon(sample: DataFrame) -> list[tuple[str, float]]:
     evidence = 2 * (part(t, (t + n) * share) + part(n, (t + n) * (1 - share)))
     odds = F.log(((t + 0.5) / (total["t"] + 1)) / ((n + 0.5) / (total["n"] + 1)))
     told = counts.select("word", evidence.alias("g"), odds.alias("odds"), (t / (t + n)).alias("precision")).where((F.col("g") >= EVIDENCE) & (F.col("odds") > 0) & (F.col("precision") >= PRECISION))
-    return [(r["word"], r["odds"]) for r in told.orderBy(F.desc("g"), "word").limit(LEXICON).collect()]
+    return [(r["word"], r["odds"]) for r in told.orderBy(F.desc("g"), "word").collect()]
 
 
 def fit(features: np.ndarray, label: np.ndarray, decay: float = 1e-3, steps: int = 60) -> np.ndarray:

@@ -247,7 +247,7 @@ def near_texts(seed=3, families=30):
 
 def firsts_of_groups(rows):
     """The smallest id of each component of all pairs with five-word similarity of at least 0.8."""
-    sets = {d: {tuple(w[i : i + 5]) for w in [(t or "").split()] for i in range(max(1, len(w) - 4))} for d, t, *_ in rows}
+    sets = {d: {tuple(w[i : i + 5]) for w in [(t or "").encode().lower().split()] for i in range(max(1, len(w) - 4))} for d, t, *_ in rows}
     root = {d: d for d in sets}
 
     def find(x):

@@ -4,9 +4,11 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 from oracle import SF
 
 from framelake.llm import decontam, langid, toxic, urlfilter
@@ -109,6 +111,64 @@ def test_languages_of_odd_rows(spark, odd_docs, no_docs):
     assert [r.lang_pred for r in langid.identify(none).collect()] == ["und"]
 
 
+def brute_languages(docs):
+    """(lang, score, least) by id: letters' vectors bound, bundled and compared one by one."""
+    binder, profiles, sizes = langid.Binder(), {}, {}
+    for i, (_, t, _) in enumerate(docs):
+        total, words = np.zeros(binder.dimensions), "".join(c if c.isalpha() else " " for c in (t or "").lower()).split()
+        grams = [f" {w} "[k : k + 3] for w in words for k in range(len(w))]
+        for g, n in Counter(grams).items():
+            v = np.ones(binder.dimensions)
+            for place, c in enumerate(reversed(g)):
+                v = v * np.roll(binder.letter(ord(c)), place)
+            total += n * v
+        profiles[i], sizes[i] = total, sum(len(grams) >= x for x in langid.LENGTHS)
+    learned = {}
+    own = [i for i, (d, _, lang) in enumerate(docs) if lang is not None and d is not None and zlib.crc32(str(d).encode()) % 5]
+    for i in own:
+        learned[docs[i][2]] = learned.get(docs[i][2], 0) + profiles[i]
+    names = sorted(n for n, v in learned.items() if v.any())
+    cosine = lambda i, n: float(profiles[i] @ learned[n] / np.linalg.norm(profiles[i]) / np.linalg.norm(learned[n]))
+    seen = {}
+    for i in own:
+        if profiles[i].any() and docs[i][2] in names:
+            for key in ((docs[i][2], sizes[i]), (None, sizes[i])):
+                seen.setdefault(key, []).append(cosine(i, docs[i][2]))
+    low = {k: sorted(x)[max(0, -(-len(x) // 1000) - 1)] for k, x in seen.items() if len(x) >= langid.LEAST_ROWS}
+    least = {}
+    for n in names:
+        at = 0.0
+        for k in range(len(langid.LENGTHS) + 1):
+            found = low.get((n, k), low.get((None, k)))
+            at = at if found is None else max(0.0, langid.SLACK * found)
+            least[n, k] = at
+    out = []
+    for i, (d, _, _) in enumerate(docs):
+        if not names or not profiles[i].any():
+            out.append((d, "und", 0.0, 0.0))
+            continue
+        scores = [cosine(i, n) for n in names]
+        best = max(range(len(names)), key=lambda k: (round(scores[k], 9), -k))
+        out.append((d, names[best], min(1.0, max(0.0, scores[best])), least[names[best], sizes[i]]))
+    return out
+
+
+def test_languages_equal_brute_force_on_a_whole_table(spark):
+    docs = read_table(spark, SF, "documents").select("doc_id", "text", "lang")
+    rows = [tuple(r) for r in docs.collect()]
+    want = sorted(brute_languages(rows))
+    got = sorted((r.doc_id, r.lang_pred, r.score, r.rejected) for r in langid.identify(docs).collect())
+    assert len(got) == len(want)
+    for (d, lang, score, out), (e, name, x, least) in zip(got, want):
+        assert (d, lang) == (e, name) and abs(score - x) < 1e-6 and (abs(x - least) < 1e-9 or out == (lang == "und" or x < least))
+
+
+def test_ties_between_languages_go_to_the_first_and_repeated_rows_stay(spark):
+    rows = [(i, "abc abd", lang) for i, lang in enumerate(["zz", "aa"] * 10)] + [(3, "abc abd", "mm")] * 2 + [(50, None, "aa"), (51, "", "zz")]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert len(got) == len(rows) and {r.lang_pred for r in got if r.doc_id < 50} == {"aa"} and {r.lang_pred for r in got if r.doc_id >= 50} == {"und"}
+
+
 def test_texts_of_an_unlearned_language_are_rejected(spark):
     import corpus_pipeline as P
 
@@ -197,6 +257,61 @@ def test_toxicity_on_held_out_rows(spark, odd_docs, no_docs):
     assert {r.score for r in toxic.score(docs, toxic.learn(docs, labels.limit(0))).collect()} == {0.0}
 
 
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+
+
+def brute_features(text, words, weights, known):
+    """A text's sums, from pieces found by a regular expression and edit distances to every lexicon word."""
+    low = (text or "").lower()
+    pieces = [(m.group(), m.start(), m.end()) for m in regex.finditer(PIECES, low)]
+
+    def near(w):
+        if w not in known:
+            known[w] = nearest(w)
+        return known[w]
+
+    def nearest(w):
+        if w in words:
+            return words.index(w), 0
+        found = [(1, i) for i, x in enumerate(words) if (len(x) >= 5 and edit_distance(w, x) <= 1) or (len(x) < 5 <= len(x.encode()) and edit_distance(w.encode(), x.encode()) <= 1)]
+        return (min(found)[1], 1) if found else (-1, 0)
+
+    hits = [(k, k + 1, *near(w)) for k, (w, _, _) in enumerate(pieces)]
+    hits = [h for h in hits if h[2] >= 0]
+    matched = {h[0] for h in hits}
+    for k in range(len(pieces) - 2):
+        (a, _, x), (b, y, z), (c, u, _) = pieces[k : k + 3]
+        if a.isalpha() and c.isalpha() and len(b) == 1 and not b.isalpha() and x == y and z == u and k not in matched and k + 2 not in matched and (i := near(a + b + c)[0]) >= 0:
+            hits.append((k, k + 3, i, 1))
+    marks = {q for q in toxic.QUOTES.split()}
+    is_mark = [any(w.encode() in {q.encode()} or w.encode()[:n] == q.encode() or w.encode()[-n:] == q.encode() for q in marks for n in (len(q.encode()),)) for w, _, _ in pieces]
+    is_report = [w in toxic.REPORTING.split() for w, _, _ in pieces]
+    out, kinds = np.zeros(5), set()
+    for k, end, i, edits in hits:
+        lo, hi = max(0, k - toxic.WINDOW), min(len(pieces), end + toxic.WINDOW)
+        quoted = (any(is_mark[lo:k]) and any(is_mark[end:hi])) or any(is_report[lo:hi])
+        out[2 if quoted else 1 if edits else 0] += weights[i]
+        if not quoted:
+            kinds.add(i)
+    out[3], out[4] = len(kinds), out[0] / max(len(pieces), 20) * 100
+    return np.log1p(out)
+
+
+def test_toxicity_equals_brute_force_on_a_whole_table(spark):
+    docs = read_table(spark, SF, "documents")
+    model = toxic.learn(read_table(spark, "/root/testdata/sf0.01", "documents"), read_table(spark, "/root/testdata/sf0.01", "labels"))
+    assert model.words
+    extra = [(10**6 + i, f"so {w[:2]}*{w[3:]} and {w[:-1]}x, he said {w}; \"{w}\" a {w[1:]}") for i, w in enumerate(model.words)]
+    both = docs.select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id long, text string"))
+    score = {r.doc_id: r.score for r in toxic.score(both, model).collect()}
+    hit, known = 0, {}
+    for d, t in both.collect():
+        f = brute_features(t, list(model.words), model.weights, known)
+        assert abs(score[d] - float(model.scores(f[None])[0])) < 1e-9, t
+        hit += bool(f.any())
+    assert hit > len(extra) / 2
+
+
 # --- URLs ---
 
 
@@ -222,10 +337,54 @@ def test_url_parts_and_rules(spark, url, host, path, rule, verdict):
 
 
 def test_url_model(spark):
-    model = urlfilter.train(urlfilter.LABELLED_URLS)
-    assert all((model.probability(*urlfilter.split_url(u)) >= 0.5) == bool(b) for u, b in urlfilter.LABELLED_URLS)
-    assert model.probability(*urlfilter.split_url("http://casino.example.org/poker/bonus")) > model.probability(*urlfilter.split_url("http://docs.example.org/guide"))
-    assert np.array_equal(model.weights, urlfilter.train(urlfilter.LABELLED_URLS).weights)
+    table = urlfilter.synthetic_urls()
+    assert len(table) == urlfilter.ROWS and table == urlfilter.synthetic_urls() and urlfilter.held_out_accuracy(table) >= 0.9
+    model = urlfilter.train(table)
+    assert model.probability(*urlfilter.split_url("http://casino.example.org/poker/bonus")) > 0.9 > 0.1 > model.probability(*urlfilter.split_url("http://docs.example.org/guide"))
+    assert np.array_equal(model.weights, urlfilter.train(table).weights)
     assert urlfilter.judge_urls(read_table(spark, SF, "pages").limit(0)).count() == 0
     with pytest.raises(ValueError, match="more than"):
         urlfilter.train([("x", 1)] * (urlfilter.MAX_LABELLED + 1))
+    assert urlfilter.train([]).probability("a", "/b") == 0.5
+
+
+def one_probability(model, host, path):
+    """The model's probability from n-grams taken one by one."""
+    grams = set()
+    for seed, part in ((1, host), (2, path)):
+        raw = f"^{part}$".encode()
+        for n in range(model.low, model.high + 1):
+            for i in range(len(raw) - n + 1):
+                h = 0
+                for c in raw[i : i + n]:
+                    h = (h * 0x100000001B3 + c) % 2**64
+                h = (h + seed * 64 + n) * 0x9E3779B97F4A7C15 % 2**64
+                grams.add(((h ^ (h >> 31)) * 0xBF58476D1CE4E5B9 % 2**64) >> (64 - model.bits))
+    z = model.bias + (sum(float(model.weights[g]) for g in grams) / len(grams) ** 0.5 if grams else 0)
+    return 1 / (1 + np.exp(-z))
+
+
+def test_every_page_is_judged_as_by_an_independent_version(spark):
+    from oracle import connect
+
+    from framelake.llm import sql
+
+    model, got = urlfilter.train(urlfilter.synthetic_urls()), {}
+    odd = [(10**6, None), (10**6 + 1, "none"), (10**6 + 2, "x://" + "a" * 50_000 + "/" + "b" * 50_000), (10**6 + 3, "x://q.org/es/"), (10**6 + 3, "x://q.org/es/"), (10**6 + 4, "x://h/?")]
+    pages = read_table(spark, SF, "pages").select("page_id", "url").union(spark.createDataFrame(odd, "page_id long, url string"))
+    rows = urlfilter.judge_urls(pages).collect()
+    assert len(rows) == pages.count()
+    for r in rows:
+        got[r.page_id] = r
+        assert (r.p_block is None) == (r.rule is not None)
+        if r.rule is None:
+            assert abs(r.p_block - one_probability(model, r.host, r.path)) < 1e-5
+            assert r.verdict == ("block" if r.p_block >= 0.5 else "allow")
+    want = connect(SF).sql(sql.URL_RULES).fetchall()
+    assert want and all((got[i].host, got[i].path, got[i].rule) == (h, p, r) and v in (None, got[i].verdict) for i, h, p, r, v in want)
+
+
+def test_rules_of_equal_length(spark):
+    rules = (urlfilter.Rule("allow", "a.b", "/c"), urlfilter.Rule("block", "b", "/c/d"))
+    df = spark.createDataFrame([(1, "x://a.b/c/d")], "page_id long, url string")
+    assert urlfilter.judge_urls(df, rules=rules).first().verdict == urlfilter.judge_urls(df, rules=rules[::-1]).first().verdict == "block"

@@ -3,65 +3,18 @@
 from __future__ import annotations
 
 import hashlib
-import zlib
-from collections import Counter
 
-import numpy as np
 import tiktoken
 from oracle import SF
-from test_dedup import cut, fingerprint
+from test_dedup import cut, firsts_of_groups
 from test_filters import brute as hits
+from test_filters import brute_languages
 
 import corpus_pipeline as P
-from framelake.llm import bytebpe, langid
+from framelake.llm import bytebpe
 from framelake.llm.common import read_table
 
 
-def profile(binder, text):
-    low, total = (text or "").lower(), np.zeros(binder.dimensions)
-    words = "".join(c if c.isalpha() else " " for c in low).split()
-    grams = Counter(f" {w} "[i : i + 3] for w in words for i in range(len(w)))
-    for g, n in grams.items():
-        v = np.ones(binder.dimensions)
-        for place, c in enumerate(reversed(g)):
-            v = v * np.roll(binder.letter(ord(c)), place)
-        total += n * v
-    return total
-
-
-def languages(docs):
-    binder = langid.Binder()
-    profiles = {d: profile(binder, t) for d, t, _ in docs}
-    learned = {}
-    for d, _, lang in docs:
-        if zlib.crc32(str(d).encode()) % 5 and lang is not None:
-            learned[lang] = learned.get(lang, 0) + profiles[d]
-    out = []
-    for d, t, _ in docs:
-        norm = np.linalg.norm(profiles[d])
-        if norm and learned:
-            out.append((d, t))
-    return out
-
-
-def near(docs, bits):
-    code = {d: fingerprint(t) for d, t in docs}
-    ids = sorted(code)
-    root = {d: d for d in ids}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for i, a in enumerate(ids):
-        for b in ids[:i]:
-            if (code[a] ^ code[b]).bit_count() <= bits:
-                x, y = sorted((find(a), find(b)))
-                root[y] = x
-    return [(d, t) for d, t in docs if find(d) == d]
-
-
 def table(df):
     return sorted((r.doc_id, r.text) for r in df.collect())
 
@@ -70,15 +23,16 @@ def test_every_stage_equals_brute_force(spark):
     docs = read_table(spark, SF, "documents")
     items = [(r.item_id, r.text) for r in read_table(spark, SF, "benchmark").collect()]
     rows = [(r.doc_id, r.text, r.lang) for r in docs.collect()]
-    clean = languages(rows)
+    spoken = [(d, t) for (d, t, _), (_, lang, score, least) in zip(rows, brute_languages(rows)) if lang != "und" and score >= least]
     kept = [docs]
     for _, stage in P.STAGES:
         kept.append(stage(spark, kept[-1], SF).checkpoint())
     for df in kept[1:-1]:
         assert df.columns == docs.columns
-    assert table(kept[1]) == sorted(clean)
-    single = near(clean, P.NEAR_BITS)
-    assert table(kept[2]) == sorted(single) and len(single) < len(clean)
+    assert table(kept[1]) == sorted(spoken)
+    first = set(firsts_of_groups(spoken))
+    single = [(d, t) for d, t in spoken if d in first]
+    assert table(kept[2]) == sorted(single) and len(single) < len(spoken)
     left = [(d, t) for d, t, n in ((d, k.decode("utf-8", "ignore"), n) for d, _, n, _, k in cut(single)) if t or not n]
     assert table(kept[3]) == sorted(left) and all(r.n_chars == len(r.text) for r in kept[3].collect())
     bad = {h[0] for h in hits(left, items) if h[2]}
