@@ -6,8 +6,9 @@ kept; all but the last return the columns of ``documents``.
 * language_id drops documents that have no language: those without any letter,
   and those less like their nearest language than texts of their length are.
 * near_dedup leaves one document of each group of linked near copies, the one
-  with the smallest id. Documents are linked if the exact Jaccard similarity of
-  their five-word shingles is at least 0.8.
+  with the smallest id. SimHash links and min-hash bands propose candidates, which
+  are linked if the exact Jaccard similarity of their five-word shingles is at
+  least 0.8. Of rows that share id and text one stays, whatever else they hold.
 * passage_dedup cuts byte strings of 100 bytes that start earlier in the corpus.
   Bytes of a character that was cut in part go as well; documents of which
   nothing is left go. ``n_chars`` is set to the new length.
@@ -24,14 +25,12 @@ from pyspark.sql import functions as F
 
 from framelake import ship
 from framelake.llm import bytebpe, decontam, langid, passages, similar
-from framelake.llm.common import read_table, written
-
-#: The distance of the former SimHash rule, which a test still compares with; no stage uses it.
-NEAR_BITS = 5
+from framelake.llm.common import read_table, spread, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
+    docs = spread(docs)
     judged = docs.withColumn("__judged", langid.learned_judge(docs)(F.col("text")))
     return judged.where(~langid.rejected(F.col("__judged.lang_pred"), F.col("__judged.score"), F.col("__judged.least"))).drop("__judged")
 
