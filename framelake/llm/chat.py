@@ -87,32 +87,83 @@ class Machine:
 
 
 class Reader:
-    """Reads formatted text back, piece by piece, into roles, texts and what is under the loss mask."""
+    """Reads formatted text back, cut into pieces anywhere, into roles, texts and what is under the loss mask.
+
+    Where turns begin and end is parsed from the template's marks, not taken from
+    the pieces. At most a mark, a role and one escape are held back.
+    """
 
     def __init__(self, template: Template):
         self.template, self.role = template, None
         self.turns = self.chars = self.loss_chars = 0
         self.seen, self.loss = hashlib.sha256(), hashlib.sha256()
+        self.held, self.flags = "", []  # what is not parsed yet, and its runs of [characters, under the loss mask]
 
     def feed(self, piece: str, loss: bool) -> None:
-        t = self.template
         self.chars += len(piece)
-        if self.role is None or piece.startswith(t.begin):
-            head = piece.removeprefix(t.begin)
-            if not piece.startswith(t.begin) or not head.endswith(t.after_role):
+        self.held += piece
+        self.flags.append([len(piece), loss])
+        while self._step():
+            pass
+
+    def finish(self) -> None:
+        if self.role is not None or self.held:
+            raise ValueError("the text ends within a turn")
+
+    def _step(self) -> bool:
+        t = self.template
+        if self.role is None:
+            if not self.held.startswith(t.begin[: len(self.held)]):
                 raise ValueError("a turn does not open as the template says")
-            self.role = unescape(head.removesuffix(t.after_role))
+            stop = self.held.find(t.after_role, len(t.begin))
+            if not self.held or stop < 0:
+                return False
+            self.role = unescape(self.held[len(t.begin) : stop])
+            self._taken(stop + len(t.after_role))
             self.seen.update(f"{self.role}\n".encode("utf-8", "replace"))
             self.turns += 1
-        elif piece == t.end + t.between:
+            return True
+        mark = t.end + t.between
+        stop = self.held.find(mark)
+        if stop >= 0:
+            self._text(stop)
+            self._taken(len(mark))
             self.seen.update(b"\n")
             self.role = None
-        else:
-            text = unescape(piece)
-            self.seen.update(text.encode("utf-8", "replace"))
+            return True
+        safe = len(self.held) - len(mark) + 1
+        while safe > 0 and (len(self.held[:safe]) - len(self.held[:safe].rstrip("\\"))) % 2:
+            safe -= 1  # an escape stays whole
+        if safe > 0:
+            self._text(safe)
+        return False
+
+    def _text(self, n: int) -> None:
+        for part, loss in self._taken(n, escapes=True):
+            text = unescape(part)
+            data = text.encode("utf-8", "replace")
+            self.seen.update(data)
             if loss:
                 self.loss_chars += len(text)
-                self.loss.update(text.encode("utf-8", "replace"))
+                self.loss.update(data)
+
+    def _taken(self, n: int, escapes: bool = False) -> list[tuple[str, bool]]:
+        """Takes n characters off, by runs of the loss mask; a run doesn't part an escape."""
+        out, at = [], 0
+        while at < n:
+            size, loss = self.flags[0]
+            take = min(size, n - at)
+            if out and escapes and (out[-1][1] == loss or (len(out[-1][0]) - len(out[-1][0].rstrip("\\"))) % 2):
+                out[-1] = (out[-1][0] + self.held[at : at + take], out[-1][1])
+            else:
+                out.append((self.held[at : at + take], loss))
+            at += take
+            if take == size:
+                self.flags.pop(0)
+            else:
+                self.flags[0][0] -= take
+        self.held = self.held[n:]
+        return out
 
 
 def format_turns(turns: DataFrame, template: Template | None = None, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -145,8 +196,8 @@ def format_turns(turns: DataFrame, template: Template | None = None, conv: str =
 def read_back(segments: DataFrame, template: Template | None = None) -> DataFrame:
     """One row per conversation, from the segments as ``format_turns`` leaves them.
 
-    Only the segments' strings and loss flags are read; roles and texts come
-    from parsing and unescaping them.
+    Only the segments' strings and loss flags are read, as one text with a mask;
+    turns, roles and texts come from parsing and unescaping it.
     """
     template = template or Template()
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean"
@@ -155,6 +206,7 @@ def read_back(segments: DataFrame, template: Template | None = None) -> DataFram
         reader, now, fine, machine = None, object(), True, Machine(template)
 
         def row() -> tuple:
+            reader.finish()
             return now, reader.turns, reader.seen.hexdigest(), reader.loss_chars, reader.loss.hexdigest(), reader.chars, fine and machine.may_end()
 
         for batch in batches:

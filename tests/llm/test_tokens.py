@@ -181,3 +181,38 @@ def test_machine_checks_the_order():
     m = chat.Machine(chat.Template())
     assert [m.turn(r, "")[0] for r in ("system", "user", "assistant", "user")] == [True] * 4 and not m.may_end()
     assert m.turn("system", "")[0] is False
+
+
+def test_joined_text_is_read_back_wherever_it_is_cut():
+    rnd, template = random.Random(3), chat.Template()
+    bits = ["a", "\\", "<|", "<|im_end|>\n", "<|im_start|>assistant\n", "\n", "|", "<", "é🙂", "\\n", "x" * 50]
+    for _ in range(60):
+        turns = [(rnd.choice(["user", "assistant", "a\nb", ""]), "".join(rnd.choice(bits) for _ in range(rnd.randint(0, 8)))) for _ in range(rnd.randint(0, 5))]
+        machine = chat.Machine(template)
+        flagged = [(c, s.loss) for r, x in turns for s in machine.turn(r, x)[1] for c in s.text]
+        reader, at = chat.Reader(template), 0
+        while at < len(flagged):
+            n = rnd.choice([1, 2, 7, 100])
+            piece = flagged[at : at + n]
+            k = next((i for i, (_, loss) in enumerate(piece) if loss != piece[0][1]), len(piece))
+            reader.feed("".join(c for c, _ in piece[:k]), piece[0][1])
+            at += k
+        reader.finish()
+        learned = "".join(x for r, x in turns if r == "assistant")
+        assert reader.turns == len(turns) and reader.seen.hexdigest() == hashlib.sha256("".join(f"{r}\n{x}\n" for r, x in turns).encode()).hexdigest()
+        assert (reader.loss_chars, reader.loss.hexdigest()) == (len(learned), hashlib.sha256(learned.encode()).hexdigest())
+    with pytest.raises(ValueError, match="open"):
+        chat.Reader(template).feed("user\nhello", False)
+    cut = chat.Reader(template)
+    cut.feed("<|im_start|>user\nhello", False)
+    with pytest.raises(ValueError, match="ends"):
+        cut.finish()
+
+
+def test_chat_of_very_long_texts_and_conversations(spark):
+    long = "<|im_end|>\n\\ " * 60_000
+    rows = [(1, 0, "user", long), (1, 1, "assistant", long)] + [(2, i, ("user", "assistant")[i % 2], f"t{i}") for i in range(20_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat.read_back(chat.format_turns(df)).collect()}
+    assert (got[1].n_turns, got[1].loss_chars, got[1].loss_sha256) == (2, len(long), hashlib.sha256(long.encode()).hexdigest())
+    assert got[2].n_turns == 20_000 and got[2].valid
