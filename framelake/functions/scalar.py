@@ -146,6 +146,19 @@ def acceleration_arguments(acceleration: Column) -> Column:
     return F.when(acceleration == "none", F.array().cast("array<string>")).otherwise(F.array(F.lit("-hwaccel"), acceleration))
 
 
+def shortened(error: Column, stage: Column) -> Column:
+    """An error's text, cut as its stage cuts it."""
+    limit = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in T.ERROR_LENGTHS.items() for x in kv]), stage), F.length(error))
+    return F.substring(error, F.lit(1), limit)
+
+
+def encode_arguments(source: Column, target: Column, codec: Column, acceleration: Column, preset: Column, crf: Column, audio: Column, bitrate: Column, filters: Column | None = None) -> Column:
+    """The arguments of an encoding command."""
+    flags = F.array(F.lit("-i"), source, F.lit("-c:v"), encoder(codec, acceleration), F.lit("-preset"), preset, F.lit("-crf"), crf.cast("string"), F.lit("-c:a"), audio, F.lit("-b:a"), bitrate)
+    chain = F.array().cast("array<string>") if filters is None else F.when(F.coalesce(filters, F.lit("")) != "", F.array(F.lit("-vf"), filters)).otherwise(F.array().cast("array<string>"))
+    return F.concat(acceleration_arguments(acceleration), flags, chain, F.array(F.lit("-y"), F.coalesce(target, source)))
+
+
 def encoder(codec: Column, acceleration: Column) -> Column:
     table = {f"{c}|{a}": h for c, own in T.HARDWARE_CODECS.items() for a, h in own.items()}
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), F.concat_ws("|", codec, acceleration)), codec)

@@ -46,6 +46,9 @@ FOURCC = {"libx264": "H264", "libx265": "H265", "mpeg4": "XVID", "h264": "H264",
 DENOISE = {"low": (4, 3, 6, 6), "medium": (6, 4, 8, 8), "high": (10, 6, 12, 12)}
 
 _ALL_ON = ("detect", "stabilize", "deblock", "denoise_video", "upscale", "interpolate", "normalize_volume", "normalize_audio", "encode")
+# Characters that are kept of a stage's error text.
+ERROR_LENGTHS = {"denoise_video": 200, "stabilize": 200, "encode": 500, "upscale": 2000}
+
 # Presets as (name, width, height, fps, video codec, audio codec, crf, speed, stages on, stages off).
 PRESETS = (
     ("max_quality", 3840, 2160, 60.0, "libx264", "aac", 12, "slower", _ALL_ON, ()),

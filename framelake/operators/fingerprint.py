@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tables as T
+from ..plans.planner import schedule
 
 
 def fingerprints(frames: DataFrame, video: str = "video", pixels: str = "pixels") -> DataFrame:
@@ -45,6 +46,11 @@ def find_similar(prints: DataFrame, reference: str, key: str = "video", bits: st
     return scored.where(F.col("similarity") >= threshold)
 
 
+def ranked(similar: DataFrame, order: str = "video") -> DataFrame:
+    """Adds rank: the most similar first, equal ones in the order of the candidates (a number)."""
+    return schedule(similar, "similarity", order).withColumnRenamed("position", "rank")
+
+
 #: Bytes of hashes that may be sent to all tasks.
 BROADCAST = 32_000_000
 

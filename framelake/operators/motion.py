@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..functions import tables as T
+from . import sequence
 
 
 def magnitude(dx: Column, dy: Column) -> Column:
@@ -54,6 +55,25 @@ def cleaned(vectors: DataFrame, video: str = "video", frame: str = "frame") -> D
     return joined.withColumns({"was_outlier": hit, "dx": F.when(hit, 0).otherwise(F.col("dx")), "dy": F.when(hit, 0).otherwise(F.col("dy"))}).drop("__v", "__f")
 
 
+def camera_path(vectors: DataFrame, video: str = "video", frame: str = "frame", block_frames: int = 10_000) -> DataFrame:
+    """(video, frame, idx, x, y): the sum of the mean shifts of all frames so far; sums within blocks of frames meet the blocks' totals."""
+    means = vectors.groupBy(video, frame).agg(F.avg(F.col("dx").cast("double")).alias("mx"), F.avg(F.col("dy").cast("double")).alias("my"))
+    placed = sequence.numbered(means, video, [frame], F.floor(F.col(frame) / block_frames)).withColumn("__b", F.floor((F.col("idx") - 1) / block_frames))
+    totals = placed.groupBy(F.col(video).alias("__v"), F.col("__b").alias("__c")).agg(F.sum("mx").alias("__x"), F.sum("my").alias("__y"))
+    before = Window.partitionBy("__v").orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("__v", "__c", F.coalesce(F.sum("__x").over(before), F.lit(0.0)).alias("__x"), F.coalesce(F.sum("__y").over(before), F.lit(0.0)).alias("__y"))
+    inside = Window.partitionBy(video, "__b").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    joined = placed.withColumns({"x": F.sum("mx").over(inside), "y": F.sum("my").over(inside)}).join(starts, (F.col(video) == F.col("__v")) & (F.col("__b") == F.col("__c")))
+    return joined.select(video, frame, "idx", (F.col("x") + F.col("__x")).alias("x"), (F.col("y") + F.col("__y")).alias("y"))
+
+
+def stabilise(vectors: DataFrame, video: str = "video", frame: str = "frame", reach: int = 10) -> DataFrame:
+    """(video, frame, shift_x, shift_y) that moves each frame onto the camera path smoothed over ``reach`` frames on either side."""
+    path = camera_path(vectors, video, frame)
+    smooth = lambda c: sequence.temporal_denoise(path.select(video, frame, "idx", c), video, "idx", c, reach).select(video, frame, (F.col("smooth") - F.col(c)).alias(f"shift_{c}"))
+    return smooth("x").join(smooth("y"), [video, frame])
+
+
 def zoom(vectors: DataFrame, width: int, height: int, video: str = "video") -> DataFrame:
     """(video, movement, zoom): the greater range of shifts, and the zoom that hides it."""
     move = F.greatest(F.max("dx") - F.min("dx"), F.max("dy") - F.min("dy")).cast("double")

@@ -84,6 +84,15 @@ def _config() -> str:
     SELECT coalesce(o.path, b.path) AS path, CASE WHEN o.path IS NOT NULL THEN o.value ELSE b.value END AS value, CASE WHEN o.path IS NOT NULL THEN 'override' ELSE 'default' END AS origin FROM b FULL OUTER JOIN o ON b.path = o.path"""
 
 
+def _layers() -> str:
+    """The three layers with what a later one hides: a leaf hides what lies under it, a subtree the leaf above it."""
+    values = lambda rows: ", ".join(f"('{k}', '{v}')" for k, v in rows)
+    return f"""WITH layers AS (SELECT path, value, 0 AS layer, 'default' AS origin FROM (VALUES {values(T.DEFAULT_CONFIG)}) t(path, value)
+      UNION ALL SELECT path, value, 1, 'user' FROM (VALUES ('general.log_level', 'DEBUG'), ('quality.quality_target', 'off'), ('encoding.crf', '30'), ('stages.speed.enabled.forced', 'yes')) t(path, value)
+      UNION ALL SELECT path, value, 2, 'preset' FROM ({_presets()}) WHERE preset = '4k60')
+    SELECT path, value, origin FROM layers a WHERE NOT EXISTS (SELECT 1 FROM layers b WHERE b.layer > a.layer AND (b.path = a.path OR starts_with(a.path, b.path || '.') OR starts_with(b.path, a.path || '.')))"""
+
+
 def _models() -> str:
     reg = ", ".join(f"('{n}', '{f}', '{d}')" for n, f, _, d, _ in T.MODELS)
     mb = "round(size_bytes::DOUBLE / (1024.0::DOUBLE * 1024.0), 1)"
@@ -111,8 +120,8 @@ def oracle_sql() -> dict[str, str]:
     ext = "regexp_extract(path, '[^/]+(\\.[^./]+)$', 1)"
     return {
         "classify_files": f"WITH {FILES} SELECT path, ext, ext IN {v} AS is_video, ext IN {im} AS is_image FROM parts",
-        "scan_directory_recursive": f"WITH {FILES} SELECT dir, name, path FROM parts WHERE (dir = '/lib' OR dir LIKE '/lib/%') AND ext IN {v}",
-        "scan_directory_flat": f"WITH {FILES} SELECT dir, name, path FROM parts WHERE dir = '/lib/Brand#11' AND ext IN {v}",
+        "scan_directory_recursive": f"WITH {FILES} SELECT dir, name, path, row_number() OVER (PARTITION BY dir ORDER BY name, path) - 1 AS ord FROM parts WHERE (dir = '/lib' OR dir LIKE '/lib/%') AND ext IN {v}",
+        "scan_directory_flat": f"WITH {FILES} SELECT dir, name, path, row_number() OVER (PARTITION BY dir ORDER BY name, path) - 1 AS ord FROM parts WHERE dir = '/lib/Brand#11' AND ext IN {v}",
         "add_files": f"WITH {FILES} SELECT path, dir || '/' || left(name, length(name) - length({ext})) || '_enhanced' || {ext} AS output_path FROM parts WHERE dir IN ('/lib/Brand#11', '/lib/Brand#12') AND ext IN {v}",
         "probe_parse_streams": f"WITH {STREAMS} SELECT media_id, idx AS stream_index, codec_type, codec_name, width, height, fps, bit_rate, color_transfer FROM streams WHERE media_id IN (SELECT o_orderkey FROM orders)",
         "media_info": f"WITH {MEDIA} SELECT * FROM info",
@@ -141,7 +150,7 @@ def oracle_sql() -> dict[str, str]:
           SELECT video, frame, round(avg(abs(x - y)) / 255, 10) AS score FROM u GROUP BY ALL""",
         "video_fingerprint": f"""WITH {SHOTS}, px AS (SELECT video, frame, generate_subscripts(px, 1) AS i, unnest(px) AS x, list_avg(px) AS m FROM shots), c AS (SELECT video, i, count(*) FILTER (x > m) AS ones, count(*) AS n FROM px GROUP BY ALL)
           SELECT video, string_agg(CASE WHEN ones * 2 > n THEN '1' ELSE '0' END, '' ORDER BY i) AS bits, max(n) AS n_frames FROM c GROUP BY 1""",
-        "find_similar": f"WITH {PRINTS} SELECT a.video, round(1 - hamming(a.bits, b.bits) / 64.0::DOUBLE, 8) AS similarity FROM prints a, prints b WHERE b.video = 0 AND a.video <> 0 AND 64 - hamming(a.bits, b.bits) >= 0.55 * 64",
+        "find_similar": f"WITH {PRINTS} SELECT a.video, round(1 - hamming(a.bits, b.bits) / 64.0::DOUBLE, 8) AS similarity, row_number() OVER (ORDER BY hamming(a.bits, b.bits), a.video) AS rank FROM prints a, prints b WHERE b.video = 0 AND a.video <> 0 AND 64 - hamming(a.bits, b.bits) >= 0.55 * 64",
         "near_duplicate_pairs": f"""WITH {PRINTS}, e AS (SELECT bits, min(video) AS k FROM prints GROUP BY 1) SELECT a.k AS a, b.k AS b, round(1 - hamming(a.bits, b.bits) / 64.0::DOUBLE, 8) AS similarity FROM e a, e b WHERE a.k < b.k AND 64 - hamming(a.bits, b.bits) >= 0.70 * 64
           UNION ALL SELECT k, video, 1.0::DOUBLE FROM prints JOIN e USING (bits) WHERE video <> k""",
         "shake_analysis": f"WITH {VECTORS} SELECT video, round(avg(m), 8) AS avg_motion, round(max(m), 8) AS max_motion, round(avg(CASE WHEN m > 2 THEN 1.0::DOUBLE ELSE 0 END), 8) AS significant, avg(m) > 2 OR avg(CASE WHEN m > 2 THEN 1.0::DOUBLE ELSE 0 END) > 0.5 AS needs_stabilization FROM mags GROUP BY 1",
@@ -195,4 +204,27 @@ def oracle_sql() -> dict[str, str]:
         "upscale_pixels": f"WITH {SHOTS} SELECT frame, 256 AS n, round(list_sum(px) * 4, 4) AS total, round(px[(37 // 16) // 2 * 8 + (37 % 16) // 2 + 1], 6) AS p37 FROM shots",
         "tonemap_pixels": f"SELECT event_id, round({_hable('value / 50.0::DOUBLE')} / {_hable('11.2::DOUBLE')}, 8) AS mapped FROM events",
         "tta_average": f"WITH {SHOTS} SELECT frame, 64 AS n, round(px[10] * 2, 6) AS p9 FROM shots",
+        "ssim_log_parse": "WITH x AS (SELECT event_id, (event_id % 100) / 100.0::DOUBLE AS v FROM events) SELECT event_id, round(CASE WHEN event_id % 3 = 0 THEN (event_id % 7) / 8.0::DOUBLE ELSE (v + 1.25) / 3 END, 6) AS ssim, least(v, 0.5) AS ssim_min, greatest(v, 0.75) AS ssim_max FROM x",
+        "config_layers": _layers(),
+        "stage_overrides": f"""WITH {RESULTS}, o AS (SELECT o_orderkey AS job_id, {_pick(T.STAGE_ORDER, 'o_custkey')} AS stage, 'factor=' || o_custkey % 4 || ';strength=high' AS options FROM orders)
+          SELECT r.job_id, ord, r.stage, coalesce(options, '') AS options FROM results r LEFT JOIN o ON o.job_id = r.job_id AND o.stage = r.stage""",
+        "queue_run": f"""WITH {ROLLUP}, q AS (SELECT o_orderkey AS job_id, row_number() OVER (ORDER BY 6 - CAST(left(o_orderpriority, 1) AS INTEGER) DESC, o_orderkey) AS position FROM orders)
+          SELECT q.job_id, position, q.job_id % 13 <> 0 AND coalesce(n_errors, 0) = 0 AS success, CASE WHEN q.job_id % 13 = 0 THEN 'no such input: ' || q.job_id ELSE coalesce(errors, '') END AS errors, q.job_id % 13 <> 0 AS told FROM q LEFT JOIN rolled USING (job_id) WHERE position < 1200""",
+        "encode_commands": f"""WITH x AS (SELECT o_orderkey, o_custkey, {_pick(('libx264', 'libx265', 'libvpx-vp9', 'copy'), 'o_custkey')} AS codec, {_pick(('none', 'cuda', 'qsv'), 'o_orderkey')} AS acceleration FROM orders)
+          SELECT o_orderkey, CASE WHEN acceleration = 'none' THEN '' ELSE '-hwaccel ' || acceleration || ' ' END || '-i /in/' || o_orderkey || ' -c:v ' || {_encoder()} || ' -preset medium -crf ' || o_custkey % 30 || ' -c:a aac -b:a 192k' || CASE WHEN o_orderkey % 5 = 0 THEN ' -vf hqdn3d=4:3:6:6' ELSE '' END
+            || ' -y ' || CASE WHEN o_orderkey % 2 = 0 THEN '/out/' ELSE '/in/' END || o_orderkey AS arguments FROM x""",
+        "error_texts": f"WITH x AS (SELECT event_id, {_pick(('encode', 'upscale', 'denoise_video', 'hdr'), 'event_id')} AS stage, repeat('failed: ' || event_id || '; ', 150) AS e FROM events) SELECT event_id, stage, left(e, CASE stage WHEN 'encode' THEN 500 WHEN 'upscale' THEN 2000 WHEN 'denoise_video' THEN 200 ELSE length(e) END) AS error FROM x",
+        "file_fallbacks": f"WITH {MEDIA} SELECT media_id, CASE WHEN media_id % 3 = 0 THEN 0.0::DOUBLE ELSE duration END AS duration, CASE WHEN media_id % 2 = 0 THEN media_id * 1000 ELSE 0 END AS size_bytes FROM info",
+        "model_cache_clear": f"""WITH {MODEL_FILES}, c AS (SELECT filename FROM listed WHERE dir = '/cache')
+          SELECT name, CASE WHEN filename IN (SELECT filename FROM c) THEN 1 ELSE 0 END::BIGINT AS removed FROM (VALUES {', '.join(f"('{m[0]}', '{m[1]}')" for m in T.MODELS)}) t(name, filename) UNION ALL SELECT '*', count(*) FROM c""",
+        "stabilise_scene_counts": f"""WITH {SHOTS}, p AS (SELECT video, frame, px, lag(px) OVER (PARTITION BY video ORDER BY frame) AS q FROM shots), u AS (SELECT video, frame, unnest(px) AS x, unnest(q) AS y FROM p WHERE q IS NOT NULL),
+          c AS (SELECT video, count(*) AS n FROM (SELECT video, frame, round(corr(x, y), 8) AS r FROM u GROUP BY ALL) WHERE r < {T.CORRELATION_CUT} GROUP BY 1) SELECT video, coalesce(n, 0) + 1 AS num_scenes FROM (SELECT DISTINCT video FROM shots) LEFT JOIN c USING (video)""",
+        "stabilise_shifts": f"""WITH {VECTORS}, f AS (SELECT video, frame, avg(dx::DOUBLE) AS mx, avg(dy::DOUBLE) AS my FROM vectors GROUP BY ALL), p AS (SELECT video, frame, sum(mx) OVER w AS x, sum(my) OVER w AS y FROM f WINDOW w AS (PARTITION BY video ORDER BY frame))
+          SELECT video, frame, round(avg(x) OVER w - x, 6) AS shift_x, round(avg(y) OVER w - y, 6) AS shift_y FROM p WINDOW w AS (PARTITION BY video ORDER BY frame ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)""",
+        "spatial_denoise": f"""WITH {SHOTS}, u AS (SELECT frame, generate_subscripts(px, 1) - 1 AS i, unnest(px) AS x FROM shots), m AS (SELECT a.frame, a.i, avg(b.x) AS y FROM u a JOIN u b ON a.frame = b.frame AND abs(a.i // 8 - b.i // 8) <= 1 AND abs(a.i % 8 - b.i % 8) <= 1 GROUP BY ALL)
+          SELECT frame, round(max(y) FILTER (i = 0), 6) AS p0, round(max(y) FILTER (i = 9), 6) AS p9, round(max(y) FILTER (i = 63), 6) AS p63, round(sum(y), 4) AS total FROM m GROUP BY 1""",
+        "deblock_frames": f"WITH {SHOTS} SELECT frame, 'passthrough' AS method, round(list_sum(px), 4) AS total FROM shots",
+        "upscale_chain": f"WITH {SHOTS} SELECT frame, 4096 AS n, round(list_sum(px) * 64, 3) AS total, round(px[(1000 // 64) // 8 * 8 + (1000 % 64) // 8 + 1], 6) AS p1000 FROM shots",
+        "plugin_chain": "SELECT event_id, round(CASE WHEN value < 100 THEN value * 1.5::DOUBLE ELSE value END, 6) AS luma, CASE WHEN value < 100 THEN value * 1.5::DOUBLE ELSE value END < 50 AS dark FROM events",
+        "frame_tags": "SELECT event_id, CASE WHEN value > 150 THEN '1 tags' WHEN value < 50 THEN '2 tags' ELSE '0 tags' END AS summary, CASE WHEN value > 150 THEN 'bright' WHEN value < 50 THEN 'dark,low' ELSE '' END AS tags FROM events",
     }

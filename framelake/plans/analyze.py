@@ -6,6 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def scene_counts(videos: DataFrame, cuts: DataFrame, key: str = "video") -> DataFrame:
+    """(key, num_scenes): a video's cuts and one."""
+    counted = cuts.groupBy(F.col(key).alias("__v")).agg(F.count("*").alias("__n"))
+    return videos.select(key).join(counted, F.col(key) == F.col("__v"), "left").select(key, (F.coalesce("__n", F.lit(0)) + 1).alias("num_scenes"))
+
+
+def remember(known: DataFrame, fresh: DataFrame, path: str = "path") -> DataFrame:
+    """The cache of analyses by path with new ones added; a path that is known keeps its row."""
+    return known.unionByName(fresh.join(known.select(path), path, "left_anti").dropDuplicates([path]))
+
+
 def analyse(info: DataFrame, scenes: DataFrame, key: str = "video", listed: int = 20) -> DataFrame:
     """``info`` with total_scenes, scene_seconds and the first ``listed`` scenes as an array.
 

@@ -54,6 +54,29 @@ def rollup(results: DataFrame, job: str = "job_id", stop_on_error: bool = False,
     }).drop("__j", "__k", "__last", "__end")
 
 
+def with_overrides(stages: DataFrame, overrides: DataFrame, job: str = "job_id") -> DataFrame:
+    """Adds options: the overrides (job, stage, options map) of each job's stage; an empty map without."""
+    return stages.join(overrides.select(job, "stage", "options"), [job, "stage"], "left").withColumn("options", F.coalesce("options", F.create_map().cast("map<string,string>")))
+
+
+def execute_all(jobs: DataFrame, results: DataFrame, raised: DataFrame, cancelled_from: int | None = None, job: str = "job_id") -> DataFrame:
+    """(job, position, success, errors, told): the outcome of a queue in its order.
+
+    ``jobs`` has position (``planner.schedule``). A job in ``raised`` (job, error)
+    has that error alone, and its completion is not told to the callback. From
+    position ``cancelled_from`` on nothing runs.
+    """
+    due = jobs if cancelled_from is None else jobs.where(F.col("position") < cancelled_from)
+    outcome = rollup(results, job).select(job, F.col("success").alias("__s"), F.col("errors").alias("__e"))
+    joined = due.select(job, "position").join(outcome, job, "left").join(raised.select(job, F.col("error").alias("__x")), job, "left")
+    failed = F.col("__x").isNotNull()
+    return joined.select(job, "position", (~failed & F.coalesce("__s", F.lit(True))).alias("success"), F.coalesce("__x", "__e", F.lit("")).alias("errors"), (~failed).alias("told"))
+
+
+def is_queued(status: Column) -> Column:
+    return F.coalesce(status == "queued", F.lit(False))
+
+
 def summary(jobs: DataFrame) -> DataFrame:
     return jobs.agg(F.count("*").alias("total"), F.count_if(F.col("success")).alias("succeeded"), F.count_if(~F.col("success")).alias("failed"))
 

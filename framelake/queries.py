@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ship
+from . import plugins, ship
 from . import views as V
 from .functions import scalar as S
 from .functions import tables as T
@@ -24,11 +24,11 @@ def classify_files(s, d):
 
 
 def scan_directory_recursive(s, d):
-    return files.scan(V.files(s, d), "/lib", True).select("dir", "name", "path")
+    return files.scan(V.files(s, d), "/lib", True).select("dir", "name", "path", "ord")
 
 
 def scan_directory_flat(s, d):
-    return files.scan(V.files(s, d), "/lib/Brand#11", False).select("dir", "name", "path")
+    return files.scan(V.files(s, d), "/lib/Brand#11", False).select("dir", "name", "path", "ord")
 
 
 def add_files(s, d):
@@ -105,8 +105,8 @@ def _prints(s, d):
 
 
 def find_similar(s, d):
-    x = fingerprint.find_similar(_prints(s, d), "0", threshold=0.55)
-    return x.select("video", F.round("similarity", 8).alias("similarity"))
+    x = fingerprint.ranked(fingerprint.find_similar(_prints(s, d), "0", threshold=0.55))
+    return x.select("video", F.round("similarity", 8).alias("similarity"), F.col("rank").cast("long").alias("rank"))
 
 
 def near_duplicate_pairs(s, d):
@@ -355,7 +355,110 @@ def stage_parameters(s, d):
     return V.table(s, d, "events").select("event_id", S.denoise_strengths(wish).alias("denoise"), S.feature_flags(F.concat(wish, F.lit(", ssim"))).alias("flags"), S.status_icon(V.pick(("completed", "skipped", "failed"), F.col("event_id"))).alias("icon"))
 
 
+def ssim_log_parse(s, d):
+    v = F.col("event_id") % 100 / 100.0
+    line = F.concat(F.lit("SSIM_y: "), v.cast("string"), F.lit(" SSIM_y: 0.5 SSIM_y: 0.75"), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("\nSSIM average: "), ((F.col("event_id") % 7) / 8.0).cast("string"))).otherwise(""))
+    x = V.table(s, d, "events").withColumn("line", line)
+    return x.select("event_id", *[F.round(c, 6).alias(n) for n, c in logs.summary_metrics(F.col("line"), "SSIM").items()])
+
+
+USER_CONFIG = [("general.log_level", "DEBUG"), ("quality.quality_target", "off"), ("encoding.crf", "30"), ("stages.speed.enabled.forced", "yes")]
+
+
+def config_layers(s, d):
+    over = config.preset_config(config.preset(config.presets(s), "4k60")).select("path", "value")
+    return config.layered([("default", config.config_table(s, list(T.DEFAULT_CONFIG))), ("user", config.config_table(s, USER_CONFIG)), ("preset", over)])
+
+
+def stage_overrides(s, d):
+    o = V.table(s, d, "orders").select(F.col("o_orderkey").alias("job_id"), V.pick(T.STAGE_ORDER, F.col("o_custkey")).alias("stage"), F.create_map(F.lit("factor"), (F.col("o_custkey") % 4).cast("string"), F.lit("strength"), F.lit("high")).alias("options"))
+    x = runner.with_overrides(V.stage_results(s, d), o)
+    return x.select("job_id", "ord", "stage", F.array_join(F.transform(F.array_sort(F.map_entries("options")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("options"))
+
+
+def queue_run(s, d):
+    jobs = planner.schedule(V.jobs(s, d))
+    raised = V.jobs(s, d).where("job_id % 13 = 0").select("job_id", F.concat(F.lit("no such input: "), F.col("job_id").cast("string")).alias("error"))
+    x = runner.execute_all(jobs, V.stage_results(s, d), raised, cancelled_from=1200)
+    return x.select("job_id", F.col("position").cast("long").alias("position"), "success", "errors", "told")
+
+
+def encode_commands(s, d):
+    x = V.table(s, d, "orders").withColumn("codec", V.pick(("libx264", "libx265", "libvpx-vp9", "copy"), F.col("o_custkey"))).withColumn("a", V.pick(("none", "cuda", "qsv"), F.col("o_orderkey")))
+    key = F.col("o_orderkey").cast("string")
+    args = S.encode_arguments(F.concat(F.lit("/in/"), key), F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("/out/"), key)), F.col("codec"), F.col("a"), F.lit("medium"), F.col("o_custkey") % 30, F.lit("aac"), F.lit("192k"), F.when(F.col("o_orderkey") % 5 == 0, "hqdn3d=4:3:6:6"))
+    return x.select("o_orderkey", F.array_join(args, " ").alias("arguments"))
+
+
+def error_texts(s, d):
+    x = V.table(s, d, "events").withColumn("stage", V.pick(("encode", "upscale", "denoise_video", "hdr"), F.col("event_id")))
+    return x.select("event_id", "stage", S.shortened(F.repeat(F.concat(F.lit("failed: "), F.col("event_id").cast("string"), F.lit("; ")), 150), F.col("stage")).alias("error"))
+
+
+def file_fallbacks(s, d):
+    info = probe.media_info(probe.parse_probe(V.probes(s, d).withColumn("probe", F.when(F.col("media_id") % 3 == 0, "not json").otherwise(F.col("probe")))))
+    x = files.with_fallbacks(info.select("media_id", F.when(F.col("media_id") % 3 != 0, F.col("duration")).alias("duration"), F.when(F.col("media_id") % 2 == 0, F.col("media_id") * 1000).alias("size_bytes")))
+    return x.select("media_id", "duration", F.col("size_bytes").cast("long").alias("size_bytes"))
+
+
+def model_cache_clear(s, d):
+    return files.cached_removals(files.models(s), V.model_files(s, d).where("path LIKE '/cache/%'"))
+
+
+def stabilise_scene_counts(s, d):
+    return analyze.scene_counts(V.thumbnails(s, d).select("video").distinct(), correlation_cuts(s, d))
+
+
+def stabilise_shifts(s, d):
+    x = motion.stabilise(V.vectors(s, d), reach=2)
+    return x.select("video", "frame", F.round("shift_x", 6).alias("shift_x"), F.round("shift_y", 6).alias("shift_y"))
+
+
+def spatial_denoise(s, d):
+    x = V.thumbnails(s, d).select("frame", pixels.spatial_denoise(F.col("pixels"), 8, 8).alias("p"))
+    return x.select("frame", *[F.round(F.get("p", F.lit(i)), 6).alias(f"p{i}") for i in (0, 9, 63)], F.round(F.aggregate("p", F.lit(0.0), lambda a, v: a + v), 4).alias("total"))
+
+
+def deblock_frames(s, d):
+    return pixels.deblock(V.thumbnails(s, d)).select("frame", "method", F.round(F.aggregate("pixels", F.lit(0.0), lambda a, v: a + v.cast("double")), 4).alias("total"))
+
+
+def _repeat_model():
+    import numpy as np
+
+    return lambda images, scale: np.repeat(np.repeat(images, scale, axis=1), scale, axis=2)
+
+
+def upscale_chain(s, d):
+    ship(s)
+    x = pixels.map_model(V.thumbnails(s, d), "frame", "pixels", 8, 8, "repeat", _repeat_model, scale=8)
+    return x.select("frame", F.size("pixels").alias("n"), F.round(F.aggregate("pixels", F.lit(0.0), lambda a, v: a + v), 3).alias("total"), F.round(F.get("pixels", F.lit(1000)), 6).alias("p1000"))
+
+
+def plugin_chain(s, d):
+    plugins.register_columns("brighten", lambda: F.col("luma") < 100)(lambda: {"luma": F.col("luma") * 1.5})
+    plugins.register_columns("mark_dark", lambda: F.col("luma") < 50)(lambda: {"dark": F.lit(True)})
+    x, _ = plugins.run_chain(V.frames(s, d), ["brighten", "unknown", "mark_dark"])
+    return x.select("event_id", F.round("luma", 6).alias("luma"), F.coalesce("dark", F.lit(False)).alias("dark"))
+
+
+def _brightness_tags(batch):
+    import pandas as pd
+
+    tags = [["bright"] if x > 150 else ["dark", "low"] if x < 50 else [] for x in batch["luma"]]
+    return pd.DataFrame({"event_id": batch["event_id"], "summary": [f"{len(t)} tags" for t in tags], "tags": tags})
+
+
+def frame_tags(s, d):
+    ship(s)
+    plugins.TAGGERS["brightness"] = _brightness_tags
+    x = plugins.tag_frames(V.frames(s, d).select("event_id", "luma"), "brightness", key="event_id")
+    return x.select("event_id", "summary", F.array_join("tags", ",").alias("tags"))
+
+
 ALL = (
+    ssim_log_parse, config_layers, stage_overrides, queue_run, encode_commands, error_texts, file_fallbacks, model_cache_clear,
+    stabilise_scene_counts, stabilise_shifts, spatial_denoise, deblock_frames, upscale_chain, plugin_chain, frame_tags,
     video_analysis, first_scenes, sample_seconds, stage_progress, job_sizes, job_status, model_paths, stage_parameters,
     classify_files, scan_directory_recursive, scan_directory_flat, add_files, probe_parse_streams, media_info, detect_needs, frame_rate_parse,
     frame_sampling_even, frame_sampling_interval, frame_extract, frame_pairs, frame_scores, scene_segments, correlation_cuts, pixel_difference,

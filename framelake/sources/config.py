@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 from pathlib import Path
 from typing import Any
 
@@ -68,6 +69,34 @@ def merge(base: DataFrame, over: DataFrame) -> DataFrame:
     return b.join(o, "path", "full_outer").select("path", F.when(F.col("in_o"), F.col("o")).otherwise(F.col("b")).alias("value"), F.when(F.col("in_o"), "override").otherwise("default").alias("origin"))
 
 
+def layered(layers: list[tuple[str, DataFrame]]) -> DataFrame:
+    """(path, value, origin) of several layers, the later over the earlier, leaf by leaf.
+
+    A leaf of a later layer also replaces the subtree under its path, and a
+    subtree the leaf above it.
+    """
+    rows = reduce(DataFrame.unionByName, [t.select("path", "value", F.lit(i).alias("layer"), F.lit(n).alias("origin")) for i, (n, t) in enumerate(layers)])
+    parts = F.split("path", r"\.")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "."))
+    above = rows.where(F.size(parts) > 1).select("path", "layer", F.explode(prefixes).alias("p"))
+    under_leaf = above.join(rows.select(F.col("path").alias("p"), F.col("layer").alias("later")), "p").where(F.col("later") > F.col("layer")).select("path", "layer")
+    over_subtree = rows.join(above.select(F.col("p").alias("path"), F.col("layer").alias("later")), "path").where(F.col("later") > F.col("layer")).select("path", "layer")
+    left = rows.join(under_leaf.union(over_subtree).distinct(), ["path", "layer"], "left_anti")
+    return left.groupBy("path").agg(F.max_by(F.struct("value", "origin"), "layer").alias("x")).select("path", "x.value", "x.origin")
+
+
+def save_if_pending(tree: dict[str, Any], path: str, pending: bool) -> bool:
+    """Saves a changed configuration; tells whether it did."""
+    if pending:
+        save_yaml(tree, path)
+    return pending
+
+
+def preset(table: DataFrame, name: str) -> DataFrame:
+    """The preset of a name; no row if there is none."""
+    return table.where(F.col("name") == name)
+
+
 def replace_sections(base: DataFrame, over: DataFrame) -> DataFrame:
     """The shallow variant: a top section that ``over`` names is replaced as a whole."""
     top = F.split("path", r"\.")[0].alias("top")

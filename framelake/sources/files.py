@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..functions import tables as T
+from ..operators import sequence
 
 
 def is_video(path: Column) -> Column:
@@ -28,10 +29,12 @@ def list_files(spark: SparkSession, folder: str, recursive: bool = True) -> Data
 
 
 def scan(files: DataFrame, folder: str, recursive: bool = True, path: str = "path") -> DataFrame:
-    """Videos under a folder of a file table, in directory and name order; (dir, name, path, ord within the directory)."""
+    """Videos under a folder of a file table: (dir, name, path, ord), ord from 0 within the directory in name order."""
     own, under = S.directory(F.col(path)), F.lit(folder.rstrip("/"))
     inside = (own == under) | (F.startswith(own, F.concat(under, F.lit("/"))) if recursive else F.lit(False))
-    return files.where(inside & is_video(F.col(path))).select(own.alias("dir"), S.base_name(F.col(path)).alias("name"), F.col(path).alias("path"))
+    found = files.where(inside & is_video(F.col(path))).select(own.alias("dir"), S.base_name(F.col(path)).alias("name"), F.col(path).alias("path"))
+    # a directory is numbered by the beginnings of its names, so a large one is not in one task
+    return sequence.numbered(found, "dir", ["name", "path"], F.substring("name", 1, 4), "ord").withColumn("ord", F.col("ord") - 1)
 
 
 def expand(files: DataFrame, folders: list[str], singles: list[str], path: str = "path") -> DataFrame:
@@ -62,6 +65,21 @@ def model_inventory(registry: DataFrame, cached: DataFrame) -> DataFrame:
     return known.unionByName(custom)
 
 
+def cached_removals(registry: DataFrame, cached: DataFrame) -> DataFrame:
+    """(name, removed): how many cached files clearing each registered model would remove, and under '*' clearing all.
+
+    The files themselves are for a file system to delete; ``cached`` has filename.
+    """
+    counts = cached.groupBy("filename").agg(F.count("*").alias("removed"))
+    one = registry.join(counts, "filename", "left").select("name", F.least(F.coalesce("removed", F.lit(0)), F.lit(1)).alias("removed"))
+    return one.unionByName(counts.agg(F.coalesce(F.sum("removed"), F.lit(0)).alias("removed")).select(F.lit("*").alias("name"), "removed"))
+
+
+def with_fallbacks(files: DataFrame, size: str = "size_bytes", duration: str = "duration") -> DataFrame:
+    """Sizes and durations that could not be read (null) as 0."""
+    return files.withColumns({size: F.coalesce(F.col(size), F.lit(0)), duration: F.coalesce(F.col(duration), F.lit(0.0))})
+
+
 def accelerations(listing: Column) -> Column:
     """Names in a capability listing: the first line goes, the others are trimmed and lower-cased, empty ones dropped."""
     lines = F.split(F.trim(listing), "\n")
