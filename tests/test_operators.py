@@ -355,3 +355,55 @@ def test_schedule_with_narrow_ranges(spark):
     for rows in (7, 1000):
         assert [r.job for r in planner.schedule(jobs, rows=rows).orderBy("position").collect()] == want
     assert planner.schedule(jobs.limit(0)).count() == 0
+
+
+def test_command_line_analyses_and_finds_duplicates(spark, tmp_path, capsys):
+    from framelake import cli
+
+    luma = [0, 0, 0, 255, 255, 0, 0, 0, 0]
+    spark.createDataFrame([("v", float(i), float(x)) for i, x in enumerate(luma)], "video string, t double, luma double").write.parquet(str(tmp_path / "frames"))
+    assert cli.main(["analyze", str(tmp_path / "frames")]) == 0 and "5.0\t8.0\t0.5" in capsys.readouterr().out
+    shots = [("a", [10, 20, 30, 40]), ("b", [11, 20, 30, 41]), ("c", [40, 30, 20, 10])]
+    spark.createDataFrame(shots, "video string, pixels array<int>").write.parquet(str(tmp_path / "shots"))
+    assert cli.main(["find-duplicates", str(tmp_path / "shots"), "a"]) == 0
+    out = capsys.readouterr().out
+    assert "b\t1.0" in out and "c\t" not in out
+    assert cli.main(["find-duplicates", str(tmp_path / "shots"), "z"]) == 1 and cli.main(["analyze", str(tmp_path / "none")]) == 1
+    (tmp_path / "p.json").write_text('{"streams":[{"codec_type":"video","width":640,"height":480}]}\n')
+    assert cli.main(["process", str(tmp_path / "p.json"), "--preset", "4k60", "--dry-run"]) == 0 and "upscale" in capsys.readouterr().out
+    plugins.register_columns("upscale", lambda: F.lit(True))(lambda: {"luma": F.col("luma") * 2})
+    try:
+        assert cli.main(["process", str(tmp_path / "p.json"), "--preset", "4k60", "--frames", str(tmp_path / "frames"), "--output", str(tmp_path / "out")]) == 0
+        assert spark.read.parquet(str(tmp_path / "out")).agg(F.max("luma")).first()[0] == 510.0
+    finally:
+        del plugins.REGISTRY["upscale"]
+
+
+def test_layers_of_configuration(spark):
+    table = lambda rows: config.config_table(spark, rows)
+    got = config.layered([("d", table([("a.b", "1"), ("a.c", "2"), ("x", "3"), ("y.z", None)])), ("u", table([("a", "off"), ("x.y", "4")])), ("p", table([("a.b", "5")]))])
+    assert {r.path: (r.value, r.origin) for r in got.collect()} == {"a.b": ("5", "p"), "x.y": ("4", "u"), "y.z": (None, "d")}
+
+
+def test_a_model_is_loaded_once_and_passes_are_chained(spark):
+    assert [pixels.pass_scales(x) for x in (1, 2, 4, 8, 16)] == [[], [2], [4], [4, 2], [4, 4]]
+    calls = []
+    load = lambda: calls.append(1) or (lambda images, scale: images)
+    assert pixels.loaded("once", load) is pixels.loaded("once", load) and calls == [1]
+
+
+def test_queue_with_errors_and_a_cancellation(spark):
+    jobs = planner.schedule(spark.createDataFrame([("A", 0, 0), ("B", 5, 1), ("C", 0, 2)], "job_id string, priority int, seq long"))
+    rows = [("A", 1, "detect", "failed", 1.0, None, "boom", "I"), ("B", 1, "detect", "completed", 1.0, "O", None, "I")]
+    raised = spark.createDataFrame([("C", "no file")], "job_id string, error string")
+    got = {r.job_id: (r.position, r.success, r.errors, r.told) for r in runner.execute_all(jobs, results(spark, rows), raised).collect()}
+    assert got == {"B": (1, True, "", True), "A": (2, False, "detect: boom", True), "C": (3, False, "no file", False)}
+    assert {r.job_id for r in runner.execute_all(jobs, results(spark, rows), raised, cancelled_from=2).collect()} == {"B"}
+
+
+def test_stabilising_does_not_depend_on_blocks(spark):
+    rng = np.random.default_rng(4)
+    v = spark.createDataFrame([("v", i, int(x), int(y)) for i, (x, y) in enumerate(rng.integers(-3, 4, (40, 2)))], "video string, frame int, dx int, dy int")
+    for width in (7, 1000):
+        got = [round(r.x) for r in motion.camera_path(v, block_frames=width).orderBy("frame").collect()]
+        assert got == np.cumsum([r.dx for r in v.orderBy("frame").collect()]).tolist()
