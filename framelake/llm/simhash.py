@@ -1,8 +1,8 @@
 """SimHash near-duplicates with a Gray-order hierarchical index over ranges of fingerprints.
 
 The distinct fingerprints are sorted by their rank in Gray order, in which
-neighbours share long runs of bits, and cut into ranges of about ``RANGE``
-entries. The index is one tree: upper nodes over the ranges, and below each range
+neighbours share long runs of bits, and cut into ``RANGES`` ranges, or more of
+about ``RANGE`` entries. The index is one tree: upper nodes over the ranges, and below each range
 nodes down to its entries. A node holds the bits on which all below it agree,
 without those that a node above it holds already (shared masked patterns are
 factored out upwards). A search adds up the differences from the root down and
@@ -42,8 +42,10 @@ from .pretoken import gather
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Shingles whose bits are counted at once; nodes below a node; searches and frontier entries at once.
 SHINGLES, FANOUT, SEARCHES, ROWS = 100_000, 4, 4096, 400_000
-#: Entries of a range, and leading bits of a Gray rank by which entries are counted to cut ranges (a slot is never cut).
-RANGE, SLOT_BITS = 16_384, 20
+#: Ranges at least, so that a fingerprint's visits are alike at every size up to RANGES * RANGE entries, and entries of a range beyond.
+RANGES, RANGE = 256, 65_536
+#: Leading bits of a Gray rank by which entries are counted to cut ranges (a slot is never cut).
+SLOT_BITS = 16
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -170,7 +172,7 @@ def join_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 
 
 def link_range(distance: int):
-    """Rows sorted by (range, visitor or not, rank) -> edges that join what is linked within a range and by its visitors, by mixed codes."""
+    """Rows sorted by (range, visitor or not) -> edges that join what is linked within a range and by its visitors, by mixed codes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts, tree, entries, label = None, [], None, np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -181,6 +183,7 @@ def link_range(distance: int):
         def grown() -> pa.RecordBatch:
             nonlocal tree, entries, label, parts
             entries, parts = np.concatenate(parts) if parts else np.zeros(0, np.uint64), []
+            entries = entries[np.argsort(gray_rank(entries))]
             tree, label = GrayTree(entries), np.arange(len(entries))
             for a, b in tree.search(entries, distance):
                 join_labels(label, a[a < b], b[a < b])
@@ -189,7 +192,7 @@ def link_range(distance: int):
 
         for batch in batches:
             group, visits = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
-            code = batch.column(3).to_numpy().view(np.uint64)
+            code = batch.column(2).to_numpy().view(np.uint64)
             cuts = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (visits[1:] != visits[:-1])])) if len(group) else []
             for a, b in zip(cuts, [*cuts[1:], len(group)]):
                 if group[a] != now:
@@ -213,7 +216,8 @@ def link_range(distance: int):
 class Upper:
     """The upper nodes: ranges of slots (leading bits of a Gray rank) with the bits that their fingerprints share."""
 
-    def __init__(self, slot: np.ndarray, count: np.ndarray, both: np.ndarray, either: np.ndarray, size: int = RANGE):
+    def __init__(self, slot: np.ndarray, count: np.ndarray, both: np.ndarray, either: np.ndarray, size: int | None = None):
+        size = min(RANGE, -(-int(count.sum()) // RANGES)) if size is None else size
         order = np.argsort(slot)
         slot, count, both, either = slot[order], count[order], both[order], either[order]
         begin, held = [], size
@@ -278,8 +282,8 @@ def linked(codes: DataFrame, distance: int) -> DataFrame:
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(group: np.ndarray, visits: bool, code: np.ndarray) -> pa.RecordBatch:
-            made = (group, np.full(len(code), visits), gray_rank(code).view(np.int64), code.view(np.int64))
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=["grp", "visits", "rank", "code"])
+            made = (group.astype(np.int32), np.full(len(code), visits), code.view(np.int64))
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=["grp", "visits", "code"])
 
         for batch in batches:
             code = batch.column(0).to_numpy().view(np.uint64)
@@ -287,9 +291,7 @@ def linked(codes: DataFrame, distance: int) -> DataFrame:
             for who, group in upper.value.routed(code, distance):
                 yield rows(group, True, code[who])
 
-    # an unsigned rank: its sign bit is turned for the sort
-    turned = F.col("rank").bitwiseXOR(F.lit(-(2**63)))
-    dealt = codes.select("code").mapInArrow(frugal(routed), "grp long, visits boolean, rank long, code long").repartition(partitions_for(spark), "grp").sortWithinPartitions("grp", "visits", turned)
+    dealt = codes.select("code").mapInArrow(frugal(routed), "grp int, visits boolean, code long").repartition(partitions_for(spark), "grp").sortWithinPartitions("grp", "visits")
     return components(dealt.mapInArrow(frugal(link_range(distance)), "a long, b long"))
 
 
