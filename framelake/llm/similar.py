@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import forget, frugal, partitions_for, written
 from .components import components
+from .pretoken import slices
 from .simhash import fingerprints_of, linked, mixed, shingle_hashes
 
 #: Words of a shingle, and the least similarity (as a fraction) of linked documents.
@@ -45,8 +46,8 @@ SIZE, LEAST = 5, (4, 5)
 BANDS, ROWS = 40, 8
 #: Bits by which SimHash fingerprints may differ, shingles of a chunk, and entries of a chunk's component that stand for it.
 BITS, GROUP, CORES = 2, 4_000_000, 4
-#: Shingles hashed at once, and postings looked at once. They bound memory only.
-SHINGLES, POSTINGS = 50_000, 2_000_000
+#: Characters worked on at once, shingles hashed at once, and postings looked at once. They bound memory only.
+RUN, SHINGLES, POSTINGS = 2_000_000, 50_000, 2_000_000
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -144,15 +145,18 @@ SIGNED = "v long, size long, code long, mcode long, keys array<long>"
 
 
 def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text) -> (id, SIGNED)."""
+    """(id, text) -> (id, SIGNED), some texts at a time."""
     for batch in batches:
-        hashes = [shingle_hashes(t, SIZE) for t in batch.column(1).to_pylist()]
-        sets = [set_of(h) for h in hashes]
-        v = np.array([entry_of(s) for s in sets], dtype=np.uint64).view(np.int64)
-        code = fingerprints_of(hashes)
-        keys = pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * BANDS, band_keys(sets).view(np.int64).ravel())
-        made = (v, np.array([len(s) for s in sets], dtype=np.int64), code.view(np.int64), mixed(code).view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, made), keys], names=["id", "v", "size", "code", "mcode", "keys"])
+        texts = batch.column(1).to_pylist()
+        for a, b in slices([t or "" for t in texts], RUN):
+            hashes = [shingle_hashes(t, SIZE) for t in texts[a:b]]
+            code = fingerprints_of(hashes)
+            sets = [set_of(h) for h in hashes]
+            del hashes
+            v = np.array([entry_of(s) for s in sets], dtype=np.uint64).view(np.int64)
+            keys = pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * BANDS, band_keys(sets).view(np.int64).ravel())
+            made = (v, np.array([len(s) for s in sets], dtype=np.int64), code.view(np.int64), mixed(code).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *map(pa.array, made), keys], names=["id", "v", "size", "code", "mcode", "keys"])
 
 
 def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
