@@ -299,25 +299,29 @@ class RunIndex:
         eight = self._eight(np.arange(n))
         spare = (8 * np.clip(7 - to_end, 0, 7)).astype(np.uint64)
         eight = (eight >> spare) << spare  # bytes after the mark don't count
-        order = np.argsort(eight, kind="stable")
+        order = np.argsort(eight, kind="stable")  # suffixes that are equal up to their marks stay in the marks' order
         fresh = np.ones(n, dtype=bool)
         fresh[1:] = (eight[order][1:] != eight[order][:-1]) | (to_end[order][1:] < 8)
         rank = np.empty(n, dtype=np.int64)
-        rank[order] = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
-        step = 8
-        while True:
-            open_ = np.flatnonzero(np.bincount(rank, minlength=n)[rank] > 1)
-            if not len(open_):
-                break
-            own, then = rank[open_], rank[np.minimum(open_ + step, n - 1)]
-            by = np.lexsort((then, own))
-            at, own, then = open_[by], own[by], then[by]
-            new_group = np.concatenate([[True], own[1:] != own[:-1]])
-            differs = new_group | np.concatenate([[True], then[1:] != then[:-1]])
-            place = np.arange(len(at))
-            base = place[new_group][np.cumsum(new_group) - 1]
-            lead = place[differs][np.cumsum(differs) - 1]
+
+        def grouped(fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Where each one's group begins, and whether it has company."""
+            begin = np.flatnonzero(fresh)
+            size = np.diff(np.append(begin, len(fresh)))
+            return np.repeat(begin, size), np.repeat(size > 1, size)
+
+        begin, several = grouped(fresh)
+        rank[order] = begin
+        at, step = order[several], 8
+        while len(at):
+            own = rank[at]
+            key = own * n + rank[np.minimum(at + step, n - 1)]
+            by = np.argsort(key)
+            at, own, key = at[by], own[by], key[by]
+            base, _ = grouped(np.concatenate([[True], own[1:] != own[:-1]]))
+            lead, several = grouped(np.concatenate([[True], key[1:] != key[:-1]]))
             rank[at] = own + (lead - base)
+            at = at[several]
             step *= 2
         order[rank] = np.arange(n)
         return order
