@@ -27,9 +27,9 @@ from .common import frugal
 from .pretoken import LETTER, NUMBER, OTHER, Arena, Words, class_table, disputed, gather, slices
 
 #: Pre-tokens whose ids a worker keeps between batches and tasks; the table starts anew beyond it. It bounds memory only.
-MEMO = 250_000
+MEMO = 200_000
 #: Characters of the texts that are encoded together, and of those that numpy works on at once.
-BLOCK, RUN = 5_000_000, 1_200_000
+BLOCK, RUN = 3_000_000, 1_200_000
 
 
 class RankQueue:
