@@ -34,6 +34,8 @@ from .pretoken import LETTER, NUMBER, OTHER, Arena, Words, class_table, disputed
 MAGIC, HEADER = b"FLTOKEN1", struct.Struct("<8sIIQQ")
 #: Ids of a block, and about how many ids a shard holds (it ends with a whole document).
 BLOCK_IDS, SHARD_IDS = 4096, 2_000_000
+#: Words that are encoded in one call.
+TOGETHER = 200
 #: Words that a worker remembers between tasks; characters worked on at once. They bound memory only.
 MEMO, BLOCK, RUN = 400_000, 6_000_000, 1_500_000
 SHARD_SCHEMA = "part int, seq int, before long, n_docs long, n_ids long, shard binary"
@@ -130,6 +132,19 @@ class WordBpe:
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def each(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words end to end, and how many each has. Words are encoded ``TOGETHER``, with spaces between, and told apart by where their tokens begin."""
+        ids, counts = [], []
+        for a in range(0, len(words), TOGETHER):
+            line = b" ".join(words[a : a + TOGETHER]).decode("utf-8")
+            made = self.tokenizer.encode(line, add_special_tokens=False)
+            own = np.array(made.ids, dtype=np.int32)
+            space = np.flatnonzero(np.frombuffer(line.encode("utf-32-le"), dtype="<u4") == 0x20)
+            begin = np.array(made.offsets, dtype=np.int64).reshape(-1, 2)[:, 0]
+            ids.append(own)
+            counts.append(np.bincount(np.searchsorted(space, begin), minlength=len(space) + 1))
+        return np.concatenate(ids), np.concatenate(counts)
+
     def encode_block(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each run of texts: the ids end to end, and where each text begins (and the end)."""
         if len(self.arena.row) > MEMO:
@@ -140,9 +155,7 @@ class WordBpe:
         known = self.arena.row
         new = list({w: None for _, _, p in parts for w in p.words if w not in known})
         if new:
-            found = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in new], add_special_tokens=False)
-            lists = [e.ids for e in found]
-            self.arena.add(new, np.array([i for ids in lists for i in ids], dtype=np.int32), np.array([len(ids) for ids in lists], dtype=np.int64))
+            self.arena.add(new, *self.each(new))
         for a, b, part in parts:
             ids, at = self.arena.expand(part)
             if any(a <= i < b for i in odd):
