@@ -142,6 +142,18 @@ def resolve_acceleration(preferred: Column, available: Column) -> Column:
     return F.when(preferred == "none", "none").when(preferred == "auto", F.coalesce(first, F.lit("none"))).otherwise(F.coalesce(own, F.lit("none")))
 
 
+def device(preferred: Column, available: Column) -> Column:
+    """The device for models: for auto the first available of a fixed order, else the wish if it is available, else the CPU."""
+    has = lambda name: F.coalesce(F.array_contains(available, name), F.lit(False))
+    own = F.when(preferred.isin(*T.DEVICES) & has(preferred), preferred)
+    first = F.coalesce(*[F.when(has(d), d) for d in T.DEVICES])
+    return F.coalesce(F.when(preferred == "auto", first).otherwise(own), F.lit("cpu"))
+
+
+def dtype(preferred: Column) -> Column:
+    return lookup(preferred, T.DTYPES, "float32")
+
+
 def acceleration_arguments(acceleration: Column) -> Column:
     return F.when(acceleration == "none", F.array().cast("array<string>")).otherwise(F.array(F.lit("-hwaccel"), acceleration))
 

@@ -40,6 +40,9 @@ HARDWARE_CODECS = {
 }
 # Preference of accelerations.
 ACCELERATIONS = ("cuda", "vaapi", "qsv", "videotoolbox", "d3d11", "vulkan")
+# Preference of devices for models before the CPU, and number formats by their short names; others read as float32.
+DEVICES = ("cuda", "mps")
+DTYPES = {"fp16": "float16", "fp32": "float32", "bf16": "bfloat16"}
 # Codec -> fourcc; the default is H264.
 FOURCC = {"libx264": "H264", "libx265": "H265", "mpeg4": "XVID", "h264": "H264", "h265": "H265", "vp8": "VP80", "vp9": "VP90"}
 # Denoise strengths as luma and chroma, spatial and temporal; unknown reads as medium.

@@ -86,12 +86,30 @@ def sample_seconds(frames: DataFrame, video: str, idx: str, time: str) -> DataFr
 
 
 def extract(frames: DataFrame, video: str, idx: str, fps: float, start: float = 0.0, end: float | None = None, most: int | None = None) -> DataFrame:
-    """Frames from second ``start`` on, as many as the span or ``most`` allows."""
+    """Frames from second ``start`` on, as many as the span or ``most`` allows.
+
+    A start before the video counts as its first frame and one beyond it as its
+    last. With an end, a ``most`` of 0 is no limit.
+    """
     rate = fps if fps > 0 else 30.0
-    limits = [x for x in (most, None if end is None else int((end - start) * rate)) if x is not None]
-    first = int(start * rate)
-    out = frames.where(F.col(idx) >= first)
-    return out.where(F.col(idx) < first + min(limits)) if limits else out
+    span = None if end is None else int((end - start) * rate)
+    limit = most if span is None else min(most or span, span)
+    ends = frames.groupBy(F.col(video).alias("__v")).agg(F.max(idx).alias("__end"))
+    first = F.greatest(F.lit(0), F.least(F.lit(int(start * rate)), F.col("__end")))
+    out = frames.join(ends, F.col(video).eqNullSafe(F.col("__v"))).where(F.col(idx) >= first)
+    return (out if limit is None else out.where(F.col(idx) < first + limit)).drop("__v", "__end")
+
+
+def with_times(frames: DataFrame, times: DataFrame, video: str, idx: str, time: str = "t") -> DataFrame:
+    """Adds ``time``: the timestamp of the same video and place in ``times``.
+
+    A video without any timestamp is timed by its places; a place beyond a
+    video's list gets 0.0. Repeated timestamps of a place count as the least.
+    """
+    listed = times.groupBy(video, idx).agg(F.min(time).alias(time))
+    timed = listed.select(video).distinct().withColumn("__timed", F.lit(True))
+    joined = frames.join(listed, [video, idx], "left").join(timed, video, "left")
+    return joined.withColumn(time, F.when(F.col("__timed"), F.coalesce(time, F.lit(0.0))).otherwise(F.col(idx).cast("double"))).drop("__timed")
 
 
 def pairs(frames: DataFrame, video: str, idx: str, values: list[str], interval: int = 1, block_frames: int = 100_000) -> DataFrame:

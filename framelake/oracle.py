@@ -129,7 +129,7 @@ def oracle_sql() -> dict[str, str]:
         "frame_rate_parse": f"WITH {STREAMS} SELECT media_id, idx, fps FROM streams",
         "frame_sampling_even": f"WITH {FRAMES}, n AS (SELECT *, count(*) OVER (PARTITION BY video) AS c FROM frames) SELECT video, idx, event_id FROM n WHERE idx % greatest(1, c // 30) = 0",
         "frame_sampling_interval": f"WITH {FRAMES} SELECT video, idx, event_id FROM frames WHERE idx % 5 = 0 AND idx < 100",
-        "frame_extract": f"WITH {FRAMES} SELECT video, idx, event_id FROM frames WHERE idx >= 10 AND idx < 10 + least(100, 30)",
+        "frame_extract": f"WITH {FRAMES} SELECT video, idx, event_id FROM (SELECT *, least(10, max(idx) OVER (PARTITION BY video)) AS a FROM frames) WHERE idx >= a AND idx < a + least(100, 30)",
         "frame_pairs": f"WITH {FRAMES}, p AS (SELECT *, lag(event_id) OVER (PARTITION BY video ORDER BY idx) AS prev_event_id FROM frames) SELECT video, idx, event_id, prev_event_id FROM p WHERE idx >= 1 AND idx % 3 = 0",
         "frame_scores": f"WITH {SCORED} SELECT video, event_id, t, score FROM scored",
         "scene_segments": f"WITH {SCENES} SELECT * FROM scenes",
@@ -188,6 +188,7 @@ def oracle_sql() -> dict[str, str]:
             || CASE WHEN skipped <> '' THEN chr(10) || 'Skipped: ' || skipped ELSE '' END || CASE WHEN errors <> '' THEN chr(10) || 'Errors: ' || errors ELSE '' END AS report FROM rolled JOIN l USING (job_id)""",
         "config_merge": _config(),
         "preset_config": _presets(),
+        "named_preset": _presets() + " WHERE preset = '4k60'",
         "encoder_select": f"""WITH x AS (SELECT o_orderkey, {_pick(('libx264', 'libx265', 'libvpx-vp9', 'copy'), 'o_custkey')} AS codec, CASE o_orderkey % 3 WHEN 0 THEN ['vaapi', 'cuda'] WHEN 1 THEN ['qsv'] ELSE [] END AS have, {_pick(('auto', 'none', 'QSV', 'vulkan'), 'o_custkey + o_orderkey')} AS wish FROM orders),
           y AS (SELECT *, CASE WHEN wish = 'none' THEN 'none' WHEN wish = 'auto' THEN {_first_acceleration()} WHEN list_contains(have, lower(wish)) THEN lower(wish) ELSE 'none' END AS acceleration FROM x)
           SELECT o_orderkey, acceleration, {_encoder()} AS encoder, CASE WHEN acceleration = 'none' THEN '' ELSE '-hwaccel ' || acceleration END AS arguments, {_fourcc('codec')} AS fourcc FROM y""",
@@ -226,5 +227,10 @@ def oracle_sql() -> dict[str, str]:
         "deblock_frames": f"WITH {SHOTS} SELECT frame, 'passthrough' AS method, round(list_sum(px), 4) AS total FROM shots",
         "upscale_chain": f"WITH {SHOTS} SELECT frame, 4096 AS n, round(list_sum(px) * 64, 3) AS total, round(px[(1000 // 64) // 8 * 8 + (1000 % 64) // 8 + 1], 6) AS p1000 FROM shots",
         "plugin_chain": "SELECT event_id, round(CASE WHEN value < 100 THEN value * 1.5::DOUBLE ELSE value END, 6) AS luma, CASE WHEN value < 100 THEN value * 1.5::DOUBLE ELSE value END < 50 AS dark FROM events",
+        "model_devices": f"""SELECT o_orderkey, CASE WHEN wish IN ('auto', 'cuda') AND o_orderkey % 3 = 0 THEN 'cuda' WHEN wish = 'auto' AND o_orderkey % 3 = 1 THEN 'mps' WHEN wish = 'mps' AND o_orderkey % 3 < 2 THEN 'mps' ELSE 'cpu' END AS device,
+          CASE kind WHEN 'fp16' THEN 'float16' WHEN 'bf16' THEN 'bfloat16' ELSE 'float32' END AS dtype
+          FROM (SELECT o_orderkey, {_pick(("auto", "cuda", "mps", "cpu", "tpu"), "o_custkey")} AS wish, {_pick(("fp16", "fp32", "bf16", "int8"), "o_orderkey")} AS kind FROM orders)""",
+        "queued_jobs": "SELECT o_orderkey, o_orderkey % 7 <> 0 AND o_custkey % 4 = 0 AS is_queued FROM orders",
+        "frame_times": f"WITH {FRAMES} SELECT video, idx, event_id, round(CASE WHEN video % 3 = 0 THEN idx::DOUBLE WHEN idx < 8 THEN t ELSE 0.0::DOUBLE END, 6) AS t FROM frames",
         "frame_tags": "SELECT event_id, CASE WHEN value > 150 THEN '1 tags' WHEN value < 50 THEN '2 tags' ELSE '0 tags' END AS summary, CASE WHEN value > 150 THEN 'bright' WHEN value < 50 THEN 'dark,low' ELSE '' END AS tags FROM events",
     }

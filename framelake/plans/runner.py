@@ -74,7 +74,8 @@ def execute_all(jobs: DataFrame, results: DataFrame, raised: DataFrame, cancelle
 
 
 def is_queued(status: Column) -> Column:
-    return F.coalesce(status == "queued", F.lit(False))
+    """Whether a job has not begun; a null status is none."""
+    return F.coalesce(status == "idle", F.lit(False))
 
 
 def summary(jobs: DataFrame) -> DataFrame:

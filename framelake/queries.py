@@ -456,7 +456,29 @@ def frame_tags(s, d):
     return x.select("event_id", "summary", F.array_join("tags", ",").alias("tags"))
 
 
+def model_devices(s, d):
+    o = V.table(s, d, "orders").withColumn("wish", V.pick(("auto", "cuda", "mps", "cpu", "tpu"), F.col("o_custkey"))).withColumn("kind", V.pick(("fp16", "fp32", "bf16", "int8"), F.col("o_orderkey")))
+    have = F.when(F.col("o_orderkey") % 3 == 0, F.array(F.lit("mps"), F.lit("cuda"))).when(F.col("o_orderkey") % 3 == 1, F.array(F.lit("mps"))).otherwise(F.array().cast("array<string>"))
+    return o.select("o_orderkey", S.device(F.col("wish"), have).alias("device"), S.dtype(F.col("kind")).alias("dtype"))
+
+
+def queued_jobs(s, d):
+    o = V.table(s, d, "orders").withColumn("status", V.pick(("idle", "running", "completed", "queued"), F.col("o_custkey")))
+    return o.select("o_orderkey", runner.is_queued(F.when(F.col("o_orderkey") % 7 != 0, F.col("status"))).alias("is_queued"))
+
+
+def frame_times(s, d):
+    x = V.indexed_frames(s, d)
+    times = x.where("video % 3 <> 0 AND idx < 8").select("video", "idx", "t")
+    return sequence.with_times(x.select("video", "idx", "event_id"), times, "video", "idx").select("video", "idx", "event_id", F.round("t", 6).alias("t"))
+
+
+def named_preset(s, d):
+    return config.preset_config(config.preset(config.presets(s), "4k60"))
+
+
 ALL = (
+    model_devices, queued_jobs, frame_times, named_preset,
     ssim_log_parse, config_layers, stage_overrides, queue_run, encode_commands, error_texts, file_fallbacks, model_cache_clear,
     stabilise_scene_counts, stabilise_shifts, spatial_denoise, deblock_frames, upscale_chain, plugin_chain, frame_tags,
     video_analysis, first_scenes, sample_seconds, stage_progress, job_sizes, job_status, model_paths, stage_parameters,

@@ -407,3 +407,33 @@ def test_stabilising_does_not_depend_on_blocks(spark):
     for width in (7, 1000):
         got = [round(r.x) for r in motion.camera_path(v, block_frames=width).orderBy("frame").collect()]
         assert got == np.cumsum([r.dx for r in v.orderBy("frame").collect()]).tolist()
+
+
+def test_extracted_frames_start_within_the_video(spark):
+    frames = spark.createDataFrame([("v", i) for i in range(5)] + [("w", 0), (None, 0), (None, 1)], "video string, idx int")
+    at = lambda **kw: sorted((str(r.video), r.idx) for r in sequence.extract(frames, "video", "idx", 1.0, **kw).collect())
+    assert at(start=3.0) == [("None", 1), ("v", 3), ("v", 4), ("w", 0)]
+    assert at(start=99.0) == [("None", 1), ("v", 4), ("w", 0)]
+    assert at(start=-2.0, end=0.0, most=1) == [("None", 0), ("v", 0), ("w", 0)]
+    assert at(start=1.0, end=3.0, most=0) == [("None", 1), ("v", 1), ("v", 2), ("w", 0)]
+    assert at(start=1.0, end=1.0) == [] and at(start=0.0, most=0) == []
+
+
+def test_times_of_frames_by_place(spark):
+    frames = spark.createDataFrame([("a", 0), ("a", 1), ("a", 2), ("b", 0), ("b", 1)], "video string, idx int")
+    times = spark.createDataFrame([("a", 0, 0.5), ("a", 1, 0.9), ("a", 1, 0.8), ("c", 0, 7.0)], "video string, idx int, t double")
+    got = {(r.video, r.idx): r.t for r in sequence.with_times(frames, times, "video", "idx").collect()}
+    assert got == {("a", 0): 0.5, ("a", 1): 0.8, ("a", 2): 0.0, ("b", 0): 0.0, ("b", 1): 1.0}
+
+
+def test_devices_and_number_formats(spark):
+    rows = [("auto", ["mps", "cuda"]), ("auto", ["mps"]), ("auto", []), ("auto", None), ("cuda", ["mps"]), ("mps", ["mps"]), ("tpu", ["tpu"]), (None, ["cuda"])]
+    x = spark.createDataFrame(rows, "wish string, have array<string>").select(S.device(F.col("wish"), F.col("have")).alias("d"))
+    assert [r.d for r in x.collect()] == ["cuda", "mps", "cpu", "cpu", "cpu", "mps", "cpu", "cpu"]
+    y = spark.createDataFrame([("fp16",), ("bf16",), ("int8",), (None,)], "k string").select(S.dtype(F.col("k")).alias("d"))
+    assert [r.d for r in y.collect()] == ["float16", "bfloat16", "float32", "float32"]
+
+
+def test_a_job_is_queued_while_idle(spark):
+    x = spark.createDataFrame([("idle",), ("running",), (None,)], "s string").select(runner.is_queued(F.col("s")).alias("q"))
+    assert [r.q for r in x.collect()] == [True, False, False]
