@@ -73,6 +73,17 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def tidy(spark: SparkSession) -> None:
+    """Executors collect their garbage and return the free heap, and buffers beside it that only a collection frees, to the system.
+
+    A heap that some step has filled otherwise stays mapped beside the Python
+    workers of all later steps. A small job with a task for each core, on a local
+    master one; an executor that gets none of them keeps its heap as it is.
+    """
+    n = 1 if spark.sparkContext.master.startswith("local[") else spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.call_function("java_method", F.lit("java.lang.System"), F.lit("gc"))).collect()
+
+
 def fold_of(key: str = "doc_id") -> Column:
     """crc32 of the key as text, modulo 5; fold 0 is held out of training."""
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 5, F.lit(-1))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
+import time
 
+import pytest
 import tiktoken
 from oracle import SF
 from test_dedup import cut, firsts_of_groups
@@ -12,7 +15,7 @@ from test_filters import brute_languages
 
 import corpus_pipeline as P
 from framelake.llm import bytebpe
-from framelake.llm.common import read_table
+from framelake.llm.common import read_table, tidy
 
 
 def table(df):
@@ -53,3 +56,22 @@ def test_stages_take_odd_and_empty_tables(spark, odd_docs, no_docs):
     ids = [r.doc_id for r in P.near_dedup(spark, odd_docs, SF).collect()]
     assert ids.count(4) == 1 and 5 not in ids and 2 not in ids and None in ids
     assert {r.doc_id for r in P.language_id(spark, odd_docs, SF).collect()} >= {4, 5, 6, 7, 9, None}
+
+
+def test_every_stage_begins_with_a_returned_heap(spark, no_docs, monkeypatch):
+    runtime = spark._jvm.java.lang.Runtime.getRuntime()
+    garbage = [spark._jvm.java.nio.ByteBuffer.allocate(64 << 20) for _ in range(8)]
+    full = runtime.totalMemory()
+    del garbage
+    gc.collect()
+    time.sleep(1)  # the JVM is told a little later
+    tidy(spark)
+    assert runtime.totalMemory() < full - (200 << 20)
+
+    def called(session):
+        raise InterruptedError
+
+    monkeypatch.setattr(P, "tidy", called)
+    for _, stage in P.STAGES:
+        with pytest.raises(InterruptedError):
+            stage(spark, no_docs.drop("key"), SF)
